@@ -41,29 +41,42 @@ def url_words(url: Column) -> Column:
     return F.replace(F.lower(slug), F.lit("-"), F.lit(" "))
 
 
-def brand_of(
-    name: Column,
-    given: Column,
-    url: Column,
-    patterns: Sequence[tuple[str, str]] = BRAND_PATTERNS,
-) -> Column:
+def brand_texts(name: Column, given: Column, url: Column) -> Column:
+    """What the patterns are tried on: a struct of the lower-case name, the lower-case given brand,
+    the URL words, and the stripped given brand, which is NULL when none was given."""
+    return F.struct(
+        F.lower(F.coalesce(name, F.lit(""))).alias("name"),
+        F.lower(strip(F.coalesce(given, F.lit("")))).alias("given"),
+        url_words(url).alias("words"),
+        F.when(given != "", strip(given)).alias("fallback"),
+    )
+
+
+def brand_from(texts: Column, patterns: Sequence[tuple[str, str]] = BRAND_PATTERNS) -> Column:
     """First brand whose pattern occurs in the name, the given brand or the URL words.
 
-    Without a match the given brand itself, stripped, unless it is a gender word. The dictionary
-    becomes one CASE chain, so the lookup stays inside the projection.
+    Without a match the given brand itself, unless it is a gender word. The dictionary becomes one
+    CASE chain, so the lookup stays inside the projection. ``texts`` should be a column of its own
+    (``brand_texts`` in an earlier select), so that it is computed once and not once per pattern.
     """
-    name_text = F.lower(F.coalesce(name, F.lit("")))
-    given_text = F.lower(strip(F.coalesce(given, F.lit(""))))
-    words = url_words(url)
-
-    chain = None
+    name, given, words = texts["name"], texts["given"], texts["words"]
+    chain = F.when(F.lit(False), F.lit(None).cast("string"))
     for brand, pattern in patterns:
         regex = f"(?U){pattern}"
         found = (
-            name_text.rlike(regex)
-            | ((given_text != "") & given_text.rlike(regex))
+            name.rlike(regex)
+            | ((given != "") & given.rlike(regex))
             | ((words != "") & words.rlike(regex))
         )
-        chain = F.when(found, F.lit(brand)) if chain is None else chain.when(found, F.lit(brand))
-    fallback = F.when((given != "") & ~given_text.isin(GENDER_WORDS), strip(given))
-    return fallback if chain is None else chain.otherwise(fallback)
+        chain = chain.when(found, F.lit(brand))
+    return chain.otherwise(F.when(~given.isin(GENDER_WORDS), texts["fallback"]))
+
+
+def brand_of(
+    name: Column,
+    given: Column,
+    url: Column,
+    patterns: Sequence[tuple[str, str]] = BRAND_PATTERNS,
+) -> Column:
+    """``brand_from`` on the texts of a name, a given brand and a URL."""
+    return brand_from(brand_texts(name, given, url), patterns)

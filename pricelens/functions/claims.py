@@ -11,7 +11,8 @@ ROW_PATH = r"^\$\[(0|[1-9][0-9]*)\](\.|\z)"
 
 def claim_row(path: Column) -> Column:
     """Index of the row a claim is about, NULL when it is about no single row."""
-    return F.regexp_extract(path, ROW_PATH, 1).try_cast("int")
+    index = F.regexp_extract(path, ROW_PATH, 1)
+    return F.when(index != "", index.try_cast("int"))
 
 
 def high_share(high: Column, graded: Column) -> Column:

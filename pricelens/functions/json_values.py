@@ -1,31 +1,61 @@
 """Reads of JSON values whose type varies from row to row.
 
-Retailers send the same field as number, text, boolean, null, empty text or empty list. A VARIANT
-column keeps that distinction, so every rule below is a branch on the kind of the value. A field
-that is missing is SQL NULL; a JSON null is a VARIANT of kind ``VOID``.
+Retailers send the same field as number, text, boolean, null, empty text or empty list. A *loose
+value* is a struct of the value's ``text`` and the value itself as VARIANT (``json``). The text is
+enough for nearly every rule; the VARIANT tells the few cases apart where it is not, such as the
+number -5 from the text "-5". Its kind is looked at only then, because the text is much cheaper.
+
+A field that is missing has no text and no VARIANT; a JSON null has a VARIANT but no text.
+
+A cast of unreadable text to a number is an exception inside Spark, even where it ends as NULL, and
+costs more than the rest of the row. So text is matched against a pattern before it is cast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMERIC_KINDS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
-INTEGER_KINDS = r"^(TINYINT|SMALLINT|INT|BIGINT)"
+NUMERIC_KINDS = r"^(BIGINT|DOUBLE|DECIMAL)"
+PLAIN_NUMBER = r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"
 FLOAT_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+ZERO_NUMBER = r"^-?[0.]+$"
 
 
-def kind(value: Column) -> Column:
-    """SQL type name of a VARIANT value."""
-    return F.schema_of_variant(value)
+def read_fields(item: str, keys: Iterable[str]) -> Column:
+    """The named fields of a JSON object, once as text and once as VARIANT.
+
+    Only these keys are converted, and of a repeated key the last value counts. Select this as a
+    column of its own before taking fields out of it, so that an item is parsed once.
+    """
+    keys = list(keys)
+    texts = ", ".join(f"`{key}` STRING" for key in keys)
+    return F.struct(
+        F.from_json(item, texts).alias("text"), F.from_json(item, variant_struct(keys)).alias("json")
+    )
+
+
+def variant_struct(keys: Iterable[str]) -> str:
+    """DDL that reads each key as VARIANT."""
+    return ", ".join(f"`{key}` VARIANT" for key in keys)
+
+
+def field(fields: Column, key: str) -> Column:
+    """Loose value of one field of ``read_fields``."""
+    return F.struct(fields["text"][key].alias("text"), fields["json"][key].alias("json"))
 
 
 def text(value: Column) -> Column:
-    """Text of a VARIANT value; JSON text for lists and objects."""
-    return F.try_variant_get(value, "$", "string")
+    """Text of a loose value; JSON text for lists and objects."""
+    return value["text"]
+
+
+def kind(value: Column) -> Column:
+    """SQL type name of a loose value."""
+    return F.schema_of_variant(value["json"])
 
 
 def strip(value: Column) -> Column:
@@ -33,31 +63,38 @@ def strip(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
 
 
-def variant_struct(keys: Iterable[str]) -> str:
-    """DDL that reads each key as VARIANT. ``from_json`` with it converts only these keys, and
-    keeps the last value of a repeated key."""
-    return ", ".join(f"`{key}` VARIANT" for key in keys)
-
-
 def is_empty(value: Column) -> Column:
     """True for missing, null, empty text and the empty list; false for 0, false and ``{}``."""
-    return (
-        value.isNull()
-        | (kind(value) == "VOID")
-        | ((kind(value) == "STRING") & (text(value) == ""))
-        | (kind(value).startswith("ARRAY") & (text(value) == "[]"))
-    )
+    empty_list = (text(value) == "[]") & kind(value).startswith("ARRAY")
+    return text(value).isNull() | (text(value) == "") | empty_list
 
 
 def first_present(*values: Column) -> Column:
-    """First value that is not empty, as VARIANT."""
-    return F.coalesce(*[F.when(~is_empty(value), value) for value in values])
+    """First loose value that is not empty."""
+    return F.get(F.filter(F.array(*values), lambda value: ~is_empty(value)), F.lit(0))
 
 
 def is_truthy(value: Column) -> Column:
     """False for every empty value and for 0, false and ``{}``; true otherwise."""
-    zero = kind(value).rlike(NUMERIC_KINDS) & (F.try_variant_get(value, "$", "double") == 0)
-    return ~is_empty(value) & ~zero & ~text(value).isin("{}", "false")
+    nothing = text(value).isin("{}", "false") | text(value).rlike(ZERO_NUMBER)
+    return ~is_empty(value) & ~(nothing & (kind(value) != "STRING"))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used.
+
+    It also keeps the projection out of whole-stage code: with dozens of branches there the one
+    generated method passes the size up to which the JVM compiles it, and runs interpreted.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def read_digits(value: Column) -> Column:
+    """DOUBLE from the digits and points of a text, NULL when they are no number."""
+    return bind(
+        F.regexp_replace(value, "[^0-9.]", ""),
+        lambda digits: F.when(digits.rlike(PLAIN_NUMBER), digits.try_cast("double")),
+    )
 
 
 def to_number(value: Column) -> Column:
@@ -66,11 +103,11 @@ def to_number(value: Column) -> Column:
     Text that keeps two points after the other characters are removed is no number, so
     ``"49.99 - $59.99"`` is NULL while ``"$10 - $20"`` is 1020.
     """
-    digits = F.regexp_replace(text(value), "[^0-9.]", "")
+    signed = text(value).rlike(FLOAT_TEXT) & kind(value).rlike(NUMERIC_KINDS)
     return (
-        F.when(kind(value).rlike(NUMERIC_KINDS), F.try_variant_get(value, "$", "double"))
-        .when(kind(value).isin("BOOLEAN", "VOID"), F.lit(None).cast("double"))
-        .otherwise(digits.try_cast("double"))
+        F.when(text(value).rlike(PLAIN_NUMBER), text(value).try_cast("double"))
+        .when(signed, text(value).try_cast("double"))
+        .otherwise(read_digits(text(value)))
     )
 
 
@@ -85,36 +122,18 @@ def to_integer(value: Column) -> Column:
 
 
 def to_boolean(value: Column) -> Column:
-    """BOOLEAN: null stays NULL; true, 1 and yes in any case are true; all else is false.
-
-    A JSON number with a decimal point never counts as 1.
-    """
-    word = F.lower(strip(text(value))).isin("true", "1", "yes")
-    with_point = kind(value).rlike("^(DECIMAL|DOUBLE|FLOAT)")
-    return F.when(value.isNull() | (kind(value) == "VOID"), F.lit(None).cast("boolean")).otherwise(
-        word & ~with_point
-    )
-
-
-def to_text(value: Column) -> Column:
-    """STRING: as ``text``, and a number written with a zero fraction keeps it (``123.0``)."""
-    zero_fraction = kind(value).rlike(r"^DECIMAL\(1?[0-9],0\)$") & (
-        F.length(F.regexp_replace(text(value), "-", "")) < 19
-    )
-    return F.when(zero_fraction, F.concat(text(value), F.lit(".0"))).otherwise(text(value))
+    """BOOLEAN: null stays NULL; true, 1 and yes in any case are true; all else is false."""
+    return F.lower(strip(text(value))).isin("true", "1", "yes")
 
 
 def research_number(value: Column) -> Column:
     """DOUBLE from a number, a boolean or text that is a number as a whole; nothing is stripped."""
-    readable = kind(value).rlike(NUMERIC_KINDS + "|^BOOLEAN$")
-    return F.when(readable, F.try_variant_get(value, "$", "double")).when(
-        (kind(value) == "STRING") & text(value).rlike(FLOAT_TEXT), F.trim(text(value)).try_cast("double")
-    )
+    truth = F.when(kind(value) == "BOOLEAN", F.when(text(value) == "true", 1.0).otherwise(0.0))
+    return F.when(text(value).rlike(FLOAT_TEXT), F.trim(text(value)).try_cast("double")).otherwise(truth)
 
 
 def research_integer(value: Column) -> Column:
     """INT from a number (fraction cut off), a boolean or whole-number text; ``"4.0"`` is NULL."""
-    readable = kind(value).rlike(NUMERIC_KINDS + "|^BOOLEAN$")
-    return F.when(readable, truncate_to_int(F.try_variant_get(value, "$", "double"))).when(
-        (kind(value) == "STRING") & text(value).rlike(INTEGER_TEXT), F.trim(text(value)).try_cast("int")
-    )
+    whole_text = text(value).rlike(INTEGER_TEXT)
+    number = F.when(whole_text | (kind(value) != "STRING"), research_number(value))
+    return truncate_to_int(number)

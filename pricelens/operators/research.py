@@ -6,25 +6,24 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pricelens.functions.claims import claim_row, high_share
 from pricelens.functions.json_values import (
-    INTEGER_KINDS,
     NUMERIC_KINDS,
-    first_present,
+    field,
     is_empty,
-    kind,
+    read_fields,
     research_integer,
     research_number,
-    to_text,
+    text,
     variant_struct,
 )
 from pricelens.functions.urls import is_blocked
+from pricelens.schemas import EARNINGS_DDL, REVIEWS_DDL
 
-_ENVELOPE = (
-    "output STRUCT<content: STRING, trust: STRUCT<confidence: STRING, claims: ARRAY<STRING>>>"
-)
-_CLAIM = "path STRING, confidence STRING, citations ARRAY<STRUCT<url: STRING>>"
+_ENVELOPE = "output STRUCT<content: STRING, trust: STRUCT<confidence: STRING, claims: ARRAY<STRING>>>"
+_CLAIM = "STRUCT<path: STRING, confidence: STRING, citations: ARRAY<STRUCT<url: STRING>>>"
 _TEXTS = "array<string>"
 
 
@@ -67,106 +66,112 @@ def run_result(runs: DataFrame) -> DataFrame:
     kept = [name for name in runs.columns if name != "envelope"]
     output = F.col("output")
     parsed = runs.select(*kept, F.from_json("envelope", _ENVELOPE)["output"].alias("output"))
-    opened = parsed.select(
+    objects = F.filter(output["trust"]["claims"], lambda claim: claim.startswith("{"))
+    located = parsed.select(
         *kept,
         output["trust"]["confidence"].alias("confidence"),
-        F.coalesce(envelope_rows(output["content"]), F.array().cast(_TEXTS)).alias("items"),
-        F.transform(
-            F.coalesce(output["trust"]["claims"], F.array().cast(_TEXTS)),
-            lambda text: F.struct(text.alias("text"), F.from_json(text, _CLAIM).alias("claim")),
-        ).alias("claims"),
+        output["content"].alias("content"),
+        F.coalesce(objects, F.array().cast(_TEXTS)).alias("claim_texts"),
     )
-    entries = F.when(
-        F.col("status").eqNullSafe("completed"), _rows_with_claims(F.col("items"), F.col("claims"))
-    ).otherwise(
-        F.array(
-            F.struct(
-                F.lit(None).cast("int").alias("item_index"),
-                F.lit(None).cast("string").alias("item_json"),
-                F.lit(None).cast("array<struct<text:string,claim:struct<" + _struct_type(_CLAIM) + ">>>").alias("claims"),
-            )
-        )
+    claims_list = F.concat(F.lit("["), F.array_join("claim_texts", ","), F.lit("]"))
+    opened = located.select(
+        *kept,
+        "confidence",
+        F.coalesce(envelope_rows(F.col("content")), F.array().cast(_TEXTS)).alias("items"),
+        F.from_json(claims_list, f"ARRAY<{_CLAIM}>").alias("claims"),
+        "claim_texts",
+    )
+    unfinished = F.struct(
+        F.lit(None).cast("int").alias("item_index"),
+        F.lit(None).cast("string").alias("item_json"),
+        F.lit(None).cast(_TEXTS).alias("texts"),
+        F.lit(None).cast(f"ARRAY<{_CLAIM}>").alias("claims"),
     )
-    exploded = opened.select(*kept, "confidence", F.explode(entries).alias("entry"))
-    finished = F.col("entry.item_index").isNotNull()
-    claims = F.col("entry.claims")
-    grades = F.filter(F.transform(claims, lambda c: c["claim"]["confidence"]), lambda g: g != "")
-    high = F.filter(grades, lambda grade: grade == "high")
+    completed = F.col("status").eqNullSafe("completed")
+    entries = F.when(completed, _rows_with_claims()).otherwise(F.array(unfinished))
+    # The outer form, because for the plain one Spark evaluates all of the above a second time, in a
+    # filter on the size of the list. Completed runs without rows are dropped here instead.
+    exploded = opened.select(*kept, "confidence", F.explode_outer(entries).alias("entry")).filter(
+        F.col("entry").isNotNull()
+    )
+    claims, finished = F.col("entry.claims"), F.col("entry.item_index").isNotNull()
+    grades = F.filter(F.transform(claims, lambda c: c["confidence"]), lambda g: g != "")
     urls = F.flatten(
         F.transform(
             claims,
             lambda c: F.coalesce(
-                F.transform(c["claim"]["citations"], lambda cited: cited["url"]),
-                F.array().cast(_TEXTS),
+                F.transform(c["citations"], lambda cited: cited["url"]), F.array().cast(_TEXTS)
             ),
         )
     )
-    return exploded.select(
+    graded = exploded.select(
+        *kept,
+        "confidence",
+        "entry",
+        finished.alias("finished"),
+        grades.alias("grades"),
+        F.array_distinct(F.filter(urls, lambda url: url != "")).alias("source_urls"),
+    )
+    high = F.filter("grades", lambda grade: grade == "high")
+    return graded.select(
         *kept,
-        F.when(finished, F.col("confidence")).alias("confidence"),
+        F.when(F.col("finished"), F.col("confidence")).alias("confidence"),
         F.col("entry.item_index").alias("item_index"),
         F.col("entry.item_json").alias("item_json"),
-        F.array_distinct(F.filter(urls, lambda url: url != "")).alias("source_urls"),
-        high_share(F.size(high), F.size(grades)).alias("high_confidence_share"),
-        F.concat(
-            F.lit("["), F.array_join(F.transform(claims, lambda c: c["text"]), ","), F.lit("]")
-        ).alias("claims_json"),
+        "source_urls",
+        high_share(F.size(high), F.size("grades")).alias("high_confidence_share"),
+        F.concat(F.lit("["), F.array_join("entry.texts", ","), F.lit("]")).alias("claims_json"),
     )
 
 
-def _struct_type(ddl: str) -> str:
-    return ddl.replace("path ", "path:").replace("confidence ", "confidence:").replace("citations ", "citations:")
-
-
-def _rows_with_claims(items: Column, claims: Column) -> Column:
-    """Array of (item_index, item_json, claims), each row with the claims about it in claim order."""
+def _rows_with_claims() -> Column:
+    """Array of (item_index, item_json, texts, claims): each row with the claims about it, in claim
+    order, from the columns ``items``, ``claims`` and ``claim_texts``."""
     marker = -1
-    row_count = F.size(items)
-    indexes = F.when(row_count > 0, F.sequence(F.lit(0), row_count - 1)).otherwise(
-        F.array().cast("array<int>")
+    row_count = F.size("items")
+    markers = F.transform(
+        F.col("items"), lambda _, i: F.struct(i.alias("row"), F.lit(marker).alias("at"))
     )
-    markers = F.transform(indexes, lambda i: F.struct(i.alias("row"), F.lit(marker).alias("at")))
-    placed = F.filter(
+    about_rows = F.filter(
         F.transform(
-            claims,
-            lambda c, at: F.struct(claim_row(c["claim"]["path"]).alias("row"), at.alias("at")),
+            F.col("claims"),
+            lambda claim, at: F.struct(claim_row(claim["path"]).alias("row"), at.alias("at")),
         ),
         lambda place: place["row"] < row_count,
     )
-    # One-element transforms bind a value to a name, so that it is computed once per envelope.
-    sorted_places = F.array(F.array_sort(F.concat(markers, placed)))
-    built = F.transform(
-        F.transform(
-            sorted_places,
-            lambda places: F.struct(
-                places.alias("places"),
-                F.filter(
-                    F.transform(places, lambda p, at: F.when(p["at"] == marker, at)),
-                    lambda start: start.isNotNull(),
-                ).alias("starts"),
-                items.alias("items"),
-                claims.alias("claims"),
-            ),
-        ),
-        lambda env: F.transform(
-            F.sequence(F.lit(0), F.size(env["items"]) - 1),
-            lambda i: F.struct(
+    places = F.array_sort(F.concat(markers, about_rows))
+
+    def starts(sorted_places: Column) -> Column:
+        """Position of each row's marker; the n-th one is that of row n."""
+        positions = F.transform(sorted_places, lambda p, at: F.when(p["at"] == marker, at))
+        return F.filter(positions, lambda position: position.isNotNull())
+
+    def build(env: Column) -> Column:
+        def entry(item: Column, i: Column) -> Column:
+            start = F.get(env["starts"], i)
+            end = F.coalesce(F.get(env["starts"], i + 1), F.size(env["places"]))
+            mine = F.slice(env["places"], start + 2, end - start - 1)
+            return F.struct(
                 i.alias("item_index"),
-                F.get(env["items"], i).alias("item_json"),
-                F.transform(
-                    F.slice(
-                        env["places"],
-                        F.get(env["starts"], i) + 2,
-                        F.coalesce(F.get(env["starts"], i + 1), F.size(env["places"]))
-                        - F.get(env["starts"], i)
-                        - 1,
-                    ),
-                    lambda place: F.get(env["claims"], place["at"]),
-                ).alias("claims"),
-            ),
+                item.alias("item_json"),
+                F.transform(mine, lambda p: F.get(env["texts"], p["at"])).alias("texts"),
+                F.transform(mine, lambda p: F.get(env["claims"], p["at"])).alias("claims"),
+            )
+
+        return F.transform(env["items"], entry)
+
+    # A transform over one element binds its value to a name: computed once per envelope.
+    bound = F.transform(
+        F.array(places),
+        lambda sorted_places: F.struct(
+            sorted_places.alias("places"),
+            starts(sorted_places).alias("starts"),
+            F.col("items").alias("items"),
+            F.col("claims").alias("claims"),
+            F.col("claim_texts").alias("texts"),
         ),
     )
-    return F.when(row_count > 0, F.get(built, F.lit(0)))
+    return F.get(F.transform(bound, build), F.lit(0))
 
 
 def claim_match(claims: DataFrame) -> DataFrame:
@@ -220,7 +225,7 @@ def flag_blocked_sources(df: DataFrame, url: str, domains: Sequence[str]) -> Dat
 _MATCHES = {
     "string": lambda k: k == "STRING",
     "number": lambda k: k.rlike(NUMERIC_KINDS),
-    "integer": lambda k: k.rlike(INTEGER_KINDS + r"|^DECIMAL\([0-9]+,0\)$"),
+    "integer": lambda k: k.rlike(r"^BIGINT$|^DECIMAL\([0-9]+,0\)$"),
     "array": lambda k: k.startswith("ARRAY"),
     "boolean": lambda k: k == "BOOLEAN",
     "null": lambda k: k == "VOID",
@@ -241,7 +246,7 @@ def validate_rows(df: DataFrame, spec: Mapping, item: str = "item_json") -> Data
             checks.append(F.when(value.isNull(), F.lit(f"missing {name}")))
         allowed = F.lit(False)
         for json_type in types:
-            allowed = allowed | _MATCHES[json_type](kind(value))
+            allowed = allowed | _MATCHES[json_type](F.schema_of_variant(value))
         checks.append(F.when(value.isNotNull() & ~allowed, F.lit(f"type of {name}")))
     return parsed.withColumn("violations", F.array_compact(F.array(*checks))).drop("_fields")
 
@@ -255,31 +260,14 @@ def type_earnings(rows: DataFrame, loaded_at: Column) -> DataFrame:
     texts = ["company", "ticker", "fiscal_quarter_label", "currency", "source_url", "source_type"]
     numbers = ["revenue_millions", "revenue_growth_yoy_pct", "gross_margin_pct", "operating_income_millions"]
     raw = F.col("raw")
-    parsed = rows.withColumn(
-        "raw", F.from_json("item_json", variant_struct([*texts, *numbers, "quarter_end_date"]))
-    ).filter(
-        first_present(raw["company"]).isNotNull()
-        & raw["revenue_millions"].isNotNull()
-        & (kind(raw["revenue_millions"]) != "VOID")
+    parsed = rows.withColumn("raw", read_fields("item_json", [*texts, *numbers, "quarter_end_date"])).filter(
+        ~is_empty(field(raw, "company")) & text(field(raw, "revenue_millions")).isNotNull()
     )
-    columns = {name: to_text(raw[name]) for name in texts}
-    columns |= {name: research_number(raw[name]) for name in numbers}
+    columns = {name: text(field(raw, name)) for name in texts}
+    columns |= {name: research_number(field(raw, name)) for name in numbers}
     columns |= _citation_columns(loaded_at)
-    columns["quarter_end_date"] = to_text(raw["quarter_end_date"]).try_cast("date")
-    order = [
-        "company",
-        "ticker",
-        "fiscal_quarter_label",
-        "revenue_millions",
-        "currency",
-        "revenue_growth_yoy_pct",
-        "gross_margin_pct",
-        "operating_income_millions",
-        "source_url",
-        "source_type",
-        *_citation_columns(loaded_at),
-        "quarter_end_date",
-    ]
+    columns["quarter_end_date"] = text(field(raw, "quarter_end_date")).try_cast("date")
+    order = _columns_of(EARNINGS_DDL)
     return parsed.select(*[columns[name].alias(name) for name in order])
 
 
@@ -287,31 +275,29 @@ def type_reviews(rows: DataFrame, loaded_at: Column) -> DataFrame:
     """Review rows of ``run_result`` in the columns of the review table; missing lists are empty."""
     texts = ["brand", "model", "category", "retailer", "product_url"]
     lists = ["top_praise", "top_complaints"]
-    ddl = variant_struct([*texts, "rating", "review_count", "price_usd", *lists])
     raw = F.col("raw")
 
     def phrases(value: Column) -> Column:
-        known = F.when(~is_empty(value), F.try_variant_get(value, "$", _TEXTS))
+        known = F.when(text(value).startswith("["), F.from_json(text(value), "ARRAY<STRING>"))
         return F.coalesce(known, F.array().cast(_TEXTS))
 
+    columns = {name: text(field(raw, name)) for name in texts}
+    columns |= {name: research_number(field(raw, name)) for name in ("rating", "price_usd")}
+    columns |= {"review_count": research_integer(field(raw, "review_count"))}
+    columns |= {name: phrases(field(raw, name)) for name in lists}
+    columns |= _citation_columns(loaded_at)
+    order = _columns_of(REVIEWS_DDL)
     return (
         rows.filter(F.col("item_json").isNotNull())
-        .withColumn("raw", F.from_json("item_json", ddl))
-        .select(
-            to_text(raw["brand"]).alias("brand"),
-            to_text(raw["model"]).alias("model"),
-            to_text(raw["category"]).alias("category"),
-            research_number(raw["rating"]).alias("rating"),
-            research_integer(raw["review_count"]).alias("review_count"),
-            research_number(raw["price_usd"]).alias("price_usd"),
-            to_text(raw["retailer"]).alias("retailer"),
-            to_text(raw["product_url"]).alias("product_url"),
-            *[phrases(raw[name]).alias(name) for name in lists],
-            *[column.alias(name) for name, column in _citation_columns(loaded_at).items()],
-        )
+        .withColumn("raw", read_fields("item_json", [*texts, "rating", "review_count", "price_usd", *lists]))
+        .select(*[columns[name].alias(name) for name in order])
     )
 
 
+def _columns_of(ddl: str) -> list[str]:
+    return StructType.fromDDL(ddl).names
+
+
 def _citation_columns(loaded_at: Column) -> dict[str, Column]:
     return {
         "source_urls": F.col("source_urls"),

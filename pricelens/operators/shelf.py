@@ -12,15 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.brands import BRAND_PATTERNS, brand_of
+from pricelens.functions.brands import BRAND_PATTERNS, brand_from, brand_texts
 from pricelens.functions.json_values import (
+    field,
     first_present,
     is_truthy,
+    read_digits,
+    read_fields,
+    text,
     to_boolean,
     to_integer,
     to_number,
-    to_text,
-    variant_struct,
 )
 
 # The names under which the retailers send each field, in the order they are tried.
@@ -59,62 +61,67 @@ def normalise_shelf(
 ) -> DataFrame:
     """Feed rows from ``retailer``, ``keyword`` and ``item`` (JSON text); other columns are kept.
 
-    ``captured_at`` is the one time of the run. Three projections: parse, pick the first present
-    alias, convert. There is no shuffle and no Python in it, so it serves batches and streams alike.
+    ``captured_at`` is the one time of the run. Four projections: parse, pick the first present
+    alias, convert, look up the brand. Each is a step of its own because its columns are used more
+    than once in the next. There is no shuffle and no Python in it, so it serves batches and streams
+    alike.
     """
     kept = [name for name in items.columns if name not in ("retailer", "keyword", "item")]
     raw = F.col("raw")
     parsed = items.select(
-        *kept, "retailer", "keyword", F.from_json("item", variant_struct(_FIELDS)).alias("raw")
+        *kept, "retailer", "keyword", read_fields("item", _FIELDS).alias("raw")
     )
     picked = parsed.select(
         *kept,
         "retailer",
         "keyword",
-        *[first_present(*[raw[name] for name in names]).alias(field) for field, names in ALIASES.items()],
-        raw[OUT_OF_STOCK].alias("out_of_stock"),
-        raw[AVAILABILITY].alias("availability"),
+        *[first_present(*[field(raw, alias) for alias in names]).alias(name) for name, names in ALIASES.items()],
+        field(raw, OUT_OF_STOCK).alias("out_of_stock"),
+        field(raw, AVAILABILITY).alias("availability"),
     )
     retailer = F.col("retailer")
-    given_url = to_text(F.col("product_url"))
+    given_url = text(F.col("product_url"))
     from_id = F.when(
         (retailer == URL_RETAILER) & is_truthy(F.col("product_id")),
-        _page_from_id(to_text(F.col("product_id"))),
+        _page_from_id(text(F.col("product_id"))),
     )
     price, listed = to_number(F.col("price")), to_number(F.col("list_price"))
     in_stock = F.when(
-        (retailer == "walmart") & F.col("out_of_stock").isNotNull(),
+        (retailer == "walmart") & F.col("out_of_stock.json").isNotNull(),
         ~F.coalesce(to_boolean(F.col("out_of_stock")), F.lit(False)),
     ).when(
         (retailer == "target") & is_truthy(F.col("availability")),
-        F.upper(to_text(F.col("availability"))) == "IN_STOCK",
+        F.upper(text(F.col("availability"))) == "IN_STOCK",
     )
     typed = picked.select(
         *kept,
         "retailer",
         F.col("keyword").alias("search_keyword"),
         to_integer(F.col("position")).alias("position"),
-        to_text(F.col("product_name")).alias("product_name"),
-        to_text(F.col("given_brand")).alias("given_brand"),
+        text(F.col("product_name")).alias("product_name"),
+        text(F.col("given_brand")).alias("given_brand"),
         price.alias("price"),
         F.when(listed <= price, F.lit(None)).otherwise(listed).alias("list_price"),
         to_number(F.col("rating")).alias("rating"),
         to_integer(F.col("review_count")).alias("review_count"),
         to_boolean(F.col("sponsored")).alias("sponsored"),
         in_stock.alias("in_stock"),
-        to_text(F.col("product_id")).alias("product_id"),
+        text(F.col("product_id")).alias("product_id"),
         F.coalesce(given_url, from_id).alias("product_url"),
-        to_text(F.col("image_url")).alias("image_url"),
+        text(F.col("image_url")).alias("image_url"),
+    )
+    named = typed.withColumn(
+        "texts", brand_texts(F.col("product_name"), F.col("given_brand"), F.col("product_url"))
     )
     on_sale = (F.col("list_price") != 0) & (F.col("price") != 0)
     discount = F.round(100 * (F.col("list_price") - F.col("price")) / F.col("list_price"), 1)
-    return typed.select(
+    return named.select(
         *kept,
         "retailer",
         "search_keyword",
         "position",
         "product_name",
-        brand_of(F.col("product_name"), F.col("given_brand"), F.col("product_url"), patterns).alias("brand"),
+        brand_from(F.col("texts"), patterns).alias("brand"),
         "price",
         "list_price",
         F.when(on_sale, discount).alias("discount_pct"),
@@ -156,9 +163,6 @@ def shelf_search(items: DataFrame) -> DataFrame:
     def first(*names: str) -> Column:
         return F.coalesce(*[raw[name] for name in names])
 
-    def digits(value: Column, keep: str, as_type: str) -> Column:
-        return F.regexp_replace(value, f"[^{keep}]", "").try_cast(as_type)
-
     from_id = F.when(F.lower("retailer") == URL_RETAILER, _page_from_id(raw["product_id"]))
     return items.select(*kept, "retailer", plain.alias("raw")).select(
         *kept,
@@ -166,10 +170,12 @@ def shelf_search(items: DataFrame) -> DataFrame:
         raw["position"].try_cast("int").alias("position"),
         raw["product_name"].alias("product_name"),
         raw["product_brand"].alias("brand"),
-        digits(first("price", "product_price", "price_current"), "0-9.", "double").alias("price"),
-        digits(first("original_price", "product_price_original"), "0-9.", "double").alias("list_price"),
-        digits(first("rating", "product_rating"), "0-9.", "double").alias("rating"),
-        digits(first("review_count", "product_reviews_count"), "0-9", "int").alias("review_count"),
+        read_digits(first("price", "product_price", "price_current")).alias("price"),
+        read_digits(first("original_price", "product_price_original")).alias("list_price"),
+        read_digits(first("rating", "product_rating")).alias("rating"),
+        F.regexp_replace(first("review_count", "product_reviews_count"), "[^0-9]", "")
+        .try_cast("int")
+        .alias("review_count"),
         first("sponsored", "is_sponsored", "is_promotion").try_cast("boolean").alias("sponsored"),
         first("asin", "tcin", "product_id").alias("product_id"),
         F.coalesce(raw["product_url"], from_id).alias("product_url"),

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.sources.payloads import is_object, payload_items
+from pricelens.sources.payloads import is_object, with_items
 
 Fetcher = Callable[[str, dict[str, Any]], Any]
 
@@ -75,14 +75,14 @@ def fetch(
     return shaped.repartition(parallelism).mapInPandas(fetch_partition, shaped.schema)
 
 
-def without_items(results: DataFrame) -> DataFrame:
+def empty_results(results: DataFrame) -> DataFrame:
     """Results whose payload holds no item at all."""
-    return results.filter(F.size(payload_items(F.col("payload"))) == 0)
+    return with_items(results).filter(F.size("items") == 0).drop("items")
 
 
-def with_items(results: DataFrame) -> DataFrame:
+def answered_results(results: DataFrame) -> DataFrame:
     """Results whose payload holds at least one item."""
-    return results.filter(F.size(payload_items(F.col("payload"))) > 0)
+    return with_items(results).filter(F.size("items") > 0).drop("items")
 
 
 def refetch_empty(
@@ -94,10 +94,10 @@ def refetch_empty(
     pass is written under ``path`` for the same reason.
     """
     spark = results.sparkSession
-    again = without_items(results).drop("payload", "error").filter(F.col("template").isNotNull())
+    again = empty_results(results).drop("payload", "error").filter(F.col("template").isNotNull())
     fetch(again, fetcher, parallelism, retries, pause).write.parquet(path)
-    never_sent = without_items(results).filter(F.col("template").isNull())
-    return with_items(results).unionByName(never_sent).unionByName(spark.read.parquet(path))
+    never_sent = empty_results(results).filter(F.col("template").isNull())
+    return answered_results(results).unionByName(never_sent).unionByName(spark.read.parquet(path))
 
 
 def fetch_twice(
@@ -122,7 +122,7 @@ def fetch_coverage(results: DataFrame) -> DataFrame:
     """Per retailer: products found, searches made, searches with results and without."""
     items = F.col("items")
     return (
-        results.select("retailer", payload_items(F.col("payload")).alias("items"))
+        with_items(results.select("retailer", "payload"))
         .select(
             "retailer",
             F.size(F.filter(items, is_object)).alias("products"),
@@ -140,6 +140,6 @@ def fetch_coverage(results: DataFrame) -> DataFrame:
 
 def empty_searches(results: DataFrame) -> DataFrame:
     """The searches without results, one row each, as ``retailer / keyword`` and the error if any."""
-    return without_items(results).select(
+    return empty_results(results).select(
         F.concat_ws(" / ", "retailer", "keyword").alias("search"), "error"
     )

@@ -2,6 +2,10 @@
 
 Every function parses a payload once, with a declared schema, and never raises: what is malformed
 gives no rows or NULL fields.
+
+Lists are opened with the outer form of explode, and the rows of empty lists are filtered out
+afterwards: for the plain form Spark adds a filter on the list's size and pushes it down to the
+scan, which parses every payload a second time.
 """
 
 from __future__ import annotations
@@ -9,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.functions.json_values import FLOAT_TEXT
+
 ITEM_LISTS = ["entities", "products", "results", "items"]
 
 _PARSING = "STRUCT<" + ", ".join(f"{name}: ARRAY<STRING>" for name in ITEM_LISTS) + ">"
 _ENVELOPE = f"status STRING, data STRUCT<parsing: {_PARSING}>"
 _AS_TEXT = "data STRUCT<parsing: STRING>"
-_AS_LIST = "data STRUCT<parsing: ARRAY<STRING>>"
 
 _SEARCH = "results ARRAY<STRUCT<title: STRING, description: STRING, url: STRING, content: STRING>>"
 SNIPPET_LENGTH = 300
@@ -30,18 +35,35 @@ _PRODUCT_PAGE = (
 )
 
 
-def payload_items(payload: Column) -> Column:
-    """Parsed items of a template payload as an array of JSON texts, empty when there are none.
+def _object_only(text: Column) -> Column:
+    """The text where it can be a JSON object, else NULL: a parse that fails costs an exception."""
+    return F.when(text.rlike(r"^\s*\{"), text)
+
+
+def with_items(payloads: DataFrame) -> DataFrame:
+    """Adds ``items``: the parsed items of a template payload as JSON texts, empty without any.
 
     An object under ``data.parsing`` holds the items in the first of the known lists that really is
-    a list, or is itself the one item; a list is the items. The two further parses are needed only
-    where the first finds no known list, and ``coalesce`` evaluates them only there.
+    a list, or is itself the one item; a list is the items. One parse is enough for the usual shape;
+    the others are parsed once more, as text, to see what is there. Each parse is a select of its
+    own, because its result is used several times.
     """
-    parsing = F.from_json(payload, _ENVELOPE)["data"]["parsing"]
-    itself = F.when(parsing.isNotNull(), F.array(F.from_json(payload, _AS_TEXT)["data"]["parsing"]))
-    as_list = F.from_json(payload, _AS_LIST)["data"]["parsing"]
-    nothing = F.array().cast("array<string>")
-    return F.coalesce(*[parsing[name] for name in ITEM_LISTS], itself, as_list, nothing)
+    listed, parsing = F.col("_listed"), F.col("_parsing")
+    json = _object_only(F.col("payload"))
+    as_text = F.when(F.col("_items").isNull(), F.from_json(json, _AS_TEXT)["data"]["parsing"])
+    items = F.coalesce(
+        "_items",
+        F.when(parsing.startswith("["), F.from_json(parsing, "ARRAY<STRING>")),
+        F.when(parsing.startswith("{"), F.array(parsing)),
+        F.array().cast("array<string>"),
+    )
+    return (
+        payloads.withColumn("_listed", F.from_json(json, _ENVELOPE)["data"]["parsing"])
+        .withColumn("_items", F.coalesce(*[listed[name] for name in ITEM_LISTS]))
+        .withColumn("_parsing", as_text)
+        .withColumn("items", items)
+        .drop("_listed", "_items", "_parsing")
+    )
 
 
 def is_object(item: Column) -> Column:
@@ -52,9 +74,10 @@ def is_object(item: Column) -> Column:
 def unwrap_items(payloads: DataFrame) -> DataFrame:
     """One row per item that is an object: the payload's other columns, ``item_index``, ``item``."""
     kept = [name for name in payloads.columns if name != "payload"]
-    return payloads.select(
-        *kept, F.posexplode(payload_items(F.col("payload"))).alias("item_index", "item")
-    ).filter(is_object(F.col("item")))
+    exploded = with_items(payloads).select(
+        *kept, F.posexplode_outer("items").alias("item_index", "item")
+    )
+    return exploded.filter(is_object(F.col("item")))
 
 
 def search_results(payloads: DataFrame) -> DataFrame:
@@ -64,8 +87,9 @@ def search_results(payloads: DataFrame) -> DataFrame:
     empty text.
     """
     kept = [name for name in payloads.columns if name != "payload"]
-    hits = payloads.select(
-        *kept, F.posexplode(F.from_json("payload", _SEARCH)["results"]).alias("result_index", "hit")
+    results = F.from_json(_object_only(F.col("payload")), _SEARCH)["results"]
+    hits = payloads.select(*kept, F.posexplode_outer(results).alias("result_index", "hit")).filter(
+        "result_index IS NOT NULL"
     )
     hit = F.col("hit")
     full_content = F.when(hit["content"] != "", hit["content"])
@@ -88,8 +112,8 @@ def product_page(items: DataFrame) -> DataFrame:
         *kept,
         page["asin"].alias("asin"),
         page["product_title"].alias("product_title"),
-        page["web_price"].try_cast("double").alias("price"),
-        page["average_of_reviews"].try_cast("double").alias("rating"),
+        _number(page["web_price"]).alias("price"),
+        _number(page["average_of_reviews"]).alias("rating"),
         page["number_of_reviews"].try_cast("int").alias("review_count"),
         page["reviews_statistics_percentage_five_to_zero"][FIVE_STAR_FIELD].alias("five_star_pct"),
         F.array_join(page["review_mentions_with_positive_sentiment"], ", ").alias("positive_mentions"),
@@ -99,6 +123,10 @@ def product_page(items: DataFrame) -> DataFrame:
     )
 
 
+def _number(text: Column) -> Column:
+    return F.when(text.rlike(FLOAT_TEXT), text.try_cast("double"))
+
+
 def run_start_rows(responses: DataFrame, error_length: int = 500) -> DataFrame:
     """Outcome of starting a research run from ``http_code``, ``body`` and ``exception``.
 

@@ -107,8 +107,8 @@ def _requests(spark, sf_dir):
 
 
 def _fetched(results: DataFrame) -> DataFrame:
-    items = payloads.payload_items(F.col("payload"))
-    return results.select("retailer", "keyword", F.size(items).alias("items"), "error")
+    counted = payloads.with_items(results).withColumn("items", F.size("items"))
+    return counted.select("retailer", "keyword", "items", "error")
 
 
 @query
@@ -271,18 +271,17 @@ def upsert(spark, sf_dir):
 
 
 def _values(spark, sf_dir):
-    raw = F.from_json("item", json_values.variant_struct(["a", "b", "c"]))
-    value = json_values.first_present(F.col("raw.a"), F.col("raw.b"), F.col("raw.c"))
+    fields = [json_values.field(F.col("raw"), key) for key in "abc"]
     return (
         data.value_items(spark, sf_dir)
-        .withColumn("raw", raw)
-        .select(*data.ROW_KEY, value.alias("v"))
+        .withColumn("raw", json_values.read_fields("item", "abc"))
+        .select(*data.ROW_KEY, json_values.first_present(*fields).alias("v"))
     )
 
 
 @query
 def first_present(spark, sf_dir):
-    return _values(spark, sf_dir).select(*data.ROW_KEY, json_values.to_text(F.col("v")).alias("value"))
+    return _values(spark, sf_dir).select(*data.ROW_KEY, json_values.text(F.col("v")).alias("value"))
 
 
 @query
