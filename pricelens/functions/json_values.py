@@ -24,6 +24,12 @@ FLOAT_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 ZERO_NUMBER = r"^-?[0.]+$"
 
+# Fixed value: the characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def read_fields(item: str, keys: Iterable[str]) -> Column:
     """The named fields of a JSON object, once as text and once as VARIANT.
@@ -60,7 +66,7 @@ def kind(value: Column) -> Column:
 
 def strip(value: Column) -> Column:
     """Text without leading and trailing white space of any sort (``trim`` removes spaces only)."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITE_SPACE))
 
 
 def is_empty(value: Column) -> Column:
@@ -104,11 +110,8 @@ def to_number(value: Column) -> Column:
     ``"49.99 - $59.99"`` is NULL while ``"$10 - $20"`` is 1020.
     """
     signed = text(value).rlike(FLOAT_TEXT) & kind(value).rlike(NUMERIC_KINDS)
-    return (
-        F.when(text(value).rlike(PLAIN_NUMBER), text(value).try_cast("double"))
-        .when(signed, text(value).try_cast("double"))
-        .otherwise(read_digits(text(value)))
-    )
+    as_it_is = text(value).rlike(PLAIN_NUMBER) | signed
+    return F.when(as_it_is, text(value).try_cast("double")).otherwise(read_digits(text(value)))
 
 
 def truncate_to_int(number: Column) -> Column:

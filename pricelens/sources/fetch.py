@@ -75,14 +75,21 @@ def fetch(
     return shaped.repartition(parallelism).mapInPandas(fetch_partition, shaped.schema)
 
 
+def _counted(results: DataFrame) -> DataFrame:
+    """Adds ``item_count``. The explode over one element keeps a later filter on the count where it
+    is: pushed below, it would repeat the whole parse once per place the items are used in."""
+    counted = with_items(results).withColumn("_count", F.size("items"))
+    return counted.select(*results.columns, F.explode(F.array("_count")).alias("item_count"))
+
+
 def empty_results(results: DataFrame) -> DataFrame:
     """Results whose payload holds no item at all."""
-    return with_items(results).filter(F.size("items") == 0).drop("items")
+    return _counted(results).filter("item_count = 0").drop("item_count")
 
 
 def answered_results(results: DataFrame) -> DataFrame:
     """Results whose payload holds at least one item."""
-    return with_items(results).filter(F.size("items") > 0).drop("items")
+    return _counted(results).filter("item_count > 0").drop("item_count")
 
 
 def refetch_empty(

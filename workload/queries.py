@@ -12,7 +12,7 @@ from pricelens.operators import keyed, ledger, research, shelf
 from pricelens.plans import audit, compare, questions, reports
 from pricelens.schemas import EARNINGS_SPEC
 from pricelens.session import shared_dir
-from pricelens.sources import fetch, payloads, requests, tables
+from pricelens.sources import fetch, payloads, requests, sql_functions, tables
 from pricelens.streaming import feeds
 from workload import standins as data
 
@@ -129,19 +129,19 @@ def refetch_empty(spark, sf_dir):
 
 @query
 def fetch_coverage(spark, sf_dir):
-    return fetch.fetch_coverage(data.payloads(spark, sf_dir))
+    return fetch.fetch_coverage(data.stored(spark, sf_dir, data.payloads))
 
 
 @query
 def empty_searches(spark, sf_dir):
-    results = data.payloads(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
+    results = data.stored(spark, sf_dir, data.payloads).withColumn("error", F.lit(None).cast("string"))
     return fetch.empty_searches(results).groupBy("search").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query
 def unwrap_items(spark, sf_dir):
     name = F.coalesce(F.get_json_object("item", "$.title"), F.get_json_object("item", "$.product_name"))
-    return payloads.unwrap_items(data.payloads(spark, sf_dir)).select(
+    return payloads.unwrap_items(data.stored(spark, sf_dir, data.payloads)).select(
         *data.ROW_KEY, "retailer", "keyword", "item_index", name.alias("name")
     )
 
@@ -169,7 +169,19 @@ def search_requests(spark, sf_dir):
 
 @query
 def shelf_search(spark, sf_dir):
-    return shelf.shelf_search(data.items(spark, sf_dir).drop("keyword"))
+    return shelf.shelf_search(data.stored(spark, sf_dir, data.items).drop("keyword"))
+
+
+@query
+def retail_search_function(spark, sf_dir):
+    responses = data.stored(spark, sf_dir, data.payloads)
+    sql_functions.register_retail_search(spark, responses)
+    searches = responses.select("retailer", "keyword").distinct()
+    return spark.sql(
+        """SELECT f.retailer, count(*) AS products, count(f.price) AS priced, count(f.list_price) AS listed
+           FROM {searches} s, LATERAL retail_search(s.retailer, s.keyword) f GROUP BY f.retailer""",
+        searches=searches,
+    )
 
 
 @query
@@ -313,14 +325,14 @@ def brand_of(spark, sf_dir):
 
 @query
 def normalise_shelf(spark, sf_dir):
-    items = payloads.unwrap_items(data.payloads(spark, sf_dir)).drop("item_index")
+    items = payloads.unwrap_items(data.stored(spark, sf_dir, data.payloads)).drop("item_index")
     feed = shelf.normalise_shelf(items, _run_at())
     return feed.withColumn("captured_at", F.date_format("captured_at", "yyyy-MM-dd"))
 
 
 @query
 def type_research_rows(spark, sf_dir):
-    rows = research.run_result(data.envelopes(spark, sf_dir))
+    rows = research.run_result(data.stored(spark, sf_dir, data.envelopes))
     typed = research.type_earnings(rows, _run_at())
     return typed.select(
         "run_id",
@@ -353,7 +365,7 @@ def type_review_rows(spark, sf_dir):
 
 @query
 def run_result(spark, sf_dir):
-    return research.run_result(data.envelopes(spark, sf_dir)).select(
+    return research.run_result(data.stored(spark, sf_dir, data.envelopes)).select(
         "run_id",
         "status",
         "confidence",
@@ -367,7 +379,7 @@ def run_result(spark, sf_dir):
 
 @query
 def validate_rows(spark, sf_dir):
-    rows = research.run_result(data.envelopes(spark, sf_dir)).filter("item_index IS NOT NULL")
+    rows = research.run_result(data.stored(spark, sf_dir, data.envelopes)).filter("item_index IS NOT NULL")
     return research.validate_rows(rows, EARNINGS_SPEC).select(
         "run_id", "item_index", F.array_join("violations", "; ").alias("violations")
     )

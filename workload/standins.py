@@ -7,11 +7,13 @@ and customer grow with the data and are joined without hints; Spark picks the jo
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.schemas import RETAILER_TEMPLATES
+from pricelens.session import shared_dir
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 OWN_BRAND, SUB_BRAND, WATCHED = "Brand#1", "Brand#2", "widget"
@@ -33,6 +35,20 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, view: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A view written once per session, in the cluster's shared folder: fetched payloads are a table
+    in a real feed too, and writing their JSON would cost more than reading it."""
+    key = (spark.sparkContext.applicationId, sf_dir, view.__name__)
+    if key not in _STORED:
+        path = shared_dir(spark, view.__name__)
+        view(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows on all cores where the input is one small file, as the test tables are. Tables of many
     files are spread already and stay as they are."""
