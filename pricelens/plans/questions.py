@@ -35,7 +35,9 @@ def fastest_growth(earnings: DataFrame, tie_break: Sequence[Column] = ()) -> Dat
     )
 
 
-def well_rated(watchlist: DataFrame, reviews: DataFrame, above: float = 4.5, loaded: str = "loaded_at") -> DataFrame:
+def well_rated(
+    watchlist: DataFrame, reviews: DataFrame, above: float = 4.5, loaded: str = "loaded_at"
+) -> DataFrame:
     """Watchlist products rated above a threshold in their latest run, one row per complaint."""
     current = latest_run_per_key(reviews, ["brand", "model"], loaded).filter(F.col("rating") > above)
     return current.join(watchlist.select("brand", "model"), ["brand", "model"], "left_semi").select(

@@ -107,8 +107,10 @@ def upsert_table(
 
     ``partition`` has to be one of the matched columns, so a source row can only touch the partition
     it lies in: only those partitions are read and replaced, the others are left as they are.
-    ``source`` is read twice and should be a written table. The new state is written to ``staging`` first, as a folder cannot be replaced while it is read; if
-    the job dies while the partitions are being replaced, ``staging`` still holds them complete.
+    ``source`` is read twice and should be a written table.
+
+    The new state is written to ``staging`` first, as a folder cannot be replaced while it is read;
+    if the job dies while the partitions are being replaced, ``staging`` still holds them complete.
     Each partition is swapped by itself, so a reader may see some of them new and others old.
     """
     spark = source.sparkSession

@@ -10,7 +10,6 @@ from pyspark.sql import SparkSession
 from pricelens.session import shared_dir
 
 entry = importlib.import_module("__spark_entry__")
-SLOW = {"empty_searches"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +28,7 @@ def test_flagship(spark: SparkSession):
     assert entry.entry(spark).columns[:3] == ["brand", "retailer", "products"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries().keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_equals_sql(spark, tables, sf_dir, name):
     df = entry.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)

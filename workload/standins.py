@@ -9,8 +9,10 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pricelens.schemas import RETAILER_TEMPLATES
 from pricelens.session import shared_dir
@@ -25,8 +27,15 @@ AUDIT_SCOPE = "scope_1"
 AUDIT_ACTIONS = ["click", "purchase"]
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Its schema is looked up once; with a schema no file is opened to plan a read."""
+    path = f"{sf_dir}/{name}.parquet"
+    if (sf_dir, name) not in _SCHEMAS:
+        _SCHEMAS[sf_dir, name] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[sf_dir, name]).parquet(path)
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +51,15 @@ def stored(spark: SparkSession, sf_dir: str, view: Callable[[SparkSession, str],
     """A view written once per session, in the cluster's shared folder: fetched payloads are a table
     in a real feed too, and writing their JSON would cost more than reading it."""
     key = (spark.sparkContext.applicationId, sf_dir, view.__name__)
-    if key not in _STORED:
-        path = shared_dir(spark, view.__name__)
-        view(spark, sf_dir).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    if key in _STORED:
+        try:
+            return spark.read.parquet(_STORED[key])
+        except AnalysisException:
+            pass  # the folder was cleared, so it is written again
+    path = shared_dir(spark, view.__name__)
+    view(spark, sf_dir).write.parquet(path)
+    _STORED[key] = path
+    return spark.read.parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
