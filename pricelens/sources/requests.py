@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.schemas import RETAILER_TEMPLATES
+from pricelens.schemas import RETAILER_TEMPLATES, TASK_WORDING
 
 DEFAULT_RESULTS = 5
 
@@ -92,11 +92,7 @@ def _json_text(value: Column) -> Column:
 
 def expand_tasks(companies: DataFrame, quarters: int = 4) -> DataFrame:
     """One research task per company, as ``label`` and the text of the ``task``."""
-    wording = (
-        f"Return the {quarters} most recent fiscal quarters that %s has reported as of today, "
-        "one row per quarter. Use the company's own fiscal calendar, quarter labels and "
-        "reporting currency."
-    )
+    wording = TASK_WORDING.replace("%d", str(quarters))
     return companies.select(
         F.col("company").alias("label"), F.format_string(wording, F.col("company")).alias("task")
     )

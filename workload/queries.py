@@ -173,13 +173,13 @@ def shelf_search(spark, sf_dir):
 
 
 @query
-def retail_search_function(spark, sf_dir):
+def search_shelf_function(spark, sf_dir):
     responses = data.stored(spark, sf_dir, data.payloads)
-    sql_functions.register_retail_search(spark, responses)
+    sql_functions.register_search_shelf(spark, responses)
     searches = responses.select("retailer", "keyword").distinct()
     return spark.sql(
         """SELECT f.retailer, count(*) AS products, count(f.price) AS priced, count(f.list_price) AS listed
-           FROM {searches} s, LATERAL retail_search(s.retailer, s.keyword) f GROUP BY f.retailer""",
+           FROM {searches} s, LATERAL search_shelf(s.retailer, s.keyword) f GROUP BY f.retailer""",
         searches=searches,
     )
 
