@@ -31,7 +31,11 @@ def register_search_web(spark: SparkSession, responses: DataFrame) -> None:
 
 
 def register_search_shelf(spark: SparkSession, responses: DataFrame) -> None:
-    """``search_shelf(retailer, keyword)`` over ``retailer`` (lower case), ``keyword``, ``payload``."""
+    """``search_shelf(retailer, keyword)`` over ``retailer`` (lower case), ``keyword``, ``payload``.
+
+    The retailer comes back as the table has it. Giving back the argument instead would turn the
+    LATERAL join into a nested loop over all pairs.
+    """
     items = unwrap_items(responses.select("retailer", "keyword", "payload")).drop("item_index")
     shelf_search(items).createOrReplaceTempView("search_shelf_items")
     spark.sql("""
@@ -41,7 +45,7 @@ def register_search_shelf(spark: SparkSession, responses: DataFrame) -> None:
         RETURNS TABLE (retailer STRING, position INT, product_name STRING, brand STRING, price DOUBLE,
                        list_price DOUBLE, rating DOUBLE, review_count INT, sponsored BOOLEAN,
                        product_id STRING, product_url STRING)
-        RETURN SELECT search_shelf.retailer, i.position, i.product_name, i.brand, i.price, i.list_price, i.rating,
+        RETURN SELECT i.retailer, i.position, i.product_name, i.brand, i.price, i.list_price, i.rating,
                       i.review_count, i.sponsored, i.product_id, i.product_url
                FROM search_shelf_items i
                WHERE i.retailer = lower(search_shelf.retailer) AND i.keyword = search_shelf.keyword
