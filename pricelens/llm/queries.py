@@ -6,20 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelens.llm import language, quality
+from pricelens.llm import byte_bpe, fit_packing, language, quality, tier_packing
 from pricelens.llm.tables import read
 
 
+def op1_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tier_packing.packed(read(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.learn_and_score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(read(spark, sf_dir, "documents"))
+
+
+def op5_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit_packing.matrices(read(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.learn_and_identify(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tier_packing": op1_tier_packing,
     "op2_quality": op2_quality,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op5_fit_packing": op5_fit_packing,
     "op6_language": op6_language,
 }
 
