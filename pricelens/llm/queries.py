@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelens.llm import byte_bpe, fit_packing, language, quality, tier_packing
+from pricelens.llm import byte_bpe, fit_packing, language, permutation_index, quality, tier_packing, weighted_fingerprints
 from pricelens.llm.tables import read
 
 
@@ -22,6 +22,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op5_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_packing.matrices(read(spark, sf_dir, "documents"))
 
@@ -30,12 +34,18 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.learn_and_identify(read(spark, sf_dir, "documents"))
 
 
+def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_fingerprints.compared_with_edits(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tier_packing": op1_tier_packing,
     "op2_quality": op2_quality,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_permutation_index": op4_permutation_index,
     "op5_fit_packing": op5_fit_packing,
     "op6_language": op6_language,
+    "op10_weighted_fingerprints": op10_weighted_fingerprints,
 }
 
 #: None of these has a plain SQL form; tests/llm compares each with a brute-force version.
