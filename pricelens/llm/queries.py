@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelens.llm import byte_bpe, fit_packing, language, permutation_index, quality, tier_packing, weighted_fingerprints
+from pricelens.llm import bloom_lm, byte_bpe, fit_packing, language, permutation_index, quality, tier_packing, weighted_fingerprints
 from pricelens.llm.tables import read
 
 
@@ -34,6 +34,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.learn_and_identify(read(spark, sf_dir, "documents"))
 
 
+def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.scored(read(spark, sf_dir, "documents"))
+
+
 def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_fingerprints.compared_with_edits(read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_permutation_index": op4_permutation_index,
     "op5_fit_packing": op5_fit_packing,
     "op6_language": op6_language,
+    "op7_bloom_lm": op7_bloom_lm,
     "op10_weighted_fingerprints": op10_weighted_fingerprints,
 }
 

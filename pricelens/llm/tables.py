@@ -22,11 +22,11 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, *folders: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: what is read twice is computed once, and a
-    lost executor costs a read instead of the jobs before."""
+    lost executor costs a read instead of the jobs before. ``folders`` are columns to partition by."""
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
