@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelens.llm import bloom_lm, byte_bpe, fit_packing, language, permutation_index, quality, shingle_join, tier_packing, weighted_fingerprints
+from pricelens.llm import bloom_lm, byte_bpe, fit_packing, language, permutation_index, quality, shingle_join, suffix_dedup, tier_packing, weighted_fingerprints
 from pricelens.llm.tables import read
 
 
@@ -38,6 +38,10 @@ def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.scored(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read(spark, sf_dir, "documents"))
+
+
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.linked_documents(read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fit_packing": op5_fit_packing,
     "op6_language": op6_language,
     "op7_bloom_lm": op7_bloom_lm,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_shingle_join": op9_shingle_join,
     "op10_weighted_fingerprints": op10_weighted_fingerprints,
 }
