@@ -3,7 +3,8 @@
 The pattern of byte-level BPE always starts a new match at a space before a non-space, and at a line
 feed between non-spaces. A text whose white space is single spaces and line feeds can therefore be
 cut there, and each chunk encoded by itself; any other text is encoded as a whole. Words repeat, so
-most chunks are found in the cache. The cache is emptied when full, which bounds a worker's memory.
+most chunks are found in the cache. A full cache becomes the old one, from which chunks that are
+still in use move over; the one before is dropped, which bounds a worker's memory.
 """
 
 from __future__ import annotations
@@ -13,25 +14,49 @@ from collections.abc import Callable
 
 import numpy as np
 
-CACHED = 400_000
+CACHED = 500_000
 _UNEVEN = re.compile(r"[ \n]\s|[^\S \n]")
 
 
+#: Chunks encoded as one text.
+JOINED = 64
+
+
 class ChunkEncoder:
-    """``encode_all`` takes texts and returns each one's ids as little-endian unsigned 32-bit bytes."""
+    """``encode_all`` takes texts and returns each one's ids as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]]):
-        self.encode_all = encode_all
+    ``opens`` says of every id whether its token begins with a space or a line feed. Only a chunk's first
+    token does, so with it chunks can be encoded many at a time and told apart afterwards.
+    """
+
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], opens: np.ndarray | None = None):
+        self.encode_all, self.opens = encode_all, opens
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        plain = [x if x[:1] == "\n" else f" {x}" for x in chunks]
+        if self.opens is None:
+            return self.encode_all(plain)
+        out: list[bytes] = []
+        for k, raw in enumerate(self.encode_all(["".join(plain[at : at + JOINED]) for at in range(0, len(plain), JOINED)])):
+            part = plain[k * JOINED : (k + 1) * JOINED]
+            first = np.flatnonzero(self.opens[ids_of(raw)]).tolist()
+            ends = [4 * n for n in first[1:]] + [len(raw)]
+            told = len(first) == len(part) and min(map(len, part)) > 1  # white space alone merges with what follows
+            out += [raw[4 * a : b] for a, b in zip(first, ends, strict=True)] if told else self.encode_all(part)
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = [bool(_UNEVEN.search(t)) for t in texts]
         parts = [None if w else t.replace("\n", " \n").split(" ") for t, w in zip(texts, whole, strict=True)]
         if len(self.cache) > CACHED:
-            self.cache.clear()
-        cache = self.cache
-        new = list(set().union(*(p[1:] for p in parts if p)).difference(cache))
-        cache.update(zip(new, self.encode_all([x if x[:1] == "\n" else f" {x}" for x in new]), strict=True))
+            self.cache, self.old = {}, self.cache
+        cache, old = self.cache, self.old
+        absent = set().union(*(p[1:] for p in parts if p)).difference(cache)
+        cache.update((x, old[x]) for x in absent if x in old)
+        new = list(absent.difference(old))
+        cache.update(zip(new, self._encode_chunks(new), strict=True))
         alone = self.encode_all([t if p is None else p[0] for t, p in zip(texts, parts, strict=True)])
         return [a if p is None else a + b"".join(map(cache.__getitem__, p[1:])) for a, p in zip(alone, parts, strict=True)]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,6 +15,8 @@ from pricelens.llm.chunks import ChunkEncoder, ids_of
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 1
+#: How the vocabulary writes a space and a line feed.
+_OPENING = ("\u0120", "\u010a")
 #: Documents encoded at a time.
 TEXTS_AT_ONCE = 256
 
@@ -33,9 +36,12 @@ def encoder(path: str) -> ChunkEncoder:
     tokenizer.encode_special_tokens = True
 
     def encode_all(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return ChunkEncoder(encode_all)
+    opens = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, at in tokenizer.get_vocab().items():
+        opens[at] = token[:1] in _OPENING
+    return ChunkEncoder(encode_all, opens)
 
 
 def token_rows(batches: Iterator[pa.RecordBatch], path: str, end: int = END) -> Iterator[tuple[int | None, np.ndarray]]:
