@@ -120,37 +120,69 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, size: int = SIZE)
     return {k: v / np.linalg.norm(v) for k, v in sorted(out.items()) if np.linalg.norm(v) > 0}
 
 
+def _best(texts: list[str | None], names: list[str], table: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The language and the cosine of each text."""
+    best, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    for start in range(0, len(texts) if names else 0, TEXTS_AT_ONCE):
+        vectors = bundles(texts[start : start + TEXTS_AT_ONCE], table.shape[1], size)
+        norms = np.linalg.norm(vectors, axis=1)
+        cosines = vectors @ table.T / np.where(norms > 0, norms, 1)[:, None]
+        for k in np.flatnonzero(norms > 0):
+            best[start + k] = names[int(cosines[k].argmax())]
+            score[start + k] = float(np.clip(cosines[k].max(), 0, 1))
+    return best, score
+
+
+def _table(profiles: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    names = sorted(profiles)
+    return names, np.stack([profiles[n] for n in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
+
+
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = SIZE) -> DataFrame:
     """Every row of ``docs`` with ``lang_pred`` and ``score``, the cosine with that prototype (at least 0).
 
     A text that is null, empty or without a letter gets ``und`` and 0; so does every text when nothing
-    was learned. Ties go to the language that sorts first. Other columns pass through.
+    was learned. Ties go to the language that sorts first. Other columns pass through; columns of the
+    two names are replaced.
     """
-    names = sorted(profiles)
-    table = np.stack([profiles[n] for n in names]).astype(np.float32) if names else None
-    dimensions = table.shape[1] if names else DIMENSIONS
+    names, table = _table(profiles)
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            best, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            for start in range(0, len(texts) if names else 0, TEXTS_AT_ONCE):
-                vectors = bundles(texts.iloc[start : start + TEXTS_AT_ONCE].tolist(), dimensions, size)
-                norms = np.linalg.norm(vectors, axis=1)
-                cosines = vectors @ table.T / np.where(norms > 0, norms, 1)[:, None]
-                for k in np.flatnonzero(norms > 0):
-                    best[start + k] = names[int(cosines[k].argmax())]
-                    score[start + k] = float(np.clip(cosines[k].max(), 0, 1))
+            best, score = _best(texts.tolist(), names, table, size)
             yield pd.DataFrame({"lang_pred": best, "score": score})
 
     guess = F.pandas_udf(predict, "lang_pred string, score double")
-    return docs.withColumn("_guess", guess("text")).select(*docs.columns, "_guess.lang_pred", "_guess.score")
+    others = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return docs.withColumn("_guess", guess("text")).select(*others, "_guess.lang_pred", "_guess.score")
+
+
+#: A text of so many code points whose cosine with every prototype is lower is in no known language.
+CLEAR_LENGTH, CLEAR_SCORE = 400, 0.25
+
+
+def in_known_language(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = SIZE) -> DataFrame:
+    """The rows of ``docs`` without texts that have no letter, and without long ones far from every language.
+    Short texts have low cosines by chance, so they stay if they have a letter."""
+    names, table = _table(profiles)
+
+    def accept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            best, score = _best(texts.tolist(), names, table, size)
+            clear = np.array([len(t or "") >= CLEAR_LENGTH for t in texts], bool)
+            yield pd.Series((best != UNKNOWN) & ~(clear & (score < CLEAR_SCORE)), dtype=bool)
+
+    return docs.where(F.pandas_udf(accept, "boolean")("text"))
+
+
+def learned(docs: DataFrame) -> dict[str, np.ndarray]:
+    """Prototypes from the documents whose crc32 fold of 4 is not 2."""
+    taught = docs.where(fold(F.col("doc_id").cast("long"), 4) != 2)
+    return prototypes(taught.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
 
 
 def learn_and_identify(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, ``held_out``, ``lang_pred``, ``score``. Learns from the documents whose
     crc32 fold of 4 is not 2; a null language teaches nothing. An empty table gives no row."""
     held_out = (fold(F.col("doc_id").cast("long"), 4) == 2).alias("held_out")
-    taught = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held_out)
-    profiles = prototypes(taught.where("NOT held_out"))
-    plain = documents(docs)
-    return identify(plain, profiles).select("doc_id", held_out, "lang_pred", "score")
+    return identify(documents(docs), learned(docs)).select("doc_id", held_out, "lang_pred", "score")

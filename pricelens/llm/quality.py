@@ -148,21 +148,33 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nd
     return x[own], x[~own]
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row of ``docs`` with ``score`` (0 to 1) and ``predicted``; a null text counts as empty."""
+def learned(docs: DataFrame, labels: DataFrame) -> Model:
+    return fit(*training_rows(documents(docs), labels))
+
 
+def _scorer(model: Model):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.score(np.stack([features(t) for t in texts])) if len(texts) else [], dtype="float64")
 
-    out = docs.withColumn("score", F.pandas_udf(score, "double")("text"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return F.pandas_udf(score, "double")
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """Every row of ``docs`` with ``score`` (0 to 1) and ``predicted``; a null text counts as empty. Columns of
+    these names are replaced."""
+    return docs.withColumn("score", _scorer(model)("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose text scores a half or more."""
+    return docs.where(_scorer(model)("text") >= 0.5)
 
 
 def learn_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, ``held_out``, ``score``, ``predicted``. Labels of the fold 1 of 3 are
     never read; without any label every score is a half. An empty table gives no row."""
     plain = documents(docs)
-    model = fit(*training_rows(plain, labels))
+    model = learned(plain, labels)
     held_out = (fold(F.col("doc_id"), 3) == 1).alias("held_out")
     return scored(plain, model).select("doc_id", held_out, "score", "predicted")

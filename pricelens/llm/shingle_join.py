@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.llm.components import components
@@ -44,7 +44,7 @@ PERCENT = 80
 #: The most matches asked of a prefix, shingles in a block, classes and shingles in a chunk.
 MOST_MATCHES, BLOCK, CHUNK, CHUNK_SHINGLES = 32, 1 << 20, 512, 1 << 20
 TEXTS_AT_ONCE = 256
-_ABOUT = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("key", "<i8"), ("n", "<i8"), ("sid", "<i8")])
+_ABOUT = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("key", "<i8"), ("t", "<i8"), ("n", "<i8"), ("sid", "<i8")])
 
 
 def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
@@ -103,7 +103,7 @@ _SENT = "bucket int, block long, docs binary, hashes binary, about binary, sids
 
 
 def _sent(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
-    """Shingles of ``docs`` (``doc_id``, ``key``, ``text``) by bucket. With ``whole``, ``sid`` says which set
+    """Shingles of ``docs`` (``doc_id``, ``key``, ``t``, ``text``) by bucket. With ``whole``, ``sid`` says which set
     is wanted of a text, and a set is sent once; equal sets must then be in one partition."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +114,16 @@ def _sent(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
             for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(start, TEXTS_AT_ONCE)
                 wanted = part.column("sid").to_pylist() if whole else [None] * part.num_rows
-                rows = zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), wanted, shingle_sets([t or "" for t in part.column("text").to_pylist()]), strict=True)
-                for doc_id, key, want, own in rows:
+                known = [part.column(c).to_pylist() for c in ("doc_id", "key", "t")]
+                rows = zip(*known, wanted, shingle_sets([t or "" for t in part.column("text").to_pylist()]), strict=True)
+                for doc_id, key, t, want, own in rows:
                     sid = set_id(own)
                     if whole and (sid != want or sid in seen):
                         continue
                     if whole:
                         seen.add(sid)
                     sets.append(own)
-                    about.append((doc_id or 0, doc_id is not None, key, len(own), sid))
+                    about.append((doc_id or 0, doc_id is not None, key, t, len(own), sid))
                     held += len(own)
                 if held >= BLOCK or len(sets) >= 60_000:
                     yield _to_buckets(sets, np.array(about, _ABOUT), block, buckets, whole)
@@ -156,6 +157,7 @@ def document_sets(docs: DataFrame, buckets: int) -> DataFrame:
             {
                 "doc_id": pd.arrays.IntegerArray(about["doc_id"].copy(), ~about["has_id"]),
                 "key": about["key"],
+                "t": about["t"],
                 "n_shingles": about["n"],
                 "sid": about["sid"],
                 "alive": (about["n"] > 0) & (shared >= least_common(about["n"])),
@@ -163,7 +165,7 @@ def document_sets(docs: DataFrame, buckets: int) -> DataFrame:
         )
 
     counted = _sent(docs, buckets, False).groupBy("bucket").applyInPandas(count, "block long, shared binary, about binary")
-    return counted.groupBy("block").applyInPandas(judge, "doc_id long, key long, n_shingles long, sid long, alive boolean")
+    return counted.groupBy("block").applyInPandas(judge, "doc_id long, key long, t long, n_shingles long, sid long, alive boolean")
 
 
 def matches_asked(n: int, df: np.ndarray) -> tuple[int, int]:
@@ -319,6 +321,24 @@ def links(classes: DataFrame) -> DataFrame:
     return first.union(second).union(third)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and what tells rows apart: ``key``, the id or else a hash, and ``t``, the text's hash."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
+def document_components(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``key``, ``t``, ``n_shingles`` and ``label`` of every document; links join documents of one label."""
+    plain = _keyed(docs)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(input_mb(docs) / 12) + 1)
+    sets = stored(document_sets(plain, buckets), "sets")
+    wanted = sets.where("alive").groupBy("sid").agg(F.min(F.struct("key", "t")).alias("row")).select("sid", "row.key", "row.t")
+    again = plain.join(wanted, ["key", "t"]).select("doc_id", "key", "t", "text", "sid")
+    classes = stored(candidates(again.repartition(buckets, "sid"), buckets), "classes")
+    labels = components(classes.select(F.col("sid").alias("id")), links(classes)).select(F.col("id").alias("sid"), "label")
+    return sets.join(labels, "sid", "left").select("doc_id", "key", "t", "n_shingles", F.coalesce("label", "sid").alias("label"))
+
+
 def linked_documents(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles``, ``component_id``, the least ``doc_id`` that links reach.
 
@@ -327,17 +347,20 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     links but names no component, so a component of null ids alone has a null name. No row for an
     empty table.
     """
-    doc_id = F.col("doc_id").cast("long")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    plain = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
-    session = docs.sparkSession
-    buckets = max(int(session.conf.get("spark.sql.shuffle.partitions")), int(input_mb(docs) / 12) + 1)
-    sets = stored(document_sets(plain, buckets), "sets")
-    wanted = sets.where("alive").groupBy("sid").agg(F.min("key").alias("key"))
-    again = plain.join(wanted, "key").select("doc_id", "key", "text", "sid")
-    classes = stored(candidates(again.repartition(buckets, "sid"), buckets), "classes")
-    labels = components(classes.select(F.col("sid").alias("id")), links(classes)).select(F.col("id").alias("sid"), "label")
-    named = sets.join(labels, "sid", "left").select("doc_id", "n_shingles", F.coalesce("label", "sid").alias("label"))
-    least = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    found = document_components(docs)
+    least = found.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return named.join(least, "label", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return found.join(least, "label", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of each component: that of the least ``doc_id``, null ids last. Texts
+    without a word all stay. Columns pass through."""
+    found = document_components(docs).where("n_shingles > 0")
+    stay = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "key", "t")).alias("row")).select("row.key", "row.t")
+    text = F.col("text").cast("string")
+    doc_id, whole = F.col("doc_id").cast("long"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(whole, F.coalesce(doc_id, F.xxhash64(F.coalesce(text, F.lit("")))).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    first = F.row_number().over(Window.partitionBy("key", "t").orderBy(F.lit(0)))
+    kept = rows.where("worded").join(stay.distinct(), ["key", "t"]).withColumn("nth", first).where("nth = 1")
+    return kept.select("row").union(rows.where("NOT worded").select("row")).select("row.*")

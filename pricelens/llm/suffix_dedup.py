@@ -451,8 +451,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` with ``spans``: the maximal runs of repeated bytes of its ``text``, as pairs of
     64-bit places, null without one. A text under ``LENGTH`` bytes, empty or null has none. Rows that repeat
     a ``doc_id`` are documents of their own, so a text of two equal rows is repeated. Texts are told
-    apart by 128 bits of hash. No row for an empty table."""
-    columns = docs.columns
+    apart by 128 bits of hash. A column named ``spans`` is replaced. No row for an empty table."""
+    columns = [c for c in docs.columns if c.lower() != "spans"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), text.alias("text"))
     named = named.select("row", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
