@@ -158,7 +158,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = SIZE)
 
 
 #: A text of so many code points whose cosine with every prototype is lower is in no known language.
-CLEAR_LENGTH, CLEAR_SCORE = 400, 0.25
+CLEAR_LENGTH, CLEAR_SCORE = 400, 0.15
 
 
 def in_known_language(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = SIZE) -> DataFrame:
