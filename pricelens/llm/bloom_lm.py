@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.tables import documents, fold, input_mb, stored
+from pricelens.llm.tables import documents, fold, buckets_for, stored
 from pricelens.llm.words import mixed, word_hashes
 
 #: Base of the levels, bits and probes for each entry, size of the filter, weight of the pairs.
@@ -255,7 +255,7 @@ def scored(docs: DataFrame, training: DataFrame | None = None, folds: int = 7, o
     """
     held_out = fold(F.col("doc_id"), folds) == out
     plain = documents(docs).withColumn("training", ~held_out)
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(input_mb(docs) / 12) + 1)
+    buckets = buckets_for(docs, 12)
     model = learn(plain.where("training"), buckets, max_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     n_train, floor = model.tokens, model.tokens + model.distinct + 1

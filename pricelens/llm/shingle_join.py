@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.llm.components import components
-from pricelens.llm.tables import input_mb, stored
+from pricelens.llm.tables import buckets_for, stored
 from pricelens.llm.words import mixed, word_hashes
 
 SHINGLE = 5
@@ -330,7 +330,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def document_components(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``key``, ``t``, ``n_shingles`` and ``label`` of every document; links join documents of one label."""
     plain = _keyed(docs)
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(input_mb(docs) / 12) + 1)
+    buckets = buckets_for(docs, 12)
     sets = stored(document_sets(plain, buckets), "sets")
     wanted = sets.where("alive").groupBy("sid").agg(F.min(F.struct("key", "t")).alias("row")).select("sid", "row.key", "row.t")
     again = plain.join(wanted, ["key", "t"]).select("doc_id", "key", "t", "text", "sid")

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.tables import input_mb, stored
+from pricelens.llm.tables import buckets_for, stored
 from pricelens.llm.words import mixed
 
 LENGTH, GRAM = 400, 200
@@ -459,7 +459,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     plain = docs.select(F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
     plain = plain.select("key", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(input_mb(docs) / 12) + 1)
+    buckets = buckets_for(docs, 12)
     marked = stored(repeated_anchors(plain, buckets), "marked")
     once = marked.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("marks").alias("marks"))
     again = plain.join(once, ["key", "t1", "t2"]).select("t1", "t2", "copies", "marks", "text")

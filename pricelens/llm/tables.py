@@ -30,11 +30,13 @@ def stored(df: DataFrame, label: str, *folders: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def input_mb(df: DataFrame) -> float:
-    """Size of a frame's input by the optimizer's estimate, in MB."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
+#: Estimates over this many bytes are Spark's way to say that it does not know.
+UNKNOWN_SIZE = 1 << 54
 
 
-def parts_for(df: DataFrame, mb_each: float, least: int) -> int:
-    """A number of partitions that grows with the input."""
-    return max(least, int(input_mb(df) / mb_each) + 1)
+def buckets_for(df: DataFrame, mb_each: float) -> int:
+    """How many buckets hold the frame's data: one for each ``mb_each`` of its input by the optimizer's
+    estimate, and at least the session's shuffle partitions, which also stand in for an unknown size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size > UNKNOWN_SIZE else max(least, int(size / (mb_each * 1e6)) + 1)

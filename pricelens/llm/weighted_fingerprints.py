@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.tables import documents, input_mb, stored
+from pricelens.llm.tables import documents, buckets_for, stored
 from pricelens.llm.words import mixed, word_hashes
 
 LANES = 64
@@ -147,7 +147,7 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
     """
     plain = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     session = docs.sparkSession
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), int(input_mb(docs) / 64) + 1)
+    parts = buckets_for(docs, 64)
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
