@@ -31,6 +31,16 @@ WHITE_SPACE = (
 )
 
 
+#: A JSON string in raw JSON that begins like a list or an object. Read as text it looks like one.
+STRING_LIKE_JSON = r'"\s*([\[{]|\\u00[57][bB])'
+
+
+def may_mislead(json: Column) -> Column:
+    """Whether some string in the JSON begins like a list or an object. Only then does telling them apart
+    need the kinds, which cost a second parse."""
+    return json.rlike(STRING_LIKE_JSON)
+
+
 def read_fields(item: str, keys: Iterable[str]) -> Column:
     """The named fields of a JSON object, once as text and once as VARIANT.
 
@@ -38,12 +48,17 @@ def read_fields(item: str, keys: Iterable[str]) -> Column:
     column of its own before taking fields out of it, so that an item is parsed once.
     """
     keys = list(keys)
-    texts = ", ".join(f"`{key}` STRING" for key in keys)
     return F.struct(
-        F.from_json(item, texts).alias("text"), F.from_json(item, variant_struct(keys)).alias("json")
+        F.from_json(item, text_struct(keys)).alias("text"),
+        F.from_json(item, variant_struct(keys)).alias("json"),
     )
 
 
+def text_struct(keys: Iterable[str]) -> str:
+    """DDL that reads each key as text."""
+    return ", ".join(f"`{key}` STRING" for key in keys)
+
+
 def variant_struct(keys: Iterable[str]) -> str:
     """DDL that reads each key as VARIANT."""
     return ", ".join(f"`{key}` VARIANT" for key in keys)

@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Groups whose newest times are sent to all tasks; beyond it Spark chooses the join.
+SMALL = 100_000
+
+
 def best_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
     """First row per key in the given order. NULL keys form groups of their own."""
     ranked = Window.partitionBy(*keys).orderBy(*order)
@@ -35,10 +39,13 @@ def latest_snapshot(
     ``at`` is the time of the snapshot. ``day`` names the partition column that holds its date: the
     newest day is then found from the folders and only that day is read. By default there is one
     newest snapshot for the whole table, so a retailer that is missing from it is missing here;
-    ``per="retailer"`` takes each retailer's own newest.
+    ``per="retailer"`` takes each retailer's own newest. The newest times are an aggregate; counted to
+    be at most ``SMALL`` rows they are broadcast, so that the rows are not dealt out by retailer.
     """
     if per is not None:
         newest = df.groupBy(per).agg(F.max(at).alias("_newest"))
+        if newest.limit(SMALL + 1).count() <= SMALL:
+            newest = F.broadcast(newest)
         same = F.col(f"rows.{per}").eqNullSafe(F.col(f"newest.{per}"))
         return (
             df.alias("rows")

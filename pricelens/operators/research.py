@@ -13,6 +13,8 @@ from pricelens.functions.json_values import (
     NUMERIC_KINDS,
     field,
     is_empty,
+    kind,
+    may_mislead,
     read_fields,
     research_integer,
     research_number,
@@ -27,21 +29,37 @@ _CLAIM = "STRUCT<path: STRING, confidence: STRING, citations: ARRAY<STRUCT<url:
 _TEXTS = "array<string>"
 
 
-def envelope_rows(content: Column) -> Column:
+def envelope_rows(content: Column, kinds: Column | None = None) -> Column:
     """Rows of an envelope's content, as an array of JSON texts.
 
     A list is the rows. An object gives its first list-valued member in document order, or is itself
-    the one row. Anything else gives none.
+    the one row. Anything else gives none. ``kinds`` is the content as VARIANT, where a string in it
+    looks like a list or an object: a string is neither. Where it is NULL the texts are taken at sight.
     """
+    kinds = F.lit(None).cast("variant") if kinds is None else kinds
     members = F.map_values(F.from_json(content, "MAP<STRING, STRING>"))
+    member_kinds = F.map_values(F.try_variant_get(kinds, "$", "map<string, variant>"))
+    names = F.json_object_keys(content)
+    kind_names = F.map_keys(F.try_variant_get(kinds, "$", "map<string, variant>"))
+
+    def is_text(name: Column) -> Column:
+        found = F.get(member_kinds, (F.array_position(kind_names, name) - 1).cast("int"))
+        return F.coalesce(F.schema_of_variant(found) == "STRING", F.lit(False))
+
     lists = F.filter(
-        F.transform(members, lambda member: F.when(member.startswith("["), _as_list(member))),
+        F.transform(
+            members,
+            lambda member, at: F.when(
+                member.startswith("[") & (kinds.isNull() | ~is_text(F.get(names, at))), _as_list(member)
+            ),
+        ),
         lambda rows: rows.isNotNull(),
     )
+    a_text = F.coalesce(F.schema_of_variant(kinds) == "STRING", F.lit(False))
     return (
-        F.when(content.startswith("["), _as_list(content))
+        F.when(content.startswith("[") & ~a_text, _as_list(content))
         .when(
-            content.startswith("{") & members.isNotNull(),
+            content.startswith("{") & members.isNotNull() & ~a_text,
             F.coalesce(F.get(lists, F.lit(0)), F.array(content)),
         )
         .otherwise(F.array().cast(_TEXTS))
@@ -65,19 +83,25 @@ def run_result(runs: DataFrame) -> DataFrame:
     """
     kept = [name for name in runs.columns if name != "envelope"]
     output = F.col("output")
-    parsed = runs.select(*kept, F.from_json("envelope", _ENVELOPE)["output"].alias("output"))
+    variant = F.try_variant_get(F.try_parse_json("envelope"), "$.output.content", "variant")
+    parsed = runs.select(
+        *kept,
+        F.from_json("envelope", _ENVELOPE)["output"].alias("output"),
+        F.when(may_mislead(F.col("envelope")), variant).alias("kinds"),
+    )
     objects = F.filter(output["trust"]["claims"], lambda claim: claim.startswith("{"))
     located = parsed.select(
         *kept,
         output["trust"]["confidence"].alias("confidence"),
         output["content"].alias("content"),
+        "kinds",
         F.coalesce(objects, F.array().cast(_TEXTS)).alias("claim_texts"),
     )
     claims_list = F.concat(F.lit("["), F.array_join("claim_texts", ","), F.lit("]"))
     opened = located.select(
         *kept,
         "confidence",
-        F.coalesce(envelope_rows(F.col("content")), F.array().cast(_TEXTS)).alias("items"),
+        F.coalesce(envelope_rows(F.col("content"), F.col("kinds")), F.array().cast(_TEXTS)).alias("items"),
         F.from_json(claims_list, f"ARRAY<{_CLAIM}>").alias("claims"),
         "claim_texts",
     )
@@ -278,7 +302,8 @@ def type_reviews(rows: DataFrame, loaded_at: Column) -> DataFrame:
     raw = F.col("raw")
 
     def phrases(value: Column) -> Column:
-        known = F.when(text(value).startswith("["), F.from_json(text(value), "ARRAY<STRING>"))
+        is_list = text(value).startswith("[") & kind(value).startswith("ARRAY")
+        known = F.when(is_list, F.from_json(text(value), "ARRAY<STRING>"))
         return F.coalesce(known, F.array().cast(_TEXTS))
 
     columns = {name: text(field(raw, name)) for name in texts}

@@ -18,11 +18,12 @@ from pricelens.functions.json_values import (
     first_present,
     is_truthy,
     read_digits,
-    read_fields,
     text,
+    text_struct,
     to_boolean,
     to_integer,
     to_number,
+    variant_struct,
 )
 
 # The names under which the retailers send each field, in the order they are tried.
@@ -50,6 +51,31 @@ URL_END = ".html"
 _FIELDS = [name for names in ALIASES.values() for name in names] + [OUT_OF_STOCK, AVAILABILITY]
 
 
+NUMBERS = ["position", "price", "list_price", "rating", "review_count"]
+_SEPARATOR = "\x01"
+
+
+def _any_matches(texts: Column, names: Sequence[str], pattern: str) -> Column:
+    """Whether one of the texts is of a pattern as a whole, by one search through all of them."""
+    joined = F.concat_ws(_SEPARATOR, *[texts[name] for name in names])
+    return joined.rlike(f"(^|{_SEPARATOR})({pattern})({_SEPARATOR}|$)")
+
+
+def _needs_kinds(texts: Column) -> Column:
+    """Whether some value of an item reads differently as a text and as another JSON value: an empty list,
+    a signed number or one with an exponent, zero, false and the empty object where presence counts,
+    and a stock flag that is null or missing."""
+    named = [alias for names in ALIASES.values() for alias in names]
+    numbers = [alias for name in NUMBERS for alias in ALIASES[name]]
+    unknown_stock = texts[OUT_OF_STOCK].isNull() & F.col("item").contains(f'"{OUT_OF_STOCK}"')
+    return (
+        _any_matches(texts, named, r"\[\]")
+        | _any_matches(texts, numbers, r"-[0-9.]+|-?[0-9.]+[eE][+-]?[0-9]+")
+        | _any_matches(texts, [*ALIASES["product_id"], AVAILABILITY], r"\{\}|false|-?[0.]+")
+        | unknown_stock
+    )
+
+
 def _page_from_id(product_id: Column) -> Column:
     return F.concat(F.lit(URL_START), product_id, F.lit(URL_END))
 
@@ -61,21 +87,32 @@ def normalise_shelf(
 ) -> DataFrame:
     """Feed rows from ``retailer``, ``keyword`` and ``item`` (JSON text); other columns are kept.
 
-    ``captured_at`` is the one time of the run. Four projections: parse, pick the first present
-    alias, convert, look up the brand. Each is a step of its own because its columns are used more
-    than once in the next. There is no shuffle and no Python in it, so it serves batches and streams
-    alike.
+    ``captured_at`` is the one time of the run. Five projections: parse, see whether texts are enough,
+    pick the first present alias, convert, look up the brand. Each is a step of its own because its
+    columns are used more than once in the next. Values are read as text; only an item with a value
+    whose text can mean two things is parsed as VARIANT as well. There is no shuffle and no Python in
+    it, so it serves batches and streams alike.
     """
     kept = [name for name in items.columns if name not in ("retailer", "keyword", "item")]
-    raw = F.col("raw")
+    texts, raw, unclear = F.col("texts"), F.col("raw"), F.col("raw.json").isNotNull()
     parsed = items.select(
-        *kept, "retailer", "keyword", read_fields("item", _FIELDS).alias("raw")
+        *kept, "retailer", "keyword", "item", F.from_json("item", text_struct(_FIELDS)).alias("texts")
+    )
+    kinds = F.when(_needs_kinds(texts), F.from_json("item", variant_struct(_FIELDS)))
+    known = parsed.select(
+        *kept, "retailer", "keyword", F.struct(texts.alias("text"), kinds.alias("json")).alias("raw")
     )
-    picked = parsed.select(
+
+    def pick(names: Sequence[str]) -> Column:
+        plain = F.coalesce(*[F.nullif(raw["text"][alias], F.lit("")) for alias in names])
+        loose = F.struct(plain.alias("text"), F.lit(None).cast("variant").alias("json"))
+        return F.when(unclear, first_present(*[field(raw, alias) for alias in names])).otherwise(loose)
+
+    picked = known.select(
         *kept,
         "retailer",
         "keyword",
-        *[first_present(*[field(raw, alias) for alias in names]).alias(name) for name, names in ALIASES.items()],
+        *[pick(names).alias(name) for name, names in ALIASES.items()],
         field(raw, OUT_OF_STOCK).alias("out_of_stock"),
         field(raw, AVAILABILITY).alias("availability"),
     )
@@ -87,7 +124,7 @@ def normalise_shelf(
     )
     price, listed = to_number(F.col("price")), to_number(F.col("list_price"))
     in_stock = F.when(
-        (retailer == "walmart") & F.col("out_of_stock.json").isNotNull(),
+        (retailer == "walmart") & (F.col("out_of_stock.text").isNotNull() | F.col("out_of_stock.json").isNotNull()),
         ~F.coalesce(to_boolean(F.col("out_of_stock")), F.lit(False)),
     ).when(
         (retailer == "target") & is_truthy(F.col("availability")),

@@ -37,6 +37,11 @@ def _percent_of_rows(condition: Column) -> Column:
     return F.avg(F.when(condition, 100).otherwise(0))
 
 
+def mean_price(price: str) -> Column:
+    """Average price. The sum goes through DECIMAL, so it does not depend on the order of the rows."""
+    return F.sum(F.col(price).cast("decimal(18,4)")).cast("double") / F.count(price)
+
+
 def keywords_per_retailer(control: DataFrame) -> DataFrame:
     """Enabled keywords per retailer."""
     return control.filter("enabled").groupBy("retailer").agg(F.count(F.lit(1)).alias("keywords"))
@@ -49,7 +54,7 @@ def brand_scoreboard(latest: DataFrame, brands: Sequence[str] = SCOREBOARD_BRAND
         .groupBy("brand", "retailer")
         .agg(
             F.count(F.lit(1)).alias("products"),
-            F.round(F.avg("price"), 2).alias("avg_price"),
+            F.round(mean_price("price"), 2).alias("avg_price"),
             F.round(_percent_of_rows(F.col("list_price").isNotNull()), 1).alias("pct_on_sale"),
             F.round(F.avg("discount_pct"), 1).alias("avg_discount_pct"),
             F.round(_percent_of_rows(F.col("sponsored")), 1).alias("pct_sponsored"),
@@ -66,14 +71,14 @@ def shelf_counters(latest: DataFrame) -> DataFrame:
     """Products with a name, average price and share on sale, for rows with a brand."""
     return with_brand(latest).agg(
         F.count("product_name").alias("products_on_the_shelf"),
-        F.avg("price").alias("average_price"),
+        mean_price("price").alias("average_price"),
         _percent_of_rows(F.col("list_price").isNotNull()).alias("share_on_sale"),
     )
 
 
 def price_by_brand_retailer(latest: DataFrame) -> DataFrame:
     """Average price by brand and retailer."""
-    return with_brand(latest).groupBy("brand", "retailer").agg(F.avg("price").alias("avg_price"))
+    return with_brand(latest).groupBy("brand", "retailer").agg(mean_price("price").alias("avg_price"))
 
 
 def sponsored_by_brand(latest: DataFrame) -> DataFrame:
@@ -91,7 +96,7 @@ def price_trend(history: DataFrame, day: Column, brands: Sequence[str] = TREND_B
     return (
         history.filter(F.col("brand").isin(list(brands)))
         .groupBy(day.alias("day"), "brand")
-        .agg(F.avg("price").alias("avg_price"))
+        .agg(mean_price("price").alias("avg_price"))
     )
 
 

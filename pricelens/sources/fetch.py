@@ -25,13 +25,15 @@ def fetch(
     retries: int = 1,
     pause: float = 3.0,
     error_length: int = 300,
+    rows_at_once: int = 8,
 ) -> DataFrame:
     """``requests`` (``template``, ``params_json``) with ``payload`` and ``error`` added.
 
     ``parallelism`` is how many requests may be under way at once, so the number of partitions is
     fixed and the rows are dealt round-robin, whatever their keys. A request that keeps failing is a
     row with the start of the last error and no payload. Requests that already carry an ``error``
-    are passed through and not sent.
+    are passed through and not sent. Rows leave a task ``rows_at_once`` at a time, so no more payloads
+    than that are held in memory.
 
     A lost task is fetched again, and so is everything when the result is read twice: write it to a
     table before reading it more than once, as ``fetch_twice`` does.
@@ -53,17 +55,19 @@ def fetch(
                     error = str(failure)[:error_length]
             return None, error
 
-        for batch in batches:
-            sent = batch["error"].isna()
-            outcome = [
-                attempt(template, params) if send else (None, error)
-                for template, params, error, send in zip(
-                    batch["template"], batch["params_json"], batch["error"], sent
+        for whole in batches:
+            for start in range(0, len(whole), rows_at_once):
+                batch = whole.iloc[start : start + rows_at_once]
+                sent = batch["error"].isna()
+                outcome = [
+                    attempt(template, params) if send else (None, error)
+                    for template, params, error, send in zip(
+                        batch["template"], batch["params_json"], batch["error"], sent
+                    )
+                ]
+                yield batch.assign(
+                    payload=[payload for payload, _ in outcome], error=[error for _, error in outcome]
                 )
-            ]
-            yield batch.assign(
-                payload=[payload for payload, _ in outcome], error=[error for _, error in outcome]
-            )
 
     if "error" not in requests.columns:
         requests = requests.withColumn("error", F.lit(None).cast("string"))
@@ -75,21 +79,23 @@ def fetch(
     return shaped.repartition(parallelism).mapInPandas(fetch_partition, shaped.schema)
 
 
-def _counted(results: DataFrame) -> DataFrame:
-    """Adds ``item_count``. The explode over one element keeps a later filter on the count where it
+def with_item_count(results: DataFrame) -> DataFrame:
+    """Adds ``item_count``, unless it is there. The explode over one element keeps a later filter on the count where it
     is: pushed below, it would repeat the whole parse once per place the items are used in."""
+    if "item_count" in results.columns:
+        return results
     counted = with_items(results).withColumn("_count", F.size("items"))
     return counted.select(*results.columns, F.explode(F.array("_count")).alias("item_count"))
 
 
 def empty_results(results: DataFrame) -> DataFrame:
     """Results whose payload holds no item at all."""
-    return _counted(results).filter("item_count = 0").drop("item_count")
+    return with_item_count(results).filter("item_count = 0").drop("item_count")
 
 
 def answered_results(results: DataFrame) -> DataFrame:
     """Results whose payload holds at least one item."""
-    return _counted(results).filter("item_count > 0").drop("item_count")
+    return with_item_count(results).filter("item_count > 0").drop("item_count")
 
 
 def refetch_empty(
@@ -97,14 +103,16 @@ def refetch_empty(
 ) -> DataFrame:
     """Results with items, and a second, gentler try at those without.
 
-    ``results`` must be a written table, so that reading its two halves fetches nothing. The second
+    ``results`` must be a written table, so that reading its two halves fetches nothing; written with
+    ``with_item_count`` it is filtered by that column and its payloads are not parsed again. The second
     pass is written under ``path`` for the same reason.
     """
     spark = results.sparkSession
-    again = empty_results(results).drop("payload", "error").filter(F.col("template").isNotNull())
+    empty, sent = F.col("item_count") == 0, F.col("template").isNotNull()
+    counted = with_item_count(results)
+    again = counted.filter(empty & sent).drop("payload", "error", "item_count")
     fetch(again, fetcher, parallelism, retries, pause).write.parquet(path)
-    never_sent = empty_results(results).filter(F.col("template").isNull())
-    return answered_results(results).unionByName(never_sent).unionByName(spark.read.parquet(path))
+    return counted.filter(~(empty & sent)).drop("item_count").unionByName(spark.read.parquet(path))
 
 
 def fetch_twice(
@@ -121,7 +129,7 @@ def fetch_twice(
     """
     spark = requests.sparkSession
     first, second = f"{path}/first_pass", f"{path}/second_pass"
-    fetch(requests, fetcher, parallelism[0], retries, pause).write.parquet(first)
+    with_item_count(fetch(requests, fetcher, parallelism[0], retries, pause)).write.parquet(first)
     return refetch_empty(spark.read.parquet(first), fetcher, second, parallelism[1], retries, pause)
 
 

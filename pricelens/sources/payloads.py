@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.functions.json_values import FLOAT_TEXT
+from pricelens.functions.json_values import FLOAT_TEXT, may_mislead
 
 ITEM_LISTS = ["entities", "products", "results", "items"]
 
@@ -45,27 +45,47 @@ def with_items(payloads: DataFrame) -> DataFrame:
 
     An object under ``data.parsing`` holds the items in the first of the known lists that really is
     a list, or is itself the one item; a list is the items. One parse is enough for the usual shape;
-    the others are parsed once more, as text, to see what is there. Each parse is a select of its
-    own, because its result is used several times.
+    the others are parsed once more, as text, to see what is there. A payload in which a string looks
+    like a list or an object is parsed as VARIANT too, and such a string stays one: among the items it
+    keeps its quotes. Each parse is a select of its own, because its result is used several times.
     """
-    listed, parsing = F.col("_listed"), F.col("_parsing")
+    listed, parsing, kinds = F.col("_listed"), F.col("_parsing"), F.col("_kinds")
+    is_text = F.coalesce(F.schema_of_variant(kinds) == "STRING", F.lit(False))
     json = _object_only(F.col("payload"))
     as_text = F.when(F.col("_items").isNull(), F.from_json(json, _AS_TEXT)["data"]["parsing"])
     items = F.coalesce(
         "_items",
-        F.when(parsing.startswith("["), F.from_json(parsing, "ARRAY<STRING>")),
-        F.when(parsing.startswith("{"), F.array(parsing)),
+        F.when(parsing.startswith("[") & ~is_text, F.from_json(parsing, "ARRAY<STRING>")),
+        F.when(parsing.startswith("{") & ~is_text, F.array(parsing)),
         F.array().cast("array<string>"),
     )
+    variant = F.try_variant_get(F.try_parse_json(json), "$.data.parsing", "variant")
+    members = F.coalesce(
+        *[F.when(listed[name].isNotNull(), _variants(kinds, f"$.{name}")) for name in ITEM_LISTS],
+        _variants(kinds, "$"),
+    )
+    told_apart = F.transform(
+        "items",
+        lambda item, at: F.when(
+            F.schema_of_variant(F.get(F.col("_members"), at)) == "STRING", F.concat(F.lit('"'), item, F.lit('"'))
+        ).otherwise(item),
+    )
     return (
         payloads.withColumn("_listed", F.from_json(json, _ENVELOPE)["data"]["parsing"])
         .withColumn("_items", F.coalesce(*[listed[name] for name in ITEM_LISTS]))
         .withColumn("_parsing", as_text)
+        .withColumn("_kinds", F.when(may_mislead(F.col("payload")), variant))
         .withColumn("items", items)
-        .drop("_listed", "_items", "_parsing")
+        .withColumn("_members", F.when(kinds.isNotNull(), members))
+        .withColumn("items", F.when(F.col("_members").isNotNull(), told_apart).otherwise(F.col("items")))
+        .drop("_listed", "_items", "_parsing", "_kinds", "_members")
     )
 
 
+def _variants(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "array<variant>")
+
+
 def is_object(item: Column) -> Column:
     """True for the JSON text of an object."""
     return item.startswith("{")

@@ -90,9 +90,10 @@ def _json_text(value: Column) -> Column:
     return F.coalesce(F.substring(array, F.lit(2), F.length(array) - 2), F.lit("null"))
 
 
-def expand_tasks(companies: DataFrame, quarters: int = 4) -> DataFrame:
-    """One research task per company, as ``label`` and the text of the ``task``."""
-    wording = TASK_WORDING.replace("%d", str(quarters))
+def expand_tasks(companies: DataFrame, quarters: int = 4, wording: str = TASK_WORDING) -> DataFrame:
+    """One research task per company, as ``label`` and the text of the ``task``. In the wording, ``%d`` stands
+    for the number of quarters and ``%s`` for the company."""
+    wording = wording.replace("%d", str(quarters))
     return companies.select(
         F.col("company").alias("label"), F.format_string(wording, F.col("company")).alias("task")
     )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from pricelens.operators.keyed import upsert
 
@@ -81,12 +82,6 @@ def read_history(spark: SparkSession, path: str, schema: StructType | str | None
     return reader.schema(schema).parquet(path)
 
 
-def _any_of(column: str, values: Sequence) -> Column:
-    """Filter on a partition column that Spark applies to the folder list, NULL included."""
-    known = F.col(column).isin([value for value in values if value is not None])
-    return known | F.col(column).isNull() if None in values else known
-
-
 def _check_additive(existing: StructType, new: StructType) -> None:
     known = {field.name: field.dataType for field in existing}
     changed = [f.name for f in new if f.name in known and known[f.name] != f.dataType]
@@ -94,6 +89,18 @@ def _check_additive(existing: StructType, new: StructType) -> None:
         raise ValueError(f"columns change their type: {', '.join(changed)}")
 
 
+def _schema_so_far(spark: SparkSession, path: str, partition: StructField) -> StructType | None:
+    """The merged schema of a table's files, None without any. The partition column's type is given: the
+    names of its folders do not tell it."""
+    try:
+        merged = read_history(spark, path).schema
+    except AnalysisException as failure:
+        if failure.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return None
+    return StructType([partition if field.name == partition.name else field for field in merged])
+
+
 def upsert_table(
     source: DataFrame,
     path: str,
@@ -102,25 +109,43 @@ def upsert_table(
     partition: str,
     order: Sequence[Column],
     null_safe_keys: bool = False,
+    schema: StructType | None = None,
 ) -> DataFrame:
     """Upserts ``source`` into the Parquet table at ``path``, which is partitioned by ``partition``.
 
     ``partition`` has to be one of the matched columns, so a source row can only touch the partition
-    it lies in: only those partitions are read and replaced, the others are left as they are.
-    ``source`` is read twice and should be a written table.
+    it lies in: only those partitions are replaced, the others are left as they are. The folders to
+    read are narrowed to the source's range of values, which Spark finds before it lists files; the
+    values themselves are a join, so nothing is collected. ``source`` is read several times and should
+    be a written table.
+
+    The table keeps every column it has: what the source lacks is NULL in its rows, what the table
+    lacks is added, and a column that changes its type is refused. ``schema`` is the table's; without
+    it Spark merges the schemas of all files. The columns are returned with the partition last.
 
     The new state is written to ``staging`` first, as a folder cannot be replaced while it is read;
     if the job dies while the partitions are being replaced, ``staging`` still holds them complete.
     Each partition is swapped by itself, so a reader may see some of them new and others old.
     """
     spark = source.sparkSession
-    schema = source.schema
     # Makes the folder where there is none yet, and does nothing otherwise.
-    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(partition).parquet(path)
-    # Values of the partition column only: each is a folder, and the driver lists folders anyway.
-    touched = [row[0] for row in source.select(partition).distinct().collect()]
-    target = spark.read.schema(schema).parquet(path).filter(_any_of(partition, touched))
-    merged = upsert(target.select(*source.columns), source, keys, order, null_safe_keys)
+    spark.createDataFrame([], source.schema).write.mode("ignore").partitionBy(partition).parquet(path)
+    if schema is None:
+        schema = _schema_so_far(spark, path, source.schema[partition]) or source.schema
+    _check_additive(schema, source.schema)
+    known = {field.name for field in schema}
+    added = [field for field in source.schema if field.name not in known]
+    own = [field for field in [*schema, *added] if field.name != partition]
+    schema = StructType([*own, source.schema[partition]])
+
+    bounds = source.agg(F.min(partition).alias("low"), F.max(partition).alias("high"))
+    in_range = F.col(partition).between(bounds.select("low").scalar(), bounds.select("high").scalar())
+    touched = source.select(F.col(partition).alias("_touched")).distinct()
+    target = spark.read.schema(schema).parquet(path).filter(in_range | F.col(partition).isNull())
+    target = target.join(touched, F.col(partition).eqNullSafe(F.col("_touched")), "left_semi")
+    given = source.columns
+    aligned = source.select(*(F.col(f.name) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+    merged = upsert(target, aligned, keys, order, null_safe_keys)
     merged.write.parquet(staging)
     (
         spark.read.schema(schema)

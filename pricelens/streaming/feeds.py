@@ -12,12 +12,12 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pricelens.operators.ledger import MAX_MINUTES, STILL_RUNNING, TERMINAL
+from pricelens.operators.ledger import MAX_MINUTES, STILL_RUNNING, TERMINAL, run_ledger
 from pricelens.operators.shelf import normalise_shelf
-from pricelens.plans.reports import shelf_alerts
+from pricelens.plans.reports import mean_price, price_trend, shelf_alerts
 from pricelens.schemas import TREND_BRANDS
 from pricelens.sources.payloads import unwrap_items
 
@@ -69,18 +69,47 @@ def daily_price_trend(
         rows.withWatermark(at, delay)
         .filter(F.col("brand").isin(list(brands)))
         .groupBy(F.window(at, "1 day").alias("window"), "brand")
-        .agg(F.avg("price").alias("avg_price"))
+        .agg(mean_price("price").alias("avg_price"))
         .select(F.to_date("window.start").alias("day"), "brand", "avg_price")
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came behind the watermark and were dropped, over the query's recent progress."""
-    return sum(
-        state.numRowsDroppedByWatermark
-        for progress in query.recentProgress
-        for state in progress.stateOperators
-    )
+def with_open_days(closed: DataFrame, rows: DataFrame, at: str, brands: Sequence[str] = TREND_BRANDS) -> DataFrame:
+    """The trend with the days that the stream still holds open.
+
+    ``closed`` is what the stream has written; every day up to its newest is complete there, because
+    the watermark closes days in order. Later days come from the batch report over ``rows``.
+    """
+    last = closed.agg(F.max("day")).scalar()
+    later = rows.filter(last.isNull() | (F.to_date(at) > last))
+    return closed.unionByName(price_trend(later, F.to_date(at), brands))
+
+
+def with_open_labels(closed: DataFrame, events: DataFrame, max_minutes: int = MAX_MINUTES) -> DataFrame:
+    """The ledger with the labels whose time the stream has not seen run out yet, as of ``events``."""
+    waiting = events.join(closed.select("label"), "label", "left_anti")
+    return closed.unionByName(run_ledger(waiting, max_minutes))
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that came behind the watermark and were dropped, over every batch of the queries
+    that run while it is added to ``spark.streams``. Spark keeps the progress of recent batches only."""
+
+    def __init__(self) -> None:
+        self.rows = self.batches = 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.batches += 1
+        self.rows += sum(state.numRowsDroppedByWatermark for state in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def ledger_stream(
@@ -131,12 +160,14 @@ def ledger_stream(
         for batch in batches:
             if done:
                 continue
-            at = batch["event_time"].astype("datetime64[us]").astype("int64")
-            for run_id, status, micros in zip(batch["run_id"], batch["status"], at.tolist()):
-                started, end = runs.get(run_id, (micros, None))
-                if status in terminal_states:
-                    end = min(end or [micros, status], [micros, status])
-                runs[run_id] = [min(started, micros), end]
+            # Events are reduced to one start and one end per run first, in pandas.
+            events = batch[["run_id", "status"]].assign(at=batch["event_time"].astype("datetime64[us]").astype("int64"))
+            ends = events[events["status"].isin(terminal_states)].sort_values(["at", "status"]).drop_duplicates("run_id")
+            ended = dict(zip(ends["run_id"], zip(ends["at"].tolist(), ends["status"])))
+            for run_id, first in events.groupby("run_id")["at"].min().items():
+                started, end = runs.get(run_id, (int(first), None))
+                both = [list(e) for e in (end, ended.get(run_id)) if e]
+                runs[run_id] = [min(started, int(first)), min(both) if both else None]
         state.update((json.dumps([runs, done]),))
         if done:
             state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_ms)

@@ -152,3 +152,36 @@ def test_catalog_tables(spark):
     assert tables.create_table(spark, "empty", EARNINGS).columns == ["company", "share", "note", "quarter"]
     for name in ("watch", "empty"):
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_upsert_keeps_columns_that_the_source_lacks(spark, folder):
+    keys, order = [F.col("k"), F.col("day")], [F.col("v")]
+    wide = spark.createDataFrame([("a", "d1", 1, "x"), ("b", "d1", 2, "y"), ("c", "d2", 3, "z"), ("n", None, 4, "w")], "k STRING, day STRING, v INT, extra STRING")
+    tables.upsert_table(wide, f"{folder}/t", f"{folder}/s0", keys, "day", order)
+    narrow = spark.createDataFrame([("a", "d1", 10), ("d", "d1", 11)], "k STRING, day STRING, v INT")
+    after = tables.upsert_table(narrow, f"{folder}/t", f"{folder}/s1", keys, "day", order)
+    rows = {(r.k, r.day, r.v, r.extra) for r in after.collect()}
+    assert rows == {("a", "d1", 10, None), ("d", "d1", 11, None), ("b", "d1", 2, "y"), ("c", "d2", 3, "z"), ("n", None, 4, "w")}
+    more = spark.createDataFrame([("c", "d2", 5, 1.5)], "k STRING, day STRING, v INT, score DOUBLE")
+    after = tables.upsert_table(more, f"{folder}/t", f"{folder}/s2", keys, "day", order)
+    assert {(r.k, r.v, r.extra, r.score) for r in after.collect()} == {("a", 10, None, None), ("d", 11, None, None), ("b", 2, "y", None), ("c", 5, None, 1.5), ("n", 4, "w", None)}
+    changed = spark.createDataFrame([("c", "d2", "five")], "k STRING, day STRING, v STRING")
+    with pytest.raises(ValueError, match="v"):
+        tables.upsert_table(changed, f"{folder}/t", f"{folder}/s3", keys, "day", order)
+
+
+def test_upsert_leaves_other_partitions_untouched(spark, folder):
+    import os
+
+    rows = spark.createDataFrame([("a", "d1", 1), ("b", "d5", 2), ("c", "d9", 3)], "k STRING, day STRING, v INT")
+    tables.upsert_table(rows, f"{folder}/t", f"{folder}/s0", [F.col("k"), F.col("day")], "day", [F.col("v")])
+    before = {d: sorted(os.listdir(f"{folder}/t/{d}")) for d in os.listdir(f"{folder}/t") if d.startswith("day")}
+    tables.upsert_table(rows.filter("day <> 'd5'"), f"{folder}/t", f"{folder}/s1", [F.col("k"), F.col("day")], "day", [F.col("v")])
+    after = {d: sorted(os.listdir(f"{folder}/t/{d}")) for d in before}
+    assert [d for d in before if before[d] == after[d]] == ["day=d5"]
+
+
+def test_newest_of_each_retailer(spark):
+    feed = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 1), (None, 5), (None, 4)], "retailer STRING, captured_at INT")
+    newest = keyed.latest_snapshot(feed, per="retailer")
+    assert sorted(map(str, newest.collect())) == sorted(map(str, feed.filter("captured_at IN (2, 5) OR retailer = 'b'").collect()))

@@ -184,3 +184,47 @@ def test_run_ledger(spark):
     assert {tuple(row) for row in result.collect()} == LEDGER
     assert ledger.completed(result).count() == 2
     assert ledger.not_completed(result).count() == 5
+
+
+def test_strings_that_look_like_lists_or_objects(spark):
+    def envelope(content):
+        return json.dumps({"output": {"content": content, "trust": {"confidence": "high", "claims": []}}})
+
+    contents = {
+        "a": {"note": "[]", "rows": [{"x": 1}, {"x": 2}]},
+        "b": {"note": "[7]", "rows": [{"x": 1}]},
+        "c": '[{"x":1}]',
+        "d": '{"x":1}',
+        "e": {"x": 1, "n": "{"},
+        "f": {"b": " [q", "a": [{"z": 1}]},
+    }
+    runs = spark.createDataFrame([(k, "completed", envelope(c)) for k, c in contents.items()], "run_id STRING, status STRING, envelope STRING")
+    rows = [(r.run_id, r.item_json) for r in research.run_result(runs).orderBy("run_id", "item_index").collect()]
+    assert rows == [("a", '{"x":1}'), ("a", '{"x":2}'), ("b", '{"x":1}'), ("e", '{"x":1,"n":"{"}'), ("f", '{"z":1}')]
+
+
+def test_items_that_are_strings_are_no_objects(spark):
+    from pricelens.sources import payloads
+
+    parsing = {
+        "a": '[{"title":"x"}]',
+        "b": '{"title":"x"}',
+        "c": {"entities": ['{"t":1}', {"t": 2}, 3]},
+        "d": ["[1]", '{"a":1}', {"b": 2}],
+        "e": {"products": "[1]", "items": [{"k": "{"}]},
+        "f": {"title": "x"},
+    }
+    rows = [(k, json.dumps({"data": {"parsing": p}})) for k, p in parsing.items()]
+    found = payloads.unwrap_items(spark.createDataFrame(rows, "id STRING, payload STRING"))
+    assert sorted(tuple(r) for r in found.collect()) == [("c", 1, '{"t":2}'), ("d", 2, '{"b":2}'), ("e", 0, '{"k":"{"}'), ("f", 0, '{"title":"x"}')]
+
+
+def test_praise_given_as_text_is_no_list(spark):
+    items = ['{"brand":"b","top_praise":"[\\"light\\"]"}', '{"brand":"b","top_praise":["light"]}']
+    base = "CAST(NULL AS {}) AS {}"
+    rows = spark.createDataFrame([(i,) for i in items], "item_json STRING").selectExpr(
+        "item_json", base.format("STRING", "run_id"), base.format("STRING", "confidence"), base.format("ARRAY<STRING>", "source_urls"),
+        base.format("DOUBLE", "high_confidence_share"), base.format("STRING", "claims_json"),
+    )
+    typed = research.type_reviews(rows, F.current_timestamp())
+    assert [r.top_praise for r in typed.collect()] == [[], ["light"]]

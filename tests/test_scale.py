@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pricelens.operators import ledger, research
 from pricelens.plans import reports
 from workload import standins
+from workload.queries import QUERIES as REGISTERED
 
 entry = importlib.import_module("__spark_entry__")
 
 # These write tables or run streams while they are built; what they return is a plain read.
 WRITING = {"append_snapshot", "upsert", "refetch_empty"}
-QUERIES = sorted(n for n in entry.queries() if n not in WRITING and not n.startswith("stream_"))
+QUERIES = sorted(n for n in REGISTERED if n not in WRITING and not n.startswith("stream_"))
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -26,6 +27,25 @@ def test_plans_hold_no_pairing_and_no_python(spark, sf_dir, name):
         assert "Python" not in plan and "InPandas" not in plan
 
 
+LATEST = [
+    *["latest_snapshot", "brand_scoreboard", "shelf_counters", "price_by_brand_retailer", "sponsored_by_brand"],
+    *["discount_by_brand", "facets", "filtered_shelf", "detail_page", "shelf_alerts", "alert_state"],
+    *["q_most_on_sale", "q_margin_vs_discount"],
+]
+
+
+@pytest.mark.parametrize("name", LATEST)
+def test_latest_reports_read_one_folder(spark, sf_dir, name):
+    plan = plan_of(REGISTERED[name](spark, sf_dir))
+    feed = [line for line in plan.splitlines() if "FileScan" in line and "shelf_history" in line]
+    assert any("captured_on" in line.split("PartitionFilters: [")[1].split("]")[0] and "ubquery" in line for line in feed)
+
+
+def test_newest_per_retailer_does_not_deal_out_the_feed(spark, sf_dir):
+    plan = plan_of(REGISTERED["latest_snapshot_per_retailer"](spark, sf_dir))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def hot_third(spark, rows=30_000):
     """A key that holds a third of all rows, in many partitions."""
     key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))

@@ -1,6 +1,7 @@
 """Streams give what the batch operators give, once."""
 
 import datetime
+import time
 
 from pyspark.sql import functions as F
 from test_research import LEDGER, LOG, T0, status_events
@@ -66,17 +67,23 @@ def test_late_rows_are_dropped_and_counted(spark, folder):
     def run():
         stream = spark.readStream.schema(schema).parquet(path)
         trend = feeds.daily_price_trend(stream, "at", "1 hour", ["Nike"])
-        query = feeds.append_stream(trend, f"{folder}/trend", f"{folder}/checkpoint")
-        query.awaitTermination()
-        return query
+        late = feeds.LateRows()
+        spark.streams.addListener(late)
+        feeds.append_stream(trend, f"{folder}/trend", f"{folder}/checkpoint").awaitTermination()
+        deadline = time.time() + 20  # progress events arrive a little after the query has ended
+        while not late.batches and time.time() < deadline:
+            time.sleep(0.2)
+        time.sleep(1)
+        spark.streams.removeListener(late)
+        return late.rows
 
     def add(*rows):
         spark.createDataFrame(list(rows), schema).write.mode("append").parquet(path)
 
     add((day(2025, 1, 1, 1), "Nike", 10.0), (day(2025, 1, 1, 2), "Nike", 20.0), (day(2025, 1, 3), "Nike", 1.0))
-    assert feeds.late_rows(run()) == 0
+    assert run() == 0
     add((day(2025, 1, 1, 3), "Nike", 99.0), (day(2025, 1, 5), "Nike", 1.0))
-    assert feeds.late_rows(run()) == 1
+    assert run() == 1
     trend = {(row.day, row.avg_price) for row in spark.read.parquet(f"{folder}/trend").collect()}
     assert (datetime.date(2025, 1, 1), 15.0) in trend and (datetime.date(2025, 1, 3), 1.0) in trend
 

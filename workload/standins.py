@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from pricelens.schemas import RETAILER_TEMPLATES
 from pricelens.session import shared_dir
+from pricelens.sources import tables
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 OWN_BRAND, SUB_BRAND, WATCHED = "Brand#1", "Brand#2", "widget"
@@ -62,15 +63,6 @@ def stored(spark: SparkSession, sf_dir: str, view: Callable[[SparkSession, str],
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows on all cores where the input is one small file, as the test tables are. Tables of many
-    files are spread already and stay as they are."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _shop_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier to region, and to the retailer that the region stands for."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -122,6 +114,20 @@ def shelf(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -
     )
 
 
+def shelf_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shelf feed as the dated history the reports read: a folder per snapshot, written once per session."""
+    key, feed = (spark.sparkContext.applicationId, sf_dir, "shelf_history"), shelf(spark, sf_dir)
+    if key in _STORED:
+        try:
+            return tables.read_history(spark, _STORED[key], feed.schema).select(feed.columns)
+        except AnalysisException:
+            pass  # the folder was cleared, so it is written again
+    path = shared_dir(spark, "shelf_history")
+    tables.append_snapshot(feed, path)
+    _STORED[key] = path
+    return tables.read_history(spark, path, feed.schema).select(feed.columns)
+
+
 def tie_break() -> list[Column]:
     return [F.col(name) for name in ROW_KEY]
 
@@ -182,7 +188,7 @@ def product_words() -> tuple[Column, Column, Column]:
 def items(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Search-result items as JSON, each retailer with its own field names and value types."""
     lines = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
-    joined = spread(lines).join(
+    joined = lines.join(
         table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
     ).join(_shop_regions(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
 
@@ -258,18 +264,22 @@ def items(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -
 
 def payloads(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """One search response per line item, in every shape a response comes in."""
-    # What stands before and after the item in a response of each shape.
+    # What stands before and after the item in a response of each shape. The last two are the first two
+    # with a string that looks like an object or a list.
     wraps = {
         0: ('{"entities":[', ',3,"t",null]}'),
         1: ('{"entities":3,"products":[', "]}"),
         2: ("[3,", "]"),
         3: ("", ""),
         4: ('{"entities":[],"products":[', "]}"),
+        6: ('{"entities":[', ',3,"{\\"title\\":1}",null]}'),
+        7: ('{"entities":"[1]","products":[', "]}"),
     }
     shape = F.col("l_orderkey") % 6
+    wrap = F.when(F.col("l_orderkey") % 96 < 2, shape + 6).otherwise(shape)
     before = F.create_map(*[F.lit(v) for n, (text, _) in wraps.items() for v in (n, text)])
     after = F.create_map(*[F.lit(v) for n, (_, text) in wraps.items() for v in (n, text)])
-    parsing = F.concat(before[shape.cast("int")], "item", after[shape.cast("int")])
+    parsing = F.concat(before[wrap.cast("int")], "item", after[wrap.cast("int")])
     return items(spark, sf_dir, lineitem).select(
         *ROW_KEY,
         "retailer",
@@ -398,12 +408,12 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     content = (
         F.when(key % 4 == 0, F.to_json(rows))
-        .when(key % 4 == 1, F.concat(F.lit('{"meta":1,"rows":'), F.to_json(rows), F.lit(',"also":[1]}')))
+        .when(key % 4 == 1, F.concat(F.when(key % 64 == 1, '{"meta":"[7]","rows":').otherwise('{"meta":1,"rows":'), F.to_json(rows), F.lit(',"also":[1]}')))
         .when(key % 4 == 2, F.to_json(rows[0]))
     )
     trust = F.to_json(F.struct(F.col("o_orderpriority").alias("confidence"), claims.alias("claims")))
     with_content = F.when(content.isNotNull(), F.concat(F.lit('"content":'), content, F.lit(","))).otherwise("")
-    return spread(table(spark, sf_dir, "orders")).select(
+    return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("run_"), key.cast("string")).alias("run_id"),
         F.when(key % 10 == 9, "running").otherwise("completed").alias("status"),
         F.concat(F.lit('{"output":{'), with_content, F.lit('"trust":'), trust, F.lit("}}")).alias("envelope"),
@@ -485,13 +495,9 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products to watch: brand and model of the larger parts."""
-    return (
-        table(spark, sf_dir, "part")
-        .filter("p_size > 10")
-        .select(
-            F.col("p_brand").alias("brand"), F.col("p_type").alias("model"), F.lit("daily trainer").alias("category")
-        )
+    """Products to watch: brand and model of the parts."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("brand"), F.col("p_type").alias("model"), F.lit("daily trainer").alias("category")
     )
 
 
@@ -519,13 +525,16 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of many runs, one row per claim."""
+    """Claims of many runs, one row per claim, each citing a page."""
     k = F.col("k")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    cited = F.col("event_id") % pages.agg(F.count(F.lit(1))).scalar()
     row = F.concat(F.lit("$["), (k % 12).cast("string"))
     return (
         table(spark, sf_dir, "events")
         .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-        .join(table(spark, sf_dir, "pages"), F.col("page_id") == k % 50)
+        .withColumn("cited", cited)
+        .join(pages, F.col("page_id") == F.col("cited"))
         .select(
             F.col("user_id").alias("run_id"),
             F.col("event_id").alias("claim_pos"),
