@@ -58,7 +58,8 @@ def stored(spark: SparkSession, sf_dir: str, view: Callable[[SparkSession, str],
         except AnalysisException:
             pass  # the folder was cleared, so it is written again
     path = shared_dir(spark, view.__name__)
-    view(spark, sf_dir).write.parquet(path)
+    # Files of bounded length, so that a later read has something to deal to the cores.
+    view(spark, sf_dir).write.option("maxRecordsPerFile", 20_000).parquet(path)
     _STORED[key] = path
     return spark.read.parquet(path)
 
