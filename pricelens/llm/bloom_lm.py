@@ -38,7 +38,7 @@ from pricelens.llm.words import mixed, word_hashes
 #: Base of the levels, bits and probes for each entry, size of the filter, weight of the pairs.
 BASE, BITS, PROBES, MAX_BYTES, SHARE = 1.5, 10, 7, 64 << 20, 0.1
 #: The least count of a pair in the model, and the tokens of a block.
-PAIR_CUTOFF, BLOCK = 2, 1 << 20
+PAIR_CUTOFF, BLOCK = 2, 1 << 19
 TEXTS_AT_ONCE = 256
 END = np.uint64(0xE0F0_0D0C_0B0A_0908)
 _PAIR, _LEVEL = np.uint64(0xD6E8FEB86659FD93), 0xA0761D6478BD642F
