@@ -142,13 +142,14 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
 
     Documents are range-partitioned and sorted by id, so a task finds every next document but that of
     its last row. The first and the last row of each task are kept and joined afterwards: two texts
-    for each partition. Rows that repeat an id follow one another by their text, null ids come last,
+    for each partition. Rows that repeat an id follow one another by their text's hash (the bounds of
+    the ranges are sampled on the driver, where texts have no place), null ids come last,
     a null text counts as empty, a single document follows itself, an empty table gives no row.
     """
     plain = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     session = docs.sparkSession
     parts = buckets_for(docs, 64)
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc()]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), None

@@ -176,7 +176,8 @@ def test_fingerprints_estimate_weighted_jaccard(spark, sf_dir, texts):
 
 def test_fingerprints_of_odd_rows(spark, odd, none, odd_rows):
     rows = weighted_fingerprints.compared_with_edits(odd).collect()
-    order = sorted(odd_rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""), reverse=True)
+    hashed = odd.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS t").collect()
+    order = [(r.doc_id, r.text) for r in sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.t), reverse=True)]
     want = Counter()
     for (d, t), (_, following) in zip(order, order[1:] + order[:1], strict=True):
         changed = weighted_fingerprints.edited(t or "", following or "")
