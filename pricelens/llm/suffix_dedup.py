@@ -462,9 +462,10 @@ def with_spans(docs: DataFrame) -> DataFrame:
     buckets = buckets_for(docs, 12)
     marked = stored(repeated_anchors(plain, buckets), "marked")
     once = marked.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("marks").alias("marks"))
-    again = plain.join(once, ["key", "t1", "t2"]).select("t1", "t2", "copies", "marks", "text")
+    # Both joins have a side that grows with the texts, so neither is broadcast, whatever its size today.
+    again = plain.join(once.hint("merge"), ["key", "t1", "t2"]).select("t1", "t2", "copies", "marks", "text")
     spans = stored(repeated_spans(again.repartition(buckets, "t1", "t2"), buckets), "spans")
-    return named.join(spans, ["t1", "t2"], "left").select("row.*", "spans")
+    return named.join(spans.hint("merge"), ["t1", "t2"], "left").select("row.*", "spans")
 
 
 def kept(raw: bytes, spans: np.ndarray) -> bytes:
