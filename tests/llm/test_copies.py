@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from conftest_words import words_of
+from llm_fixtures import none, odd, odd_rows, texts  # noqa: F401
+from llm_words import words_of
 from pricelens.llm import components, queries, shingle_join, suffix_dedup, weighted_fingerprints
 from pricelens.llm.words import word_hashes
 

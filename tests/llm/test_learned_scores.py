@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from conftest_words import words_of
+from llm_fixtures import none, odd, odd_rows, texts  # noqa: F401
+from llm_words import words_of
 from pricelens.llm import bloom_lm, language, quality, queries
 
 

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 
+from llm_fixtures import none, odd, odd_rows  # noqa: F401
 import corpus_pipeline
 from pricelens.llm import permutation_index, queries, shingle_join
 

@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from llm_fixtures import none, odd, odd_rows, texts  # noqa: F401
 from pricelens.llm import byte_bpe, fit_packing, queries, tier_packing, tokens
 from pricelens.llm.chunks import ids_of
 
