@@ -163,8 +163,11 @@ CLEAR_LENGTH, CLEAR_SCORE = 400, 0.15
 
 def in_known_language(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = SIZE) -> DataFrame:
     """The rows of ``docs`` without texts that have no letter, and without long ones far from every language.
-    Short texts have low cosines by chance, so they stay if they have a letter."""
+    Short texts have low cosines by chance, so they stay if they have a letter. When nothing was learned,
+    every text with a letter stays."""
     names, table = _table(profiles)
+    if not names:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def accept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

@@ -48,6 +48,8 @@ def test_language_of_odd_rows(odd, none, odd_rows):
     nothing = language.identify(odd, {})
     assert {r.lang_pred for r in nothing.collect()} == {"und"} and nothing.columns.count("score") == 1
     assert language.in_known_language(odd, language.learned(odd)).columns == odd.columns
+    lettered = sum(any(c.isalpha() for c in t or "") for _, t in odd_rows)
+    assert language.in_known_language(odd, {}).count() == lettered
 
 
 def test_quality_of_held_out_texts(spark):
