@@ -161,12 +161,17 @@ def detail_page(
     return rows.select(*shown).orderBy(*order).limit(size)
 
 
+# The reasons an alert names, and whose alerts they are unless the caller says otherwise.
+DEEP_DISCOUNT, RIVAL_SPONSORED = "deep discount", "rival sponsored on your search"
+YOUR_BRAND, SUB_BRANDS, WATCHED_PRODUCT, DISCOUNT_PCT = "Nike", ("Jordan",), "pegasus 41", 15
+
+
 def shelf_alerts(
     latest: DataFrame,
-    your_brand: str = "Nike",
-    sub_brands: Sequence[str] = ("Jordan",),
-    watched_product: str = "pegasus 41",
-    discount_pct: float = 15,
+    your_brand: str = YOUR_BRAND,
+    sub_brands: Sequence[str] = SUB_BRANDS,
+    watched_product: str = WATCHED_PRODUCT,
+    discount_pct: float = DISCOUNT_PCT,
     extra: Sequence[str] = (),
 ) -> DataFrame:
     """What is worth a look: a watched product far below its list price, or a rival brand in a
@@ -183,9 +188,7 @@ def shelf_alerts(
         & F.col("brand").isNotNull()
         & ~F.col("brand").isin([your_brand, *sub_brands])
     )
-    reasons = F.array_compact(
-        F.array(F.when(deep, "deep discount"), F.when(rival, "rival sponsored on your search"))
-    )
+    reasons = F.array_compact(F.array(F.when(deep, DEEP_DISCOUNT), F.when(rival, RIVAL_SPONSORED)))
     shown = [
         "retailer",
         "search_keyword",
