@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-CACHED = 300_000
+CACHED = 400_000
 _UNEVEN = re.compile(r"[ \n]\s|[^\S \n]")
 
 
