@@ -29,8 +29,9 @@ def shingle_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the byte strings that occur elsewhere too out of every text; ``n_chars`` follows."""
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Cuts the strings of 400 bytes and the runs of 50 words that occur elsewhere too out of every text;
+    ``n_chars`` follows."""
+    return suffix_dedup.without_repeats(docs, words=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

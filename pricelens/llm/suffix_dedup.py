@@ -22,6 +22,11 @@ first brought together where they can match at all:
   pairs of segments.
 
 Equal texts are one text that occurs several times; all of it is repeated.
+
+With ``words`` a run of ``WORDS`` words that also starts elsewhere is repeated too, however few bytes it has.
+A text then goes through the same sort a second time as the string of its words' 64-bit hashes, of which
+``LENGTH`` bytes are ``WORDS`` words. Runs found there are rounded to whole words: a window between words holds
+eight bytes of two further hashes, so it agrees by a collision only.
 """
 
 from __future__ import annotations
@@ -37,9 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.llm.tables import buckets_for, stored
-from pricelens.llm.words import mixed
+from pricelens.llm.words import mixed, word_hashes, word_places
 
 LENGTH, GRAM = 400, 200
+#: Words of 8 bytes of hash in a window.
+WORDS = LENGTH // 8
 #: Bytes taken together, bytes of segments in a block, and texts of a block.
 STRETCH, BLOCK, TEXTS = 1 << 20, 8 << 20, 30_000
 ROWS_AT_ONCE = 256
@@ -252,6 +259,22 @@ def merged_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
     return start[new], reach[np.concatenate([new[1:], [len(start)]]) - 1]
 
 
+def _word_runs(spans: np.ndarray) -> np.ndarray:
+    """Spans of a string of word hashes as runs of whole words, coded under 0."""
+    runs = np.stack([-(-spans[:, 0] // 8), spans[:, 1] // 8], axis=1)
+    return -1 - runs[runs[:, 1] - runs[:, 0] >= WORDS]
+
+
+def resolved(raw: bytes, spans: np.ndarray) -> np.ndarray:
+    """Spans with the runs of words of ``raw`` turned into bytes, as maximal runs."""
+    coded = spans[:, 0] < 0
+    if not coded.any():
+        return spans
+    (starts, ends), runs = word_places(raw), -1 - spans[coded]
+    start, end = np.concatenate([spans[~coded, 0], starts[runs[:, 0]]]), np.concatenate([spans[~coded, 1], ends[runs[:, 1] - 1]])
+    return np.stack(merged_spans(start, end), axis=1)
+
+
 _TEXT = np.dtype([("key", "<i8"), ("t1", "<i8"), ("t2", "<i8"), ("segments", "<i8")])
 
 
@@ -259,9 +282,19 @@ def _raw(part: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
 
 
-def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+def _units(part: pa.RecordBatch, words: bool) -> list[bytes]:
+    """The strings to sort: each text, and with ``words`` each text followed by the hashes of its words."""
+    raw = _raw(part)
+    if not words:
+        return raw
+    hashes, offsets = word_hashes([t or "" for t in part.column("text").to_pylist()])
+    return [unit for k, r in enumerate(raw) for unit in (r, hashes[offsets[k] : offsets[k + 1]].tobytes())]
+
+
+def repeated_anchors(docs: DataFrame, buckets: int, words: bool = False) -> DataFrame:
     """``key``, ``t1``, ``t2`` and ``marks`` (packed bits, one for each segment of the text) of the documents in
     which some anchor's hash occurs elsewhere too."""
+    per = 2 if words else 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -289,10 +322,10 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
-                raw = _raw(part)
-                counts = np.zeros(len(raw), np.int64)
+                raw = _units(part, words)
+                counts = np.zeros(part.num_rows, np.int64)
                 for _, found in text_segments(raw):
-                    counts += np.bincount(found["text"], minlength=len(raw))
+                    counts += np.bincount(found["text"] // per, minlength=len(counts))
                     keys.append(found["key"])
                 ids = zip(*(part.column(c).to_pylist() for c in ("key", "t1", "t2")), counts.tolist(), strict=True)
                 about += list(ids)
@@ -334,9 +367,11 @@ _SENT = (
 _OWNER = np.dtype([("member", "<i8"), ("text", "<i4"), ("anchor", "<i8")])
 
 
-def repeated_spans(texts: DataFrame, buckets: int) -> DataFrame:
+def repeated_spans(texts: DataFrame, buckets: int, words: bool = False) -> DataFrame:
     """``t1``, ``t2`` and ``spans`` (pairs of 64-bit places) of the marked texts. ``texts`` has ``t1``, ``t2``, ``copies``,
-    ``marks`` and ``text``; equal texts are in one partition and only the first counts."""
+    ``marks`` and ``text``; equal texts are in one partition and only the first counts. Pairs under 0 are runs of
+    words, -1 minus the number of the first and of the one after the last."""
+    per = 2 if words else 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -379,24 +414,24 @@ def repeated_spans(texts: DataFrame, buckets: int) -> DataFrame:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
                 ids = list(zip(*(part.column(c).to_pylist() for c in ("t1", "t2", "copies", "marks")), strict=True))
-                raw = _raw(part)
+                raw = _units(part, words)
                 new = [k for k, x in enumerate(ids) if x[:2] not in seen and not seen.add(x[:2])]
-                raw, ids = [raw[k] for k in new], [ids[k] for k in new]
-                passed = np.zeros(len(raw), np.int64)
+                raw, ids = [raw[k * per + u] for k in new for u in range(per)], [ids[k] for k in new]
+                passed = np.zeros(len(ids), np.int64)
                 for data, found in text_segments(raw):
-                    text = found["text"]
+                    text = found["text"] // per
                     nth = np.arange(len(text)) - np.searchsorted(text, text) + passed[text]
-                    passed += np.bincount(text, minlength=len(raw))
-                    marks = [np.unpackbits(np.frombuffer(ids[k][3], np.uint8)).astype(bool) for k in range(len(raw))]
+                    passed += np.bincount(text, minlength=len(ids))
+                    marks = [np.unpackbits(np.frombuffer(x[3], np.uint8)).astype(bool) for x in ids]
                     keep = np.array([marks[t][m] for t, m in zip(text, nth, strict=True)], bool)
                     own = {n: v[keep] for n, v in found.items()}
                     cut["content"].append(own["content"])
                     cut["key"].append(own["key"])
                     cut["before"].append(own["anchor"] - own["first"])
                     cut["after"].append(own["last"] + LENGTH - own["anchor"])
-                    cut["text"].append(own["text"] + len(about))
+                    cut["text"].append(own["text"] + len(about) * per)
                     cut["anchor"].append(own["anchor"] - own["shift"])
-                    cut["weight"].append(np.array([min(ids[t][2], 2) for t in own["text"]], np.int64))
+                    cut["weight"].append(np.array([min(ids[t // per][2], 2) for t in own["text"]], np.int64))
                     cut["bytes"] += [data[a:b].tobytes() for a, b in zip(own["first"], own["last"] + LENGTH, strict=True)]
                     size += int((own["last"] + LENGTH - own["first"]).sum())
                 about += [x[:2] for x in ids]
@@ -435,23 +470,25 @@ def repeated_spans(texts: DataFrame, buckets: int) -> DataFrame:
         start, end = anchor - runs[which, 2], anchor - runs[which, 1] + LENGTH
         order = np.argsort(text, kind="stable")
         text, start, end = text[order], start[order], end[order]
-        bounds = np.searchsorted(text, np.arange(len(about) + 1))
-        out = []
-        for k in np.flatnonzero(np.diff(bounds)):
-            spans = merged_spans(start[bounds[k] : bounds[k + 1]], end[bounds[k] : bounds[k + 1]])
-            out.append((int(about[k, 0]), int(about[k, 1]), np.stack(spans, axis=1).astype("<i8").tobytes()))
-        return pd.DataFrame(out, columns=["t1", "t2", "spans"])
+        bounds = np.searchsorted(text, np.arange(len(about) * per + 1))
+        out: dict[int, list[np.ndarray]] = {}
+        for unit in np.flatnonzero(np.diff(bounds)).tolist():
+            spans = np.stack(merged_spans(start[bounds[unit] : bounds[unit + 1]], end[bounds[unit] : bounds[unit + 1]]), axis=1)
+            out.setdefault(unit // per, []).append(_word_runs(spans) if unit % per else spans)
+        spans = [(int(about[k, 0]), int(about[k, 1]), np.concatenate(v).astype("<i8").tobytes()) for k, v in out.items()]
+        return pd.DataFrame(spans, columns=["t1", "t2", "spans"])
 
     sent = texts.mapInArrow(send, _SENT)
     sorted_ = sent.groupBy("bucket").applyInPandas(sort, "block long, bucket int, n long, runs binary, texts binary, owners binary")
     return sorted_.groupBy("block").applyInPandas(gather, "t1 long, t2 long, spans binary")
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
+def with_spans(docs: DataFrame, words: bool = False) -> DataFrame:
     """Every row of ``docs`` with ``spans``: the maximal runs of repeated bytes of its ``text``, as pairs of
     64-bit places, null without one. A text under ``LENGTH`` bytes, empty or null has none. Rows that repeat
     a ``doc_id`` are documents of their own, so a text of two equal rows is repeated. Texts are told
-    apart by 128 bits of hash. A column named ``spans`` is replaced. No row for an empty table."""
+    apart by 128 bits of hash. A column named ``spans`` is replaced. No row for an empty table. With ``words``
+    repeated runs of ``WORDS`` words are among the spans, coded for ``resolved``."""
     columns = [c for c in docs.columns if c.lower() != "spans"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), text.alias("text"))
@@ -459,12 +496,12 @@ def with_spans(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     plain = docs.select(F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
     plain = plain.select("key", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    buckets = buckets_for(docs, 12)
-    marked = stored(repeated_anchors(plain, buckets), "marked")
+    buckets = buckets_for(docs, 5 if words else 12)
+    marked = stored(repeated_anchors(plain, buckets, words), "marked")
     once = marked.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("marks").alias("marks"))
     # Both joins have a side that grows with the texts, so neither is broadcast, whatever its size today.
     again = plain.join(once.hint("merge"), ["key", "t1", "t2"]).select("t1", "t2", "copies", "marks", "text")
-    spans = stored(repeated_spans(again.repartition(buckets, "t1", "t2"), buckets), "spans")
+    spans = stored(repeated_spans(again.repartition(buckets, "t1", "t2"), buckets, words), "spans")
     return named.join(spans.hint("merge"), ["t1", "t2"], "left").select("row.*", "spans")
 
 
@@ -481,18 +518,22 @@ def spans_of(raw: bytes | None) -> np.ndarray:
     return np.frombuffer(raw or b"", "<i8").reshape(-1, 2)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with the repeated bytes cut out of ``text``. A character that is cut through goes
-    as a whole. Other columns pass through; a null text stays null."""
+def without_repeats(docs: DataFrame, words: bool = False) -> DataFrame:
+    """Every row of ``docs`` with the repeated bytes, and with ``words`` the repeated runs of ``WORDS`` words, cut
+    out of ``text``. A character that is cut through goes as a whole. Other columns pass through; a null text
+    stays null."""
+
+    def shortened(raw: bytes, spans: bytes) -> str:
+        return kept(raw, resolved(raw, spans_of(spans))).decode("utf-8", "ignore")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for texts, spans in batches:
             yield pd.Series(
-                [t if t is None or s is None else kept(t.encode("utf-8", "surrogatepass"), spans_of(s)).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)],
+                [t if t is None or s is None else shortened(t.encode("utf-8", "surrogatepass"), s) for t, s in zip(texts, spans, strict=True)],
                 dtype=object,
             )
 
-    found = with_spans(docs)
+    found = with_spans(docs, words)
     shorter = F.pandas_udf(cut, "string")(F.col("text").cast("string"), F.col("spans"))
     return found.withColumn("text", shorter).select(*docs.columns)
 

@@ -48,6 +48,12 @@ def _slice_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mixed(np.add.reduceat(_BYTES[_LOWER[raw[solid]]] * _powers(top)[place], first))
 
 
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text begins and ends, in bytes."""
+    edges = np.flatnonzero(np.diff(~_SPACE[np.frombuffer(raw, np.uint8)], prepend=False, append=False))
+    return edges[::2], edges[1::2]
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the offsets at which each text's words begin (one more than texts)."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]

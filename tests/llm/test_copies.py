@@ -6,6 +6,7 @@ import pytest
 
 from llm_fixtures import none, odd, odd_rows, texts  # noqa: F401
 from llm_words import words_of
+import corpus_pipeline
 from pricelens.llm import components, queries, shingle_join, suffix_dedup, weighted_fingerprints
 from pricelens.llm.words import word_hashes
 
@@ -131,6 +132,21 @@ def test_repeated_strings_of_all_windows(spark, sf_dir, texts, odd, none, odd_ro
     assert by_id[1] is None and by_id[20] == "" and by_id[4] == "a" and 0 < len(by_id[30]) < len(dict(odd_rows)[30])
 
 
+def test_pipeline_cuts_a_short_passage_of_51_words(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 1500)
+    rng = np.random.default_rng(8)
+    words = lambda n, size: [bytes(rng.integers(97, 123, size).astype(np.uint8)).decode() for _ in range(n)]
+    passage, short, own = " ".join(words(51, 5)), " ".join(words(49, 5)), [words(300, 6) for _ in range(4)]
+    assert len(passage.encode()) < 320
+    mixed = lambda k, part: " ".join([*own[k][:150], part, *own[k][150:]])
+    rows = [(1, mixed(0, passage)), (2, mixed(1, passage.upper().replace(" ", "\n"))), (3, mixed(2, short)), (4, mixed(3, short)), (5, None), (6, passage)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    cut = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
+    assert cut == {1: mixed(0, ""), 2: mixed(1, ""), 3: rows[2][1], 4: rows[3][1], 5: None, 6: ""}
+    by_bytes = {r.doc_id: r.text for r in suffix_dedup.without_repeats(docs).collect()}
+    assert by_bytes == dict(rows)
+
+
 def test_suffix_sort_orders_by_content():
     rng = np.random.default_rng(5)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
