@@ -10,18 +10,19 @@ too high only with the filter's error rate for each step. The probability of a w
 with the middle of the level's counts for ``c``. Every text is followed by one end, which is a token
 and also stands before the first word.
 
-How the work is spread. Tasks count what they read and send sorted arrays of gram hashes to buckets, so
-a word costs a bucket one entry for each task, however frequent. Buckets become segments of the filter;
-the driver joins these, at most ``MAX_BYTES`` in all, and broadcasts them. If the grams do not fit, the
-rarest levels of pairs are left out until they do, as in any model of a given size; their words are
-scored by the smoothing. The exact counts behind the base score are not bounded by anything and are not
-broadcast: each block of documents asks the buckets for the counts of its distinct words and gets
-them back as arrays.
+How the work is spread. Each block of documents sends the sorted hashes of its distinct words and pairs to
+buckets, with their counts in its training texts, so a word costs a bucket one entry for each block,
+however frequent. A bucket sums the counts, enters its grams in its own segment of the filter, probes the
+segment for what the blocks asked and sends the levels back as arrays, with the exact counts of words
+behind the base score. The number of buckets follows the input, so segments stay small, the filter grows
+with the grams and no level is left out; nothing is broadcast. A block's own tokens travel with it, by way of
+one of the buckets, as numbers of its distinct words.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pricelens.llm.tables import documents, fold, buckets_for, stored
 from pricelens.llm.words import mixed, word_hashes
 
-#: Base of the levels, bits and probes for each entry, size of the filter, weight of the pairs.
+#: Base of the levels, bits and probes for each entry, size of a filter that is asked for whole, weight of the pairs.
 BASE, BITS, PROBES, MAX_BYTES, SHARE = 1.5, 10, 7, 64 << 20, 0.1
 #: The least count of a pair in the model, and the tokens of a block.
 PAIR_CUTOFF, BLOCK = 2, 1 << 19
@@ -110,18 +111,13 @@ class Filter:
             out[at] = n
         return out
 
-    def log10_probabilities(self, tokens: np.ndarray) -> np.ndarray:
-        """For each token of a block of whole texts, ends included."""
-        words, at = np.unique(tokens, return_inverse=True)
-        single = count_at(self.level(words))
-        pairs, where = np.unique(pairs_of(tokens), return_inverse=True)
-        double = count_at(self.level(pairs))[where]
-        own = single[at]
-        start = count_at(self.level(np.array([END])))
-        before = np.concatenate([start, own[:-1]])
-        alone = (own + 1) / (self.tokens + self.distinct + 1)
-        after = np.minimum(double / np.maximum(before, 1), 1)
-        return np.log10(SHARE * after + (1 - SHARE) * alone)
+
+def log10_probabilities(single: np.ndarray, double: np.ndarray, at: np.ndarray, before: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
+    """For each token: ``single`` is the count of each word, ``at`` and ``before`` are the words of the token and of the
+    one before it, and ``double`` is the count of each token's pair."""
+    alone = (single[at] + 1) / (tokens + distinct + 1)
+    after = np.minimum(double / np.maximum(single[before], 1), 1)
+    return np.log10(SHARE * after + (1 - SHARE) * alone)
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -172,7 +168,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, np.
 
 
 def learn(training: DataFrame, buckets: int, max_bytes: int = MAX_BYTES) -> Filter:
-    """Count the grams of all texts of ``training`` (``doc_id``, ``text``, ``training``) and enter them."""
+    """Count the grams of all texts of ``training`` (``doc_id``, ``text``, ``training``) and enter them in one filter of at
+    most ``max_bytes``, without the rarest levels if they do not fit. ``scored`` has no such bound and does not use it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, tokens, _ in _blocks(batches):
@@ -244,10 +241,68 @@ def learn(training: DataFrame, buckets: int, max_bytes: int = MAX_BYTES) -> Filt
     )
 
 
-_BLOCK = "kind string, block long, bucket int, keys binary, counts binary, docs binary, low binary, high binary, times binary"
+_DOCS = "docs binary, low binary, high binary"
+_BLOCK = f"block long, bucket int, keys binary, counts binary, pairs binary, pair_counts binary, {_DOCS}"
+_ABOUT = np.dtype([("id", "<i8"), ("known", "?"), ("tokens", "<i8")])
+
+
+def _pairs_by_bucket(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct pairs by bucket, where each bucket begins, and the place of each token's pair among them."""
+    pairs, at = np.unique(pairs_of(tokens), return_inverse=True)
+    order, ends = _by_bucket(pairs, buckets)
+    rank = np.empty(len(pairs), np.int64)
+    rank[order] = np.arange(len(pairs))
+    return pairs[order], ends, rank[at]
+
+
+def _levels_read(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of a bucket's words and pairs as its segment of the filter gives them back. Counts may be 0."""
+    known = [counts > 0, pair_counts >= PAIR_CUTOFF]
+    entered = np.concatenate([keys[known[0]], pairs[known[1]]])
+    if not len(entered):
+        return np.zeros(len(keys), np.uint8), np.zeros(len(pairs), np.uint8)
+    level = levels(np.concatenate([counts[known[0]], pair_counts[known[1]]]))
+    own = Filter(segment(entered, level), np.array([0]), np.array([max(64, int(level.sum()) * BITS)], np.uint64), 0, 0)
+    read = [np.concatenate([own.level(part[k : k + BLOCK]) for k in range(0, max(len(part), 1), BLOCK)]) for part in (keys, pairs)]
+    return read[0].astype(np.uint8), read[1].astype(np.uint8)
+
+
+def _shrunk(a: np.ndarray) -> bytes:
+    """An array of mostly small or recurring numbers, for the shuffle."""
+    return zlib.compress(a.tobytes(), 1)
+
+
+def _grown(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), kind)
+
+
+def _totals(training: DataFrame, buckets: int) -> tuple[int, int]:
+    """Tokens and distinct words of all texts of ``training``."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(keys: np.ndarray, tokens: int) -> pa.RecordBatch:
+            order, ends = _by_bucket(keys, buckets)
+            parts = [keys[order[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(range(buckets), pa.int32()), "keys": pa.array(parts, pa.binary()), "tokens": pa.array([tokens, *[0] * (buckets - 1)], pa.int64())})
+
+        keys, n = np.empty(0, np.uint64), 0
+        for _, _, tokens, _ in _blocks(batches):
+            keys, n = np.union1d(keys, tokens), n + len(tokens)
+            if len(keys) >= BLOCK:
+                yield rows(keys, n)
+                keys, n = np.empty(0, np.uint64), 0
+        if n:
+            yield rows(keys, n)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"tokens": [int(rows["tokens"].sum())], "distinct": [len(np.unique(np.frombuffer(b"".join(rows["keys"]), np.uint64)))]})
+
+    sent = training.mapInArrow(send, "bucket int, keys binary, tokens long")
+    total = sent.groupBy("bucket").applyInPandas(merge, "tokens long, distinct long").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+    return total.tokens or 0, total.distinct or 0
 
 
-def scored(docs: DataFrame, training: DataFrame | None = None, folds: int = 7, out: int = 2, max_bytes: int = MAX_BYTES) -> DataFrame:
+def scored(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
     """Per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     A null or empty text is one end. Rows that repeat a ``doc_id`` are documents of their own. Without a
@@ -256,66 +311,73 @@ def scored(docs: DataFrame, training: DataFrame | None = None, folds: int = 7, o
     held_out = fold(F.col("doc_id"), folds) == out
     plain = documents(docs).withColumn("training", ~held_out)
     buckets = buckets_for(docs, 12)
-    model = learn(plain.where("training"), buckets, max_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    n_train, floor = model.tokens, model.tokens + model.distinct + 1
+    n_train, n_distinct = _totals(plain.where("training"), buckets)
 
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         block = TaskContext.get().partitionId() << 32
-        kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
         names = [x.split()[0] for x in _BLOCK.split(", ")]
         for ids, flags, tokens, offsets in _blocks(batches):
             sizes = np.diff(offsets)
-            score = np.add.reduceat(own.log10_probabilities(tokens), offsets[:-1])
             keys, at = np.unique(tokens, return_inverse=True)
             order, ends = _by_bucket(keys, buckets)
             rank = np.empty(len(keys), np.int64)
             rank[order] = np.arange(len(keys))
             at, keys = rank[at], keys[order]
-            doc = np.repeat(np.arange(len(ids)), sizes)
-            taught = np.bincount(at[np.repeat(np.array(flags, bool), sizes)], minlength=len(keys)).astype("<u4")
-            cells, times = np.unique(doc * len(keys) + at, return_counts=True)
-            n_cells = np.bincount(cells // len(keys), minlength=len(ids))
-            cells %= len(keys)
-            about = np.zeros(len(ids), [("id", "<i8"), ("known", "?"), ("tokens", "<i8"), ("cells", "<i8"), ("score", "<f8")])
+            training = np.repeat(np.array(flags, bool), sizes)
+            taught = np.bincount(at[training], minlength=len(keys)).astype("<u4")
+            pairs, pair_ends, pair_at = _pairs_by_bucket(tokens, buckets)
+            pair_taught = np.bincount(pair_at[training], minlength=len(pairs)).astype("<u4")
+            about = np.zeros(len(ids), _ABOUT)
             about["id"], about["known"] = [i or 0 for i in ids], [i is not None for i in ids]
-            about["tokens"], about["cells"], about["score"] = sizes, n_cells, score
-            rows = [("docs", block, -1, None, None, about.tobytes(), cells.astype("<u2").tobytes(), (cells >> 16).astype("<u2").tobytes(), times.astype("<u4").tobytes())]
-            for b in np.flatnonzero(np.diff(ends)):
-                part = slice(ends[b], ends[b + 1])
-                rows.append(("words", block, int(b), keys[part].tobytes(), taught[part].tobytes(), *[None] * 4))
+            about["tokens"] = sizes
+            own = (about.tobytes(), _shrunk(at.astype("<u2")), _shrunk((at >> 16).astype("<u2")))
+            rows, home = [], int(mixed(np.array([block], np.uint64))[0] % np.uint64(buckets))
+            for b in range(buckets):
+                part, both = slice(ends[b], ends[b + 1]), slice(pair_ends[b], pair_ends[b + 1])
+                if b == home or part.start < part.stop or both.start < both.stop:
+                    sent = (keys[part].tobytes(), taught[part].tobytes(), _packed(pairs[both]), _shrunk(pair_taught[both]))
+                    rows.append((block, b, *sent, *(own if b == home else [None] * 3)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
             block += 1
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        asked = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
+        asked, asked_pairs = [np.frombuffer(k, np.uint64) for k in rows["keys"]], [_unpacked(k) for k in rows["pairs"]]
         keys, counts = _summed(asked, [np.frombuffer(c, "<u4").astype(np.int64) for c in rows["counts"]])
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "counts": [counts[np.searchsorted(keys, a)].tobytes() for a in asked]})
-
-    def finish(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        counts = np.frombuffer(b"".join(answers.sort_values("bucket")["counts"]), np.int64)
-        logs = np.log10((counts + 1) / floor)
-        row = rows.iloc[0]
-        about = np.frombuffer(row["docs"], [("id", "<i8"), ("known", "?"), ("tokens", "<i8"), ("cells", "<i8"), ("score", "<f8")])
-        cells = np.frombuffer(row["low"], "<u2").astype(np.int64) | np.frombuffer(row["high"], "<u2").astype(np.int64) << 16
-        times = np.frombuffer(row["times"], "<u4").astype(np.int64)
-        first = np.cumsum(about["cells"]) - about["cells"]
+        pairs, pair_counts = _summed(asked_pairs, [_grown(c, "<u4").astype(np.int64) for c in rows["pair_counts"]])
+        word_level, pair_level = _levels_read(keys, counts, pairs, pair_counts)
+        where = [np.searchsorted(keys, a) for a in asked]
+        out = pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "keys": rows["keys"], "counts": [_shrunk(counts[w]) for w in where]})
+        out["levels"] = [_shrunk(word_level[w]) for w in where]
+        out["pair_levels"] = [_shrunk(pair_level[np.searchsorted(pairs, a)]) for a in asked_pairs]
+        return out.join(rows[["docs", "low", "high"]])
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bucket")
+        joined = lambda name, kind: np.concatenate([_grown(x, kind) for x in rows[name]])
+        words, counts = np.frombuffer(b"".join(rows["keys"]), np.uint64), joined("counts", np.int64)
+        single, double = (count_at(joined(n, np.uint8)) for n in ("levels", "pair_levels"))
+        home = rows[rows["docs"].notna()].iloc[0]
+        about = np.frombuffer(home["docs"], _ABOUT)
+        at = _grown(home["low"], "<u2").astype(np.int64) | _grown(home["high"], "<u2").astype(np.int64) << 16
+        _, _, pair_at = _pairs_by_bucket(words[at], buckets)
+        # The end that closes the block also stands before its first token.
+        before, first = np.concatenate([at[-1:], at[:-1]]), np.cumsum(about["tokens"]) - about["tokens"]
+        score = log10_probabilities(single, double[pair_at], at, before, n_train, n_distinct)
         return pd.DataFrame(
             {
                 "doc_id": pd.array(about["id"], "Int64").copy() if about["known"].all() else pd.arrays.IntegerArray(about["id"].copy(), ~about["known"]),
                 "n_tokens": about["tokens"],
-                "n_known": np.add.reduceat(np.where(counts[cells] > 0, times, 0), first),
+                "n_known": np.add.reduceat((counts[at] > 0).astype(np.int64), first),
                 "train_tokens": n_train,
-                "base_score": np.add.reduceat(times * logs[cells], first),
-                "score": about["score"],
+                "base_score": np.add.reduceat(np.log10((counts + 1) / (n_train + n_distinct + 1))[at], first),
+                "score": np.add.reduceat(score, first),
             }
         )
 
-    blocks = stored(plain.mapInArrow(block_rows, _BLOCK), "blocks", "kind")
-    answers = blocks.where("kind = 'words'").select("block", "bucket", "keys", "counts").groupBy("bucket").applyInPandas(answer, "block long, bucket int, counts binary")
-    whole = blocks.where("kind = 'docs'").select("block", "docs", "low", "high", "times")
-    done = whole.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+    asked = plain.mapInArrow(block_rows, _BLOCK)
+    back = asked.groupBy("bucket").applyInPandas(answer, f"block long, bucket int, keys binary, counts binary, levels binary, pair_levels binary, {_DOCS}")
+    done = back.groupBy("block").applyInPandas(
         finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return done.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -114,6 +114,34 @@ def test_base_score_is_exact_and_the_model_is_better(spark, sf_dir, texts, odd,
     assert bloom_lm.scored(none).count() == 0
 
 
+def score_by_hand(rows, cutoff):
+    """The score with every gram at its own level, so without the filter's errors."""
+    tokens = [[None, *words_of(t), None] for _, t in rows]
+    words, pairs = Counter(), Counter()
+    for (d, _), own in zip(rows, tokens, strict=True):
+        if not held(d, 7, 2):
+            words.update(own[1:])
+            pairs.update(zip(own, own[1:], strict=False))
+    total, read = sum(words.values()) + len(words) + 1, lambda n: float(bloom_lm.count_at(bloom_lm.levels(np.array([n])))[0]) if n else 0.0
+    middle = {n: read(n) for n in {0, *words.values(), *pairs.values()}}
+
+    def chance(u, w):
+        double = middle[pairs[u, w]] if pairs[u, w] >= cutoff else 0
+        return bloom_lm.SHARE * min(double / max(middle[words[u]], 1), 1) + (1 - bloom_lm.SHARE) * (middle[words[w]] + 1) / total
+
+    return {d: sum(math.log10(chance(u, w)) for u, w in zip(own, own[1:], strict=False)) for (d, _), own in zip(rows, tokens, strict=True)}
+
+
+def test_no_level_is_left_out_however_small_a_filter_may_be(spark, sf_dir, texts, monkeypatch):
+    for function in (bloom_lm.scored, bloom_lm.learn):
+        monkeypatch.setattr(function, "__defaults__", tuple(20_000 if x == bloom_lm.MAX_BYTES else x for x in function.__defaults__))
+    monkeypatch.setattr(bloom_lm, "BLOCK", 5000)
+    want = score_by_hand(list(texts.items()), bloom_lm.PAIR_CUTOFF)
+    got = {r.doc_id: r.score for r in queries.op7_bloom_lm(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 0.02 * abs(want[d]) + 1 for d in want)
+    assert abs(sum(got.values()) - sum(want.values())) < 0.01 * abs(sum(want.values()))
+
+
 def test_a_filter_that_is_too_small_leaves_out_the_rarest_levels(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "true AS training")
     small = bloom_lm.learn(docs, 4, max_bytes=20_000)
