@@ -38,8 +38,8 @@ from pricelens.llm.words import mixed, word_hashes
 
 #: Base of the levels, bits and probes for each entry, size of a filter that is asked for whole, weight of the pairs.
 BASE, BITS, PROBES, MAX_BYTES, SHARE = 1.5, 10, 7, 64 << 20, 0.1
-#: The least count of a pair in the model, and the tokens of a block.
-PAIR_CUTOFF, BLOCK = 2, 1 << 19
+#: The tokens of a block.
+BLOCK = 1 << 19
 TEXTS_AT_ONCE = 256
 END = np.uint64(0xE0F0_0D0C_0B0A_0908)
 _PAIR, _LEVEL = np.uint64(0xD6E8FEB86659FD93), 0xA0761D6478BD642F
@@ -193,9 +193,7 @@ def learn(training: DataFrame, buckets: int, max_bytes: int = MAX_BYTES) -> Filt
             own = rows[rows["pair"] == pair]
             keys = [_unpacked(k) if pair else np.frombuffer(k, np.uint64) for k in own["keys"]]
             keys, counts = _summed(keys, [np.frombuffer(c, "<u4").astype(np.int64) for c in own["counts"]])
-            if pair:
-                keys, counts = keys[counts >= PAIR_CUTOFF], counts[counts >= PAIR_CUTOFF]
-            else:
+            if not pair:
                 out |= {"tokens": [int(counts.sum())], "distinct": [len(keys)]}
             found = levels(counts) if len(counts) else counts
             out |= {f"{name}_keys": [keys.tobytes()], f"{name}_levels": [found.astype(np.uint8).tobytes()]}
@@ -257,7 +255,7 @@ def _pairs_by_bucket(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.n
 
 def _levels_read(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Levels of a bucket's words and pairs as its segment of the filter gives them back. Counts may be 0."""
-    known = [counts > 0, pair_counts >= PAIR_CUTOFF]
+    known = [counts > 0, pair_counts > 0]
     entered = np.concatenate([keys[known[0]], pairs[known[1]]])
     if not len(entered):
         return np.zeros(len(keys), np.uint8), np.zeros(len(pairs), np.uint8)

@@ -114,7 +114,7 @@ def test_base_score_is_exact_and_the_model_is_better(spark, sf_dir, texts, odd,
     assert bloom_lm.scored(none).count() == 0
 
 
-def score_by_hand(rows, cutoff):
+def score_by_hand(rows):
     """The score with every gram at its own level, so without the filter's errors."""
     tokens = [[None, *words_of(t), None] for _, t in rows]
     words, pairs = Counter(), Counter()
@@ -126,8 +126,7 @@ def score_by_hand(rows, cutoff):
     middle = {n: read(n) for n in {0, *words.values(), *pairs.values()}}
 
     def chance(u, w):
-        double = middle[pairs[u, w]] if pairs[u, w] >= cutoff else 0
-        return bloom_lm.SHARE * min(double / max(middle[words[u]], 1), 1) + (1 - bloom_lm.SHARE) * (middle[words[w]] + 1) / total
+        return bloom_lm.SHARE * min(middle[pairs[u, w]] / max(middle[words[u]], 1), 1) + (1 - bloom_lm.SHARE) * (middle[words[w]] + 1) / total
 
     return {d: sum(math.log10(chance(u, w)) for u, w in zip(own, own[1:], strict=False)) for (d, _), own in zip(rows, tokens, strict=True)}
 
@@ -136,12 +135,19 @@ def test_no_level_is_left_out_however_small_a_filter_may_be(spark, sf_dir, texts
     for function in (bloom_lm.scored, bloom_lm.learn):
         monkeypatch.setattr(function, "__defaults__", tuple(20_000 if x == bloom_lm.MAX_BYTES else x for x in function.__defaults__))
     monkeypatch.setattr(bloom_lm, "BLOCK", 5000)
-    want = score_by_hand(list(texts.items()), bloom_lm.PAIR_CUTOFF)
+    want = score_by_hand(list(texts.items()))
     got = {r.doc_id: r.score for r in queries.op7_bloom_lm(spark, sf_dir).collect()}
-    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 0.02 * abs(want[d]) + 1 for d in want)
+    # The filter reads about one gram of a hundred a level too high; where that gram was never seen, as in held-out texts, it weighs most.
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < (0.05 if held(d, 7, 2) else 0.02) * abs(want[d]) + 1 for d in want)
     assert abs(sum(got.values()) - sum(want.values())) < 0.01 * abs(sum(want.values()))
 
 
+def test_a_pair_seen_once_is_known():
+    keys, pairs = np.arange(1, 4, dtype=np.uint64), np.arange(10, 13, dtype=np.uint64)
+    words, read = bloom_lm._levels_read(keys, np.array([0, 1, 7]), pairs, np.array([0, 1, 2]))
+    assert (words >= [0, 1, 5]).all() and (read >= [0, 1, 2]).all() and words[0] <= 1 and read[0] <= 1
+
+
 def test_a_filter_that_is_too_small_leaves_out_the_rarest_levels(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "true AS training")
     small = bloom_lm.learn(docs, 4, max_bytes=20_000)
