@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelens.llm import bloom_lm, byte_bpe, fit_packing, language, permutation_index, prefix_trie, quality, shingle_join, suffix_dedup, tier_packing, weighted_fingerprints
+from pricelens.llm import (
+    bloom_lm,
+    byte_bpe,
+    fit_packing,
+    hash_tree,
+    language,
+    periodic_runs,
+    permutation_index,
+    prefix_trie,
+    quality,
+    shingle_join,
+    suffix_dedup,
+    tier_packing,
+    weighted_fingerprints,
+)
 from pricelens.llm.tables import read
 
 
@@ -50,6 +64,14 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_fingerprints.compared_with_edits(read(spark, sf_dir, "documents"))
 
 
+def op11_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree.shards_and_growth(read(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(read(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_nodes(read(spark, sf_dir, "conversations"))
 
@@ -65,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_shingle_join": op9_shingle_join,
     "op10_weighted_fingerprints": op10_weighted_fingerprints,
+    "op11_hash_tree": op11_hash_tree,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_prefix_trie": op13_prefix_trie,
 }
 

@@ -1,6 +1,6 @@
 """Words of many texts at once, as 64-bit hashes.
 
-Words are the runs of bytes other than space and 0x09 to 0x0D of the UTF-8 text, with A-Z in lower
+Words are the runs of bytes other than space and 0x09 to 0x0D of the UTF-8 text, usually with A-Z in lower
 case. A word's hash sums a random number for each byte times a power of an odd multiplier for its
 place, modulo 2**64, and is then mixed; the numbers come from a fixed seed, so all workers agree.
 """
@@ -13,7 +13,8 @@ import numpy as np
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
+_AS_IS = np.arange(256, dtype=np.uint8)
+_LOWER = _AS_IS.copy()
 _LOWER[65:91] += 32
 _BYTES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 64, 256, dtype=np.uint64)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -35,7 +36,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _slice_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slice_words(raw: np.ndarray, case: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of each word of a stretch of bytes."""
     solid = ~_SPACE[raw]
     edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
@@ -45,7 +46,7 @@ def _slice_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(lengths) - lengths
     place = np.arange(lengths.sum()) - np.repeat(first, lengths)
     top = 1 << int(lengths.max()).bit_length()
-    return starts, mixed(np.add.reduceat(_BYTES[_LOWER[raw[solid]]] * _powers(top)[place], first))
+    return starts, mixed(np.add.reduceat(_BYTES[case[raw[solid]]] * _powers(top)[place], first))
 
 
 def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +55,9 @@ def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the offsets at which each text's words begin (one more than texts)."""
+def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the offsets at which each text's words begin (one more than texts).
+    Without ``lower`` the words are taken as they are."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8) if raw else np.empty(0, np.uint8)
@@ -65,7 +67,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         while stop < len(data) and not _SPACE[data[stop - 1]]:
             gap = np.flatnonzero(_SPACE[data[stop : stop + SLICE]])
             stop = stop + int(gap[0]) + 1 if len(gap) else min(stop + SLICE, len(data))
-        s, h = _slice_words(data[at:stop])
+        s, h = _slice_words(data[at:stop], _LOWER if lower else _AS_IS)
         starts.append(s + at)
         hashes.append(h)
         at = stop
