@@ -7,17 +7,14 @@ daily job adds nothing twice. Checkpoints and outputs belong on storage that all
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pricelens.operators.ledger import MAX_MINUTES, STILL_RUNNING, TERMINAL, run_ledger
 from pricelens.operators.shelf import normalise_shelf
-from pricelens.plans.reports import mean_price, price_trend, shelf_alerts
+from pricelens.plans.reports import mean_price, shelf_alerts
 from pricelens.schemas import TREND_BRANDS
 from pricelens.sources.payloads import unwrap_items
 
@@ -74,23 +71,6 @@ def daily_price_trend(
     )
 
 
-def with_open_days(closed: DataFrame, rows: DataFrame, at: str, brands: Sequence[str] = TREND_BRANDS) -> DataFrame:
-    """The trend with the days that the stream still holds open.
-
-    ``closed`` is what the stream has written; every day up to its newest is complete there, because
-    the watermark closes days in order. Later days come from the batch report over ``rows``.
-    """
-    last = closed.agg(F.max("day")).scalar()
-    later = rows.filter(last.isNull() | (F.to_date(at) > last))
-    return closed.unionByName(price_trend(later, F.to_date(at), brands))
-
-
-def with_open_labels(closed: DataFrame, events: DataFrame, max_minutes: int = MAX_MINUTES) -> DataFrame:
-    """The ledger with the labels whose time the stream has not seen run out yet, as of ``events``."""
-    waiting = events.join(closed.select("label"), "label", "left_anti")
-    return closed.unionByName(run_ledger(waiting, max_minutes))
-
-
 class LateRows(StreamingQueryListener):
     """Counts the rows that came behind the watermark and were dropped, over every batch of the queries
     that run while it is added to ``spark.streams``. Spark keeps the progress of recent batches only."""
@@ -110,81 +90,3 @@ class LateRows(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         pass
-
-
-def ledger_stream(
-    events: DataFrame, delay: str, max_minutes: int = MAX_MINUTES, keep_minutes: int = 24 * 60
-) -> DataFrame:
-    """``run_ledger`` on a stream of status events: one row per label, given out when the watermark
-    passes ``max_minutes`` after the label's first event.
-
-    The state of a label is the start and the first end of each of its runs: it grows with the
-    retries, not with the events, and does not depend on the order of arrival. It is kept for
-    ``keep_minutes`` more, so that late events do not open the label again.
-    """
-    terminal_states, running = list(TERMINAL), STILL_RUNNING
-    limit_ms, keep_ms = max_minutes * 60_000, keep_minutes * 60_000
-
-    def follow(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        import json
-
-        import pandas as pd
-
-        def decide(runs: dict) -> tuple:
-            in_order = sorted((started, run_id, end) for run_id, (started, end) in runs.items())
-            limit = in_order[0][0] + limit_ms * 1000
-            in_time = [
-                (run_id, end[1] if end and end[0] <= limit else None)
-                for started, run_id, end in in_order[:2]
-                if started <= limit
-            ]
-            retried = len(in_time) == 2 and in_time[0][1] == "failed"
-            run_id, status = in_time[1] if retried else in_time[0]
-            return run_id, status or running, 2 if retried else 1
-
-        runs, done = json.loads(state.get[0]) if state.exists else ({}, False)
-        if state.hasTimedOut:
-            if done:
-                state.remove()
-                return
-            run_id, status, attempts = decide(runs)
-            state.update((json.dumps([{}, True]),))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_ms)
-            yield pd.DataFrame(
-                {"label": [key[0]], "run_id": [run_id], "state": [status], "attempts": [attempts]}
-            )
-            return
-
-        for batch in batches:
-            if done:
-                continue
-            # Events are reduced to one start and one end per run first, in pandas.
-            events = batch[["run_id", "status"]].assign(at=batch["event_time"].astype("datetime64[us]").astype("int64"))
-            ends = events[events["status"].isin(terminal_states)].sort_values(["at", "status"]).drop_duplicates("run_id")
-            ended = dict(zip(ends["run_id"], zip(ends["at"].tolist(), ends["status"])))
-            for run_id, first in events.groupby("run_id")["at"].min().items():
-                started, end = runs.get(run_id, (int(first), None))
-                both = [list(e) for e in (end, ended.get(run_id)) if e]
-                runs[run_id] = [min(started, int(first)), min(both) if both else None]
-        state.update((json.dumps([runs, done]),))
-        if done:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_ms)
-        else:
-            # A timer has to lie ahead of the watermark; one that is due already fires next.
-            due = min(started for started, _ in runs.values()) // 1000 + limit_ms
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    return (
-        events.select("label", "run_id", "status", "event_time")
-        .withWatermark("event_time", delay)
-        .groupBy("label")
-        .applyInPandasWithState(
-            follow,
-            "label STRING, run_id STRING, state STRING, attempts INT",
-            "entry STRING",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-    )

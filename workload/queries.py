@@ -14,7 +14,7 @@ from pricelens.plans import audit, compare, questions, reports
 from pricelens.schemas import EARNINGS_SPEC, REVIEWS_BLOCKED_DOMAINS, REVIEWS_SPEC
 from pricelens.session import shared_dir
 from pricelens.sources import fetch, payloads, requests, sql_functions, tables
-from pricelens.streaming import feeds
+from pricelens.streaming import feeds, run_state, trend
 from workload import standins as data
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,7 @@ DETAIL_AFTER = ["america", "economy", 4, 0, 0, 0, "1990-01-01"]
 BLOCKED = ["example.net", "thther.example.org"]
 LEDGER_MINUTES = 2 * 24 * 60
 STREAM_DELAY = "2 days"
+LOG_END = "2100-01-01 00:00:00"
 
 
 def query(function: Query) -> Query:
@@ -771,20 +772,38 @@ def stream_dedupe(spark, sf_dir):
 
 @query
 def stream_ledger(spark, sf_dir):
+    """The stream's own rows. A first start leaves labels open, then the log ends and a second one closes them."""
     folder = shared_dir(spark, "stream_ledger")
-    events = data.run_events(data.stream(spark, sf_dir, "events"))
-    feeds.append_stream(
-        feeds.ledger_stream(events, STREAM_DELAY, LEDGER_MINUTES), f"{folder}/rows", f"{folder}/checkpoint"
-    ).awaitTermination()
-    closed = spark.read.parquet(f"{folder}/rows")
-    return feeds.with_open_labels(closed, data.run_events(data.table(spark, sf_dir, "events")), LEDGER_MINUTES)
+    clock = run_state.clock_rows(spark, LOG_END)
+    clock.limit(0).write.parquet(f"{folder}/clock")
+    ending = spark.readStream.schema(clock.schema).parquet(f"{folder}/clock")
+    events = data.run_events(data.stream(spark, sf_dir, "events")).unionByName(ending)
+    for _ in range(2):
+        ledger_rows = run_state.ledger_stream(events, STREAM_DELAY, LEDGER_MINUTES)
+        feeds.append_stream(ledger_rows, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+        clock.write.mode("append").parquet(f"{folder}/clock")
+    return spark.read.schema(run_state.LEDGER).parquet(f"{folder}/rows")
+
+
+def _trend_in_two_halves(spark, sf_dir) -> str:
+    """The shelf arrives in two halves, so most of the second one is late."""
+    folder = shared_dir(spark, "stream_price_trend")
+    lines = data.table(spark, sf_dir, "lineitem")
+    for half in range(2):
+        lines.filter(F.col("l_orderkey") % 2 == half).write.mode("append").parquet(f"{folder}/lines")
+        arriving = data.shelf(spark, sf_dir, spark.readStream.schema(lines.schema).parquet(f"{folder}/lines"))
+        trend.trend_stream(
+            arriving, "captured_at", f"{folder}/trend", f"{folder}/checkpoint", STREAM_DELAY, data.BRANDS
+        ).awaitTermination()
+    return f"{folder}/trend"
 
 
 @query
 def stream_price_trend(spark, sf_dir):
-    folder = shared_dir(spark, "stream_price_trend")
-    arriving = data.shelf(spark, sf_dir, data.stream(spark, sf_dir, "lineitem"))
-    trend = feeds.daily_price_trend(arriving, "captured_at", STREAM_DELAY, data.BRANDS)
-    feeds.append_stream(trend, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    closed = spark.read.parquet(f"{folder}/rows")
-    return feeds.with_open_days(closed, data.shelf(spark, sf_dir), "captured_at", data.BRANDS)
+    return trend.corrected_trend(spark, _trend_in_two_halves(spark, sf_dir))
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    rows = trend.late_rows(spark, _trend_in_two_halves(spark, sf_dir), "brand STRING, captured_at TIMESTAMP, l_orderkey BIGINT")
+    return rows.groupBy("brand", F.to_date("captured_at").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
