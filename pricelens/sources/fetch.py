@@ -6,6 +6,8 @@ where the payload is JSON text or something ``json.dumps`` can write; it may rai
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -18,6 +20,22 @@ from pricelens.sources.payloads import is_object, with_items
 Fetcher = Callable[[str, dict[str, Any]], Any]
 
 
+def attempt(
+    fetcher: Fetcher, template: str, params_json: str, retries: int, pause: float, error_length: int
+) -> tuple[str | None, str | None]:
+    """Payload and error of one request, tried again after a pause while it fails."""
+    error = None
+    for tried in range(retries + 1):
+        if tried:
+            time.sleep(pause)
+        try:
+            payload = fetcher(template, json.loads(params_json))
+            return (payload if isinstance(payload, str) else json.dumps(payload)), None
+        except Exception as failure:
+            error = str(failure)[:error_length]
+    return None, error
+
+
 def fetch(
     requests: DataFrame,
     fetcher: Fetcher,
@@ -40,27 +58,12 @@ def fetch(
     """
 
     def fetch_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-        import time
-
-        def attempt(template: str, params_json: str) -> tuple[str | None, str | None]:
-            error = None
-            for tried in range(retries + 1):
-                if tried:
-                    time.sleep(pause)
-                try:
-                    payload = fetcher(template, json.loads(params_json))
-                    return (payload if isinstance(payload, str) else json.dumps(payload)), None
-                except Exception as failure:
-                    error = str(failure)[:error_length]
-            return None, error
-
         for whole in batches:
             for start in range(0, len(whole), rows_at_once):
                 batch = whole.iloc[start : start + rows_at_once]
                 sent = batch["error"].isna()
                 outcome = [
-                    attempt(template, params) if send else (None, error)
+                    attempt(fetcher, template, params, retries, pause, error_length) if send else (None, error)
                     for template, params, error, send in zip(
                         batch["template"], batch["params_json"], batch["error"], sent
                     )

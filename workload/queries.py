@@ -13,8 +13,9 @@ from pricelens.operators import keyed, ledger, research, shelf
 from pricelens.plans import audit, compare, questions, reports
 from pricelens.schemas import EARNINGS_SPEC, REVIEWS_BLOCKED_DOMAINS, REVIEWS_SPEC
 from pricelens.session import shared_dir
-from pricelens.sources import fetch, payloads, requests, sql_functions, tables
-from pricelens.streaming import feeds, run_state, trend
+from pricelens.sources import fetch, live, payloads, requests, sql_functions, table_functions, tables
+from pricelens.streaming import feeds, polling, run_state, trend
+from workload import services
 from workload import standins as data
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,6 +285,96 @@ def read_run_function(spark, sf_dir):
     )
 
 
+# Live sources and functions
+
+
+def _answering(number: int) -> int:
+    return -1 if number % 5 == 0 else number % 5 - 1
+
+
+LIVE_RETAILERS = ["amazon", "walmart", "corner shop"]
+
+
+@query
+def live_payloads(spark, sf_dir):
+    """Three retailers of a request table, read through the data source; the others are not asked."""
+    folder = shared_dir(spark, "requests")
+    asked = _requests(spark, sf_dir).select("retailer", "keyword", "template", "params_json")
+    asked.write.partitionBy("retailer").parquet(folder)
+    live.register(spark, live.payload_source(_fixture_fetcher(_answering), pause=0))
+    answers = spark.read.format("shelf_payloads").load(folder).filter(F.col("retailer").isin(LIVE_RETAILERS))
+    return _fetched(answers)
+
+
+def _run_ids(spark, sf_dir) -> DataFrame:
+    key = F.col("o_orderkey")
+    return data.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("agent_"), (key % 3).cast("string")).alias("agent_id"),
+        F.concat(F.lit("run_"), key.cast("string")).alias("run_id"),
+    )
+
+
+@query
+def live_run_results(spark, sf_dir):
+    """One agent's results, read through the data source."""
+    folder = shared_dir(spark, "run_ids")
+    _run_ids(spark, sf_dir).write.partitionBy("agent_id").parquet(folder)
+    live.register(spark, live.run_source(services.read_run))
+    answers = spark.read.format("run_results").load(folder).filter("agent_id = 'agent_1'")
+    rows = research.run_result(answers.select("run_id", "status", "envelope", "error"))
+    return rows.select("run_id", "status", "confidence", "item_index", "error")
+
+
+@query
+def fetch_payload_function(spark, sf_dir):
+    """Searches sent by a table function in the query, and its written answers read by the typed SQL function."""
+    folder = shared_dir(spark, "responses")
+    table_functions.register_fetch_payload(spark, _fixture_fetcher(_answering))
+    asked = _requests(spark, sf_dir).filter("template IS NOT NULL").select("retailer", "keyword", "template", "params_json")
+    responses = spark.sql("SELECT retailer, keyword, payload FROM fetch_payload(TABLE({asked}))", asked=asked)
+    responses.write.parquet(folder)
+    sql_functions.register_search_shelf(spark, spark.read.parquet(folder))
+    return spark.sql(
+        """SELECT s.retailer, s.keyword, count(*) AS products, max(f.position) AS last
+           FROM {asked} s, LATERAL search_shelf(s.retailer, s.keyword) f GROUP BY s.retailer, s.keyword""",
+        asked=asked,
+    )
+
+
+@query
+def fetch_web_function(spark, sf_dir):
+    table_functions.register_fetch_web(spark, services.search_web)
+    asked = data.table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("query"), (F.col("doc_id") % 4).alias("max_results"), F.lit(None).cast("string").alias("focus")
+    )
+    answers = spark.sql(
+        "SELECT doc_id, payload FROM fetch_web(TABLE({asked}))", asked=requests.search_requests(asked).select("doc_id", "body_json")
+    )
+    return payloads.search_results(answers)
+
+
+@query
+def post_run_function(spark, sf_dir):
+    table_functions.register_post_run(spark, services.post_run)
+    tasks = data.table(spark, sf_dir, "orders").select(
+        F.lit("agent").alias("agent_id"),
+        F.col("o_orderkey").cast("string").alias("input"),
+        F.lit(None).cast("string").alias("effort"),
+        F.lit(None).cast("string").alias("input_data_json"),
+    )
+    asked = requests.run_requests(tasks).select("agent_id", "input", "body_json")
+    return payloads.run_start_rows(
+        spark.sql("SELECT input, http_code, body, exception FROM post_run(TABLE({asked}))", asked=asked)
+    ).drop("error")
+
+
+@query
+def fetch_run_function(spark, sf_dir):
+    table_functions.register_fetch_run(spark, services.read_run)
+    answers = spark.sql("SELECT run_id, status, envelope FROM fetch_run(TABLE({asked}))", asked=_run_ids(spark, sf_dir))
+    return research.run_result(answers).select("run_id", "status", "confidence", "item_index")
+
+
 # Sinks
 
 
@@ -785,6 +876,27 @@ def stream_ledger(spark, sf_dir):
     return spark.read.schema(run_state.LEDGER).parquet(f"{folder}/rows")
 
 
+@query
+def poll_ledger(spark, sf_dir):
+    """The ledger from a service's status logs instead of a table. The second start finds a log that has come since
+    and asks the others for nothing."""
+    folder = shared_dir(spark, "poll_ledger")
+    events = data.run_events(data.table(spark, sf_dir, "events"))
+    in_logs = events.withColumn("log", F.pmod(F.xxhash64("label"), F.lit(8)))
+    in_logs.write.partitionBy("log").parquet(f"{folder}/logs")
+    polling.register(spark, polling.status_source(services.FileLogs(f"{folder}/logs")))
+    arriving = spark.readStream.format("run_status").load()
+    for _ in range(2):
+        ledger_rows = run_state.ledger_stream(arriving, STREAM_DELAY, LEDGER_MINUTES)
+        polled = polling.follow(ledger_rows, f"{folder}/rows", f"{folder}/checkpoint", every="0 seconds")
+        try:
+            polled.processAllAvailable()
+        finally:
+            polled.stop()
+        run_state.clock_rows(spark, LOG_END).withColumn("log", F.lit("end")).write.mode("append").partitionBy("log").parquet(f"{folder}/logs")
+    return spark.read.schema(run_state.LEDGER).parquet(f"{folder}/rows")
+
+
 def _trend_in_two_halves(spark, sf_dir) -> str:
     """The shelf arrives in two halves, so most of the second one is late."""
     folder = shared_dir(spark, "stream_price_trend")
