@@ -11,7 +11,7 @@ Every task packs what it reads, ``BLOCK`` tokens at a time, so memory is bounded
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ from pricelens.llm.tokens import token_rows, vocabulary_path
 
 #: Tokens of a row, tokens packed together, and the id that fills a row up.
 ROW, BLOCK, PAD = 2048, 4 << 20, 0
+ROWS_AT_ONCE = 512
 SCHEMA = (
     "row_id long, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, "
     "doc_ids array<bigint>, starts array<bigint>"
@@ -63,21 +64,29 @@ class Rooms:
         return self.rows[room].pop(), room
 
 
-def best_fit(lengths: list[int], row: int = ROW) -> list[list[int]]:
+def best_fit(lengths: Sequence[int], row: int = ROW) -> list[list[int]]:
     """Which pieces each row holds, in the order they were put there."""
+    lengths = np.asarray(lengths, np.int64)
     rooms, rows = Rooms(row), []
-    for k in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
-        found = rooms.take(lengths[k])
+    order = np.argsort(-lengths, kind="stable")
+    for k, length in zip(order.tolist(), lengths[order].tolist()):
+        found = rooms.take(length) if length < row else None
         if found is None:
             found = len(rows), row
             rows.append([])
         at, room = found
         rows[at].append(k)
-        if room > lengths[k]:
-            rooms.put(room - lengths[k], at)
+        if room > length:
+            rooms.put(room - length, at)
     return rows
 
 
+def _cells(values: np.ndarray, row: int) -> pa.Array:
+    """One binary value for each ``row`` values."""
+    offsets = np.arange(0, values.nbytes + 1, row * values.itemsize, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
 def matrices(docs: DataFrame, path: str | None = None, row: int = ROW, pad: int = PAD) -> DataFrame:
     """One line for each row of the matrix.
 
@@ -90,27 +99,43 @@ def matrices(docs: DataFrame, path: str | None = None, row: int = ROW, pad: int
         raise ValueError("a row has at most 65,536 places")
 
     def lines(held: list[tuple[int | None, np.ndarray]], first: int) -> Iterator[pa.RecordBatch]:
-        pieces = [(doc, start, min(row, len(ids) - start)) for doc, (_, ids) in enumerate(held) for start in range(0, len(ids), row)]
-        rows = best_fit([n for _, _, n in pieces], row)
-        for begin in range(0, len(rows), 512):
-            part = [[pieces[k] for k in r] for r in rows[begin : begin + 512]]
-            out: dict[str, list] = {name: [] for name in ("n_tokens", "ids", "cu_seqlens", "positions", "doc_ids", "starts")}
-            for segments in part:
-                ends = np.cumsum([0] + [n for _, _, n in segments], dtype=np.int32)
-                ids, positions = np.full(row, pad, "<u4"), np.zeros(row, "<u2")
-                for (doc, start, n), at in zip(segments, ends, strict=False):
-                    ids[at : at + n] = held[doc][1][start : start + n]
-                    positions[at : at + n] = np.arange(n)
-                out["n_tokens"].append(int(ends[-1]))
-                out["ids"].append(ids.tobytes())
-                out["cu_seqlens"].append(ends)
-                out["positions"].append(positions.tobytes())
-                out["doc_ids"].append([held[doc][0] for doc, _, _ in segments])
-                out["starts"].append([start for _, start, _ in segments])
-            kinds = (pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            columns = [pa.array(c, t) for c, t in zip(out.values(), kinds, strict=True)]
-            row_ids = pa.array(range(first + begin, first + begin + len(part)), pa.int64())
-            yield pa.RecordBatch.from_arrays([row_ids, *columns], ["row_id", *out])
+        tokens = np.concatenate([ids for _, ids in held]) if held else np.empty(0, "<u4")
+        sizes = np.array([len(ids) for _, ids in held], np.int64)
+        count = -(-sizes // row)  # pieces of each document
+        doc = np.repeat(np.arange(len(held)), count)
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * row
+        length = np.minimum(sizes[doc] - start, row)
+        source = (np.cumsum(sizes) - sizes)[doc] + start
+        names = pa.array([doc_id for doc_id, _ in held], pa.int64())
+        rows = best_fit(length, row)
+        for begin in range(0, len(rows), ROWS_AT_ONCE):
+            part = rows[begin : begin + ROWS_AT_ONCE]
+            piece = np.concatenate([np.asarray(r, np.int64) for r in part])
+            held_by = np.repeat(np.arange(len(part)), [len(r) for r in part])
+            own = length[piece]
+            ends = np.cumsum(own)
+            opens = np.searchsorted(held_by, np.arange(len(part)))  # each row's first piece
+            before = ends - own
+            offset = before - before[opens][held_by]
+            inside = np.arange(ends[-1]) - np.repeat(before, own)  # each token's place in its piece
+            target = np.repeat(held_by * row + offset, own) + inside
+            ids, positions = np.full(len(part) * row, pad, "<u4"), np.zeros(len(part) * row, "<u2")
+            ids[target] = tokens[np.repeat(source[piece], own) + inside]
+            positions[target] = inside
+            cu = np.zeros(len(piece) + len(part), np.int32)
+            cu[np.arange(len(piece)) + held_by + 1] = offset + own
+            pieces_of = np.append(opens, len(piece)).astype(np.int32)
+            cu_of = pieces_of + np.arange(len(part) + 1, dtype=np.int32)
+            columns = [
+                pa.array(np.arange(first + begin, first + begin + len(part))),
+                pa.array(np.add.reduceat(own, opens).astype(np.int32)),
+                _cells(ids, row),
+                pa.ListArray.from_arrays(pa.array(cu_of), pa.array(cu)),
+                _cells(positions, row),
+                pa.ListArray.from_arrays(pa.array(pieces_of), names.take(pa.array(doc[piece]))),
+                pa.ListArray.from_arrays(pa.array(pieces_of), pa.array(start[piece])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [column.split()[0] for column in SCHEMA.split(", ")])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40

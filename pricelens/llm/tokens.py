@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from pricelens.llm.chunks import ChunkEncoder, ids_of
+from pricelens.llm.chunks import ChunkEncoder
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 1
@@ -51,6 +51,6 @@ def token_rows(batches: Iterator[pa.RecordBatch], path: str, end: int = END) ->
     for batch in batches:
         for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
             part = batch.slice(start, TEXTS_AT_ONCE)
-            ids = encode([t or "" for t in part.column("text").to_pylist()])
-            for doc_id, x in zip(part.column("doc_id").to_pylist(), ids, strict=True):
-                yield doc_id, np.concatenate([ids_of(x), closing])
+            ids, bounds = encode.flat([t or "" for t in part.column("text").to_pylist()])
+            for doc_id, a, b in zip(part.column("doc_id").to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                yield doc_id, np.concatenate([ids[a:b], closing])

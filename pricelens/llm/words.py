@@ -49,6 +49,22 @@ def _slice_words(raw: np.ndarray, case: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, mixed(np.add.reduceat(_BYTES[case[raw[solid]]] * _powers(top)[place], first))
 
 
+def byte_hashes(data: np.ndarray, first: np.ndarray, at_once: int) -> np.ndarray:
+    """The hash of each part of ``data``, which are cut at ``first`` and go to the next cut or the end. About
+    ``at_once`` bytes are hashed together; a longer part is still hashed whole."""
+    sizes = np.diff(np.append(first, len(data)))
+    out, at = np.empty(len(first), np.uint64), 0
+    while at < len(first):
+        stop = max(int(np.searchsorted(first, first[at] + at_once)), at + 1)
+        own = sizes[at:stop]
+        begin = first[at:stop] - first[at]
+        place = np.arange(own.sum()) - np.repeat(begin, own)
+        part = data[first[at] : first[at] + len(place)]
+        out[at:stop] = np.add.reduceat(_BYTES[part] * _powers(1 << int(own.max()).bit_length())[place], begin)
+        at = stop
+    return mixed(out)
+
+
 def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where each word of a text begins and ends, in bytes."""
     edges = np.flatnonzero(np.diff(~_SPACE[np.frombuffer(raw, np.uint8)], prepend=False, append=False))

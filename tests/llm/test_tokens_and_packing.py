@@ -11,7 +11,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from llm_fixtures import none, odd, odd_rows, texts  # noqa: F401
-from pricelens.llm import byte_bpe, fit_packing, queries, tier_packing, tokens
+from pricelens.llm import byte_bpe, chunks, fit_packing, queries, tier_packing, tokens
 from pricelens.llm.chunks import ids_of
 
 AWKWARD = [*"ab \n\t'strelvdm1290.,!é日😀　\x85\x1c", "  ", "the", "  \n", "'ll", "aaaaaaaa", "<|endoftext|>", "\ny", "        "]
@@ -170,3 +170,19 @@ def test_matrices_round_trip(spark, sf_dir, odd, none, odd_rows, texts, tokenize
         assert got == Counter(x for x in want if x[0] is not None and x[0] not in (7, 8, 50)) or docs is not odd_rows
         assert sum(len(x) for v in pieces.values() for _, x in v) == sum(len(x) for _, x in want)
     assert fit_packing.matrices(none).count() == 0
+
+
+def test_texts_are_cut_where_white_space_is_plain(monkeypatch):
+    odd = ["\t", " ", " ", "　", " ", " ", "\x85", "\x1c", "\r", "  ", "\n ", " \n", "\n\n", "’", "é", "日本", "ẁ"]
+    texts = [f"a{x}b c" for x in odd] + ["", " ", "\n", "a ", "a\n", " a", "plain words\nand lines", "x" * 300]
+    raw = [t.encode() for t in texts]
+    want = [bool(chunks._UNEVEN.search(t)) for t in texts]
+    assert chunks._uneven(texts, raw) == want and any(want) and not all(want)
+    plain = tokens.encoder(tokens.vocabulary_path())
+    whole = plain.encode_all(texts)
+    assert plain(texts) == whole
+    monkeypatch.setattr(chunks, "TEXT_AT_ONCE", 7)
+    monkeypatch.setattr(chunks, "SLICE", 3)
+    plain.forget()
+    assert plain(texts) == whole
+    assert plain.flat([])[0].tolist() == []
