@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.functions import brands, json_values
-from pricelens.operators import keyed, ledger, research, shelf
+from pricelens.operators import dictionaries, keyed, ledger, research, shelf, spec_rules
 from pricelens.plans import audit, compare, questions, reports
 from pricelens.schemas import EARNINGS_SPEC, REVIEWS_BLOCKED_DOMAINS, REVIEWS_SPEC
 from pricelens.session import shared_dir
@@ -512,6 +513,22 @@ def brand_of(spark, sf_dir):
     )
 
 
+@query
+def brand_by_dictionary(spark, sf_dir):
+    """The known brands and one for each customer, as a table."""
+    name, given, slug = data.product_words()
+    url = F.concat(F.lit("https://www.amazon.com/"), slug, F.lit("/dp/B0X"))
+    customers = data.table(spark, sf_dir, "customer").select(
+        (F.lit(1000) + F.col("c_custkey")).cast("int").alias("entry"),
+        F.col("c_name").alias("brand"),
+        F.lit("words").alias("kind"),
+        F.lower("c_name").alias("phrase"),
+    )
+    entries = dictionaries.brand_dictionary(spark).unionByName(customers)
+    rows = data.table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), given.alias("given"), url.alias("url"))
+    return dictionaries.with_brand(rows, F.col("name"), F.col("given"), F.col("url"), entries).select("p_partkey", "brand")
+
+
 @query
 def normalise_shelf(spark, sf_dir):
     items = payloads.unwrap_items(data.stored(spark, sf_dir, data.payloads)).drop("item_index")
@@ -581,6 +598,33 @@ def validate_reviews(spark, sf_dir):
     )
 
 
+def _specs(spark) -> DataFrame:
+    """Both specifications in a table, as the JSON text an agent's file holds."""
+    path = shared_dir(spark, "specs")
+    texts = []
+    for name, spec in (("earnings", EARNINGS_SPEC), ("reviews", REVIEWS_SPEC)):
+        properties = {field: {"type": types} for field, types in spec["types"].items()}
+        row = {"type": "object", "required": spec["required"], "properties": properties}
+        texts.append((name, json.dumps({"output_schema": {"type": "array", "items": row}})))
+    spark.createDataFrame(texts, "name STRING, spec STRING").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query
+def validate_rows_by_spec(spark, sf_dir):
+    rows = research.run_result(data.stored(spark, sf_dir, data.envelopes)).filter("item_index IS NOT NULL")
+    return spec_rules.validate_by_spec(rows, _specs(spark), "earnings").select(
+        "run_id", "item_index", F.array_join("violations", "; ").alias("violations")
+    )
+
+
+@query
+def validate_reviews_by_spec(spark, sf_dir):
+    return spec_rules.validate_by_spec(data.review_items(spark, sf_dir), _specs(spark), "reviews").select(
+        "run_id", F.array_join("violations", "; ").alias("violations")
+    )
+
+
 @query
 def claim_match(spark, sf_dir):
     return research.claim_match(data.claims(spark, sf_dir))
@@ -630,6 +674,15 @@ def blocked_sources(spark, sf_dir):
     return research.flag_blocked_sources(pages, "url", BLOCKED)
 
 
+@query
+def blocked_by_domain_table(spark, sf_dir):
+    """Domains as a table: those to block, and one for each order."""
+    more = data.table(spark, sf_dir, "orders").select(F.format_string("site%d.example.com", F.col("o_orderkey")).alias("domain"))
+    domains = spark.createDataFrame([(d,) for d in BLOCKED], "domain STRING").unionByName(more)
+    pages = data.table(spark, sf_dir, "pages").select("page_id", "url")
+    return dictionaries.with_blocked(pages, "url", domains)
+
+
 # Reports
 
 
