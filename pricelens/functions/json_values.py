@@ -31,14 +31,16 @@ WHITE_SPACE = (
 )
 
 
-#: A JSON string in raw JSON that begins like a list or an object. Read as text it looks like one.
-STRING_LIKE_JSON = r'"\s*([\[{]|\\u00[57][bB])'
+#: How a JSON string begins in raw JSON that, read as text, looks like a list or an object; the last one stands
+#: for the first character as an escape. A quote that ends a string is never followed by these.
+STRING_LIKE_JSON = ['"[', '"{', '"\\u00']
 
 
 def may_mislead(json: Column) -> Column:
-    """Whether some string in the JSON begins like a list or an object. Only then does telling them apart
-    need the kinds, which cost a second parse."""
-    return json.rlike(STRING_LIKE_JSON)
+    """Whether some string in the JSON may begin like a list or an object. Only then does telling them apart
+    need the kinds, which cost a second parse. Plain searches, because a pattern costs more than the parse."""
+    found = [json.contains(start) for start in STRING_LIKE_JSON]
+    return found[0] | found[1] | found[2]
 
 
 def read_fields(item: str, keys: Iterable[str]) -> Column:

@@ -52,28 +52,28 @@ _FIELDS = [name for names in ALIASES.values() for name in names] + [OUT_OF_STOCK
 
 
 NUMBERS = ["position", "price", "list_price", "rating", "review_count"]
-_SEPARATOR = "\x01"
-
-
-def _any_matches(texts: Column, names: Sequence[str], pattern: str) -> Column:
-    """Whether one of the texts is of a pattern as a whole, by one search through all of them."""
-    joined = F.concat_ws(_SEPARATOR, *[texts[name] for name in names])
-    return joined.rlike(f"(^|{_SEPARATOR})({pattern})({_SEPARATOR}|$)")
+#: Values that read differently as a text and as another JSON value, by what the field is: a signed number or one
+#: with an exponent, zero, false and the empty object where presence counts, and the empty list anywhere.
+_UNCLEAR = {
+    "number": r"\[\]|-[0-9.]+|-?[0-9.]+[eE][+-]?[0-9]+",
+    "presence": r"\[\]|\{\}|false|-?[0.]+",
+    "other": r"\[\]",
+}
 
 
 def _needs_kinds(texts: Column) -> Column:
-    """Whether some value of an item reads differently as a text and as another JSON value: an empty list,
-    a signed number or one with an exponent, zero, false and the empty object where presence counts,
-    and a stock flag that is null or missing."""
+    """Whether some value of an item reads differently as a text and as another JSON value: one of ``_UNCLEAR``, or a
+    stock flag that is null or missing. All texts are searched at once; each sort has a separator of its own."""
     named = [alias for names in ALIASES.values() for alias in names]
     numbers = [alias for name in NUMBERS for alias in ALIASES[name]]
+    presence = [*ALIASES["product_id"], AVAILABILITY]
+    sorts = {"number": numbers, "presence": presence, "other": [n for n in named if n not in numbers + presence]}
+    joined, patterns = [], []
+    for sort, mark in zip(sorts, "\x01\x02\x03"):
+        joined += [F.lit(mark), F.concat_ws(mark, *[texts[name] for name in sorts[sort]]), F.lit(mark)]
+        patterns.append(f"{mark}({_UNCLEAR[sort]}){mark}")
     unknown_stock = texts[OUT_OF_STOCK].isNull() & F.col("item").contains(f'"{OUT_OF_STOCK}"')
-    return (
-        _any_matches(texts, named, r"\[\]")
-        | _any_matches(texts, numbers, r"-[0-9.]+|-?[0-9.]+[eE][+-]?[0-9]+")
-        | _any_matches(texts, [*ALIASES["product_id"], AVAILABILITY], r"\{\}|false|-?[0.]+")
-        | unknown_stock
-    )
+    return F.concat(*joined).rlike("|".join(patterns)) | unknown_stock
 
 
 def _page_from_id(product_id: Column) -> Column:
