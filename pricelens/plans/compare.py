@@ -12,24 +12,32 @@ from pricelens.operators.keyed import latest_per_key
 PRICE_TOLERANCE_PCT = 2
 
 
+KEYS = ["retailer", "product_id"]
+
+
+def with_keys(vendor: DataFrame) -> DataFrame:
+    """The vendor's rows with retailer and product as ours are written."""
+    return vendor.withColumns({"retailer": F.lower("retailer"), "product_id": F.col("product_id").cast("string")})
+
+
 def feed_compare(
     vendor: DataFrame,
     ours: DataFrame,
     as_of: Column,
     tolerance_pct: float = PRICE_TOLERANCE_PCT,
     tie_break: Sequence[Column] = (),
+    keyed: bool = False,
 ) -> DataFrame:
     """Per retailer: vendor products, how many of them we found, the share of those whose prices
     agree within the tolerance, and the mean age of both feeds in hours at ``as_of``.
 
     A found product with a price missing on either side counts as a mismatch. The latest rows and
     the join use the same two columns, so each feed is shuffled once, after it has been reduced to
-    one row per product and input partition.
+    one row per product and input partition; two tables that ``save_bucketed`` wrote by these columns
+    are not shuffled at all. ``keyed`` says that ``vendor`` has gone through ``with_keys``.
     """
-    keys = ["retailer", "product_id"]
-    theirs = vendor.withColumn("retailer", F.lower("retailer")).withColumn(
-        "product_id", F.col("product_id").cast("string")
-    )
+    theirs = vendor if keyed else with_keys(vendor)
+    keys = KEYS
     v = latest_per_key(theirs, keys, "captured_at", tie_break).select(*keys, "price", "captured_at")
     n = latest_per_key(ours, keys, "captured_at", tie_break).select(*keys, "price", "captured_at")
     joined = v.alias("v").join(

@@ -49,27 +49,52 @@ def comment_table(spark: SparkSession, name: str, comment: str) -> None:
 
 
 def append_snapshot(
-    snapshot: DataFrame, path: str, day: str = DAY, history: StructType | None = None
+    snapshot: DataFrame,
+    path: str,
+    day: str = DAY,
+    history: StructType | None = None,
+    look_up_by: Sequence[str] = (),
+    row_group_bytes: int | None = None,
 ) -> int:
     """Adds a snapshot to the history at ``path``, one folder per day, and returns its row count.
 
     Columns may be added over time but not change their type: with the schema of the ``history`` so
     far given, a change is refused. The count comes from the write itself, not from a second read.
     The rebalance puts a day's rows together and splits a day that is too large for one file.
+
+    ``look_up_by`` names columns that rows will be looked up by: the rows of a file are sorted by the
+    first one, so that a row group holds a narrow range of it, and each gets a Bloom filter, so that a
+    row group without a value is skipped. ``row_group_bytes`` makes row groups smaller than Parquet's
+    own, for look-ups of few rows.
     """
     if history is not None:
         _check_additive(history, snapshot.schema)
     counted = Observation()
-    (
-        snapshot.hint("rebalance", F.col(day))
-        .observe(counted, F.count(F.lit(1)).alias("rows"))
-        .write.mode("append")
-        .partitionBy(day)
-        .parquet(path)
-    )
+    rows = snapshot.hint("rebalance", F.col(day))
+    if look_up_by:
+        # Partitioned writes sort by the folder; to come after that, the sort has to begin with it.
+        rows = rows.sortWithinPartitions(day, *look_up_by)
+    writer = rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy(day)
+    for name in look_up_by:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", str(row_group_bytes))
+    writer.parquet(path)
     return counted.get["rows"]
 
 
+def save_bucketed(rows: DataFrame, name: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """The catalog table ``name`` with the rows dealt to ``buckets`` files by the hash of ``keys``, sorted by them.
+
+    Operators by the same keys, and joins with a table of as many buckets by the same keys, read it
+    without a shuffle. The rows are dealt out before the write, so that each bucket is one file; a key with
+    very many rows makes its bucket long, as it would a shuffle partition.
+    """
+    dealt = rows.repartition(buckets, *keys)
+    dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def read_history(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """All snapshots at ``path``; a column that a snapshot does not have yet is NULL.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pricelens.operators import ledger, research
 from pricelens.plans import reports
+from pricelens.sources import tables
 from workload import standins
 from workload.queries import QUERIES as REGISTERED
 
@@ -15,7 +16,9 @@ entry = importlib.import_module("__spark_entry__")
 
 # These write tables or run streams while they are built; what they return is a plain read.
 WRITING = {"append_snapshot", "upsert", "refetch_empty"}
-QUERIES = sorted(n for n in REGISTERED if n not in WRITING and not n.startswith("stream_"))
+QUERIES = sorted(n for n in REGISTERED if n not in WRITING and not n.startswith(("stream_", "poll_")))
+# What asks a service runs the caller's function in Python workers.
+ASKING = {"fetch_requests", "live_payloads", "live_run_results", "fetch_web_function", "post_run_function", "fetch_run_function"}
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -23,7 +26,7 @@ def test_plans_hold_no_pairing_and_no_python(spark, sf_dir, name):
     plan = plan_of(entry.queries()[name](spark, sf_dir))
     if name != "seed_searches":
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    if name != "fetch_requests":
+    if name not in ASKING:
         assert "Python" not in plan and "InPandas" not in plan
 
 
@@ -41,6 +44,42 @@ def test_latest_reports_read_one_folder(spark, sf_dir, name):
     assert any("captured_on" in line.split("PartitionFilters: [")[1].split("]")[0] and "ubquery" in line for line in feed)
 
 
+def test_bucketed_feeds_are_compared_without_a_shuffle(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(REGISTERED["feed_compare_bucketed"](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("SortMergeJoin") and plan.count("Bucketed: true") == 2
+
+
+def rows_scanned(df):
+    """Rows that the scans of an executed query gave out."""
+    df._jdf.collectToPython()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = (plan.finalPhysicalPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan).collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_a_look_up_skips_row_groups(spark, folder):
+    rows = spark.range(200_000).select(
+        (F.col("id") * 7919 % 50_021).cast("string").alias("product_id"),
+        F.col("id").alias("n"),
+        F.md5(F.col("id").cast("string")).alias("filling"),
+        F.lit("2025-01-01").cast("date").alias("captured_on"),
+    )
+    plain, sorted_path = f"{folder}/plain", f"{folder}/sorted"
+    tables.append_snapshot(rows, plain)
+    written = tables.append_snapshot(rows, sorted_path, look_up_by=["product_id"], row_group_bytes=1 << 19)
+    assert written == 200_000
+    found = [tables.read_history(spark, path, rows.schema).filter("product_id = '4711'") for path in (plain, sorted_path)]
+    scanned = [rows_scanned(df) for df in found]
+    assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect())) and found[1].count() == 4
+    assert 10 * scanned[1] < scanned[0]
+    missing = tables.read_history(spark, sorted_path, rows.schema).filter("product_id = '4711x'")
+    assert rows_scanned(missing) < scanned[0] / 10 and missing.isEmpty()
+
+
 def test_newest_per_retailer_does_not_deal_out_the_feed(spark, sf_dir):
     plan = plan_of(REGISTERED["latest_snapshot_per_retailer"](spark, sf_dir))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -32,6 +32,8 @@ FACETS = {
 DETAIL_ORDER = ["retailer", "search_keyword", "position", *data.ROW_KEY[:1], *data.ROW_KEY[2:]]
 DETAIL_AFTER = ["america", "economy", 4, 0, 0, 0, "1990-01-01"]
 BLOCKED = ["example.net", "thther.example.org"]
+LOOKED_UP = ["7", "42", "133", "no such product"]
+BUCKETS = 16
 LEDGER_MINUTES = 2 * 24 * 60
 STREAM_DELAY = "2 days"
 LOG_END = "2100-01-01 00:00:00"
@@ -782,6 +784,27 @@ def feed_compare(spark, sf_dir):
     )
 
 
+@query
+def feed_compare_bucketed(spark, sf_dir):
+    """The comparison over tables bucketed by its keys, which are not shuffled."""
+    feed = data.shelf(spark, sf_dir)
+    names = [_table_name(spark) for _ in range(2)]
+    vendor = compare.with_keys(feed.filter("position <= 3").withColumn("retailer", F.upper("retailer")))
+    vendor, ours = (
+        tables.save_bucketed(rows, name, compare.KEYS, BUCKETS) for rows, name in zip((vendor, feed.filter("position >= 3")), names)
+    )
+    return compare.feed_compare(vendor, ours, F.lit(data.AS_OF).cast("timestamp"), tie_break=data.tie_break(), keyed=True)
+
+
+@query
+def product_lookup(spark, sf_dir):
+    """All snapshots of a few products, from files that are sorted by product and have Bloom filters."""
+    feed, path = data.shelf(spark, sf_dir), shared_dir(spark, "lookup_history")
+    tables.append_snapshot(feed, path, look_up_by=["product_id"], row_group_bytes=1 << 20)
+    history = tables.read_history(spark, path, feed.schema)
+    return history.filter(F.col("product_id").isin(LOOKED_UP)).select("product_id", "retailer", "price", "captured_on", *data.ROW_KEY)
+
+
 # Runs and questions
 
 
