@@ -7,6 +7,9 @@ length k, the footrule distance (the sum of differences in place) falls by 2 * (
 query, place in vector)) for every pivot the two share, so adding these up over the files ranks the
 shard's vectors. The best share of them is compared with the query in double precision.
 
+A prefix of a quarter of the pivots makes a query read 16 postings for each vector of a shard, and the share
+that is compared costs 13 multiplications for each of 64 dimensions' 64: less than half of an exact scan.
+
 Vectors are dealt to shards by a hash of their id and queries to groups, and each pair of a shard and
 a group is a task of its own: memory is bounded by the two parameters, and copies of one vector spread
 over all shards. In a shard, ties of the footrule go to smaller ids, as do ties of the result.
@@ -22,9 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Pivots, taken from the table by the hash of their id, and how many of them represent a vector.
-PIVOTS, PREFIX = 256, 128
+PIVOTS, PREFIX = 256, 64
 #: Share of a shard that is compared exactly, and the least number of its vectors.
-SHARE, LEAST = 0.1, 100
+SHARE, LEAST = 0.2, 100
 #: Vectors in a shard, queries in a group.
 SHARD, GROUP = 8192, 4096
 
@@ -89,7 +92,8 @@ class InvertedFiles:
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, share: float = SHARE, shard: int = SHARD, group: int = GROUP) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found for each vector whose id is
     divisible by ``every``, by Euclidean distance, its own id left out. Vectors that are null, zero or
-    not finite take no part; without any other vector a query has no row."""
+    not finite take no part; without any other vector a query has no row. Rows that repeat an id are
+    neighbours of their own, but one query: the one with the least vector, compared as bytes."""
     good = usable(vectors)
     table = pivots(good)
     empty = "query_id long, rank int, vec_id long, score double"
@@ -100,7 +104,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, share: float = SH
     shards, groups = -(-counts.n // shard), max(-(-counts.q // group), 1)
     dimensions, prefix = table.shape[1], min(PREFIX, len(table))
     own = index.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = index.where(F.col("vec_id") % every == 0).withColumn("grp", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int"))
+    queries = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "prefix")).alias("least")).select("vec_id", "least.*")
+    asked = queries.withColumn("grp", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
 
     def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:

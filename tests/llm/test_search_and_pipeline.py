@@ -90,3 +90,14 @@ def test_pipeline_handles_odd_and_no_rows(spark, odd, none, sf_dir, folder):
             docs = spark.read.parquet(f"{folder}/{name}{k}")
             assert k == 4 or docs.columns == columns
         assert (docs.count() > 0) == (name == "odd")
+
+
+def test_a_repeated_id_is_one_query_and_a_neighbour_each_time(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(1, 30)] + [(100, [3.0, 1.0]), (100, [3.0, 1.0]), (200, [3.5, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in permutation_index.nearest(table).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert [x for _, x, _ in sorted(got[100])] == [3, 200, 2, 4, 1, 5, 6, 7, 8, 9]
+    assert [(x, s) for _, x, s in sorted(got[200])][:4] == [(3, 0.5), (4, 0.5), (100, 0.5), (100, 0.5)]
+    assert [n for n, _, _ in sorted(got[100])] == list(range(1, 11)) == [n for n, _, _ in sorted(got[200])]
