@@ -464,9 +464,11 @@ def upsert(spark, sf_dir):
         late.filter("fiscal_quarter_label = 'Q3'"),
         late.filter("fiscal_quarter_label <> 'Q3'").drop("revenue_growth_yoy_pct"),
     ]
+    table = None
     for number, load in enumerate(loads):
+        known = None if table is None else table.schema  # so that no file is opened to learn it
         table = tables.upsert_table(
-            load, f"{folder}/table", f"{folder}/staging_{number}", keys, "quarter_end_date", _best_first()
+            load, f"{folder}/table", f"{folder}/staging_{number}", keys, "quarter_end_date", _best_first(), schema=known
         )
     return table
 
