@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pricelens.functions import brands
 from pricelens.functions.urls import is_blocked
 from pricelens.operators import dictionaries, research, spec_rules
-from pricelens.operators.lookup import lookup
+from pricelens.operators.lookup import hot_lookup, lookup
 from pricelens.schemas import EARNINGS_SPEC, REVIEWS_SPEC
 
 NAMES = [
@@ -105,6 +105,18 @@ def test_a_hot_key_is_dealt_out(spark):
     assert got == {k: 1 if k % 3 == 0 else 2 if k == 7 else None for k in range(1000)}
 
 
+@pytest.mark.parametrize("rows_to_be_hot", [1000, 100, 1])
+def test_hot_keys_are_looked_up_apart(spark, monkeypatch, rows_to_be_hot):
+    monkeypatch.setattr("pricelens.operators.lookup.HOT_ROWS", rows_to_be_hot)
+    key = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id") % 40).when(F.col("id") % 7 == 0, None).otherwise(F.col("id"))
+    rows = spark.range(2000).select("id", key.alias("k"))
+    table = spark.range(1, 1500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = hot_lookup(rows, table, "k")
+    want = rows.join(table, "k", "left").select("id", "k", "v")
+    assert got.columns == ["id", "k", "v"] and got.count() == 2000
+    assert got.exceptAll(want).isEmpty() and not got.filter("v IS NULL").isEmpty()
+
+
 # Specifications
 
 SPEC = {
