@@ -35,8 +35,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences of several lengths."""
-    return tier_packing.packed(docs)
+    """Packs the texts into sequences of several lengths; the pieces carry their token ids."""
+    return tier_packing.packed(docs, with_ids=True)
 
 
 STAGES = [
