@@ -156,7 +156,8 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Every row of ``docs`` with ``ids`` (little-endian unsigned 32-bit) and ``decoded`` (bytes). A null text
-    counts as empty; columns of these names are replaced."""
+    counts as empty, repeated rows are answered one by one, and a text of any length as a whole; columns of
+    these names are replaced."""
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern)
@@ -164,9 +165,9 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = own.encode_texts([t or "" for t in texts])
             yield pd.DataFrame({"ids": ids, "decoded": [own.decode(ids_of(x)) for x in ids]})
 
-    out = docs.withColumn("_coded", F.pandas_udf(encode, "ids binary, decoded binary")("text"))
-    others = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
-    return out.select(*others, "_coded.ids", "_coded.decoded")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("ids", "decoded")))
+    coded = F.pandas_udf(encode, "ids binary, decoded binary")("text")
+    return docs.select(row.alias("row"), coded.alias("coded")).select("row.*", "coded.ids", "coded.decoded")
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

@@ -92,7 +92,8 @@ def matrices(docs: DataFrame, path: str | None = None, row: int = ROW, pad: int
 
     ``ids`` holds ``row`` little-endian unsigned 32-bit ids, ``positions`` as many unsigned 16-bit places.
     ``cu_seqlens`` runs from 0 to ``n_tokens``; segment k is that of ``doc_ids[k]`` from token ``starts[k]``.
-    A null or empty text is the end token alone; an empty table gives no row.
+    A null or empty text is the end token alone; repeated rows are packed one by one, pieces of equal length in
+    the order of the rows; an empty table gives no row.
     """
     path = path or vocabulary_path()
     if row > 1 << 16:

@@ -142,8 +142,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = SIZE)
     """Every row of ``docs`` with ``lang_pred`` and ``score``, the cosine with that prototype (at least 0).
 
     A text that is null, empty or without a letter gets ``und`` and 0; so does every text when nothing
-    was learned. Ties go to the language that sorts first. Other columns pass through; columns of the
-    two names are replaced.
+    was learned. Ties go to the language that sorts first. Repeated rows are answered one by one, and a
+    text of any length as a whole. Other columns pass through; columns of the two names are replaced.
     """
     names, table = _table(profiles)
 
@@ -153,8 +153,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = SIZE)
             yield pd.DataFrame({"lang_pred": best, "score": score})
 
     guess = F.pandas_udf(predict, "lang_pred string, score double")
-    others = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.withColumn("_guess", guess("text")).select(*others, "_guess.lang_pred", "_guess.score")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")))
+    return docs.select(row.alias("row"), guess("text").alias("guess")).select("row.*", "guess.lang_pred", "guess.score")
 
 
 #: A text of so many code points whose cosine with every prototype is lower is in no known language.

@@ -173,7 +173,9 @@ def good(docs: DataFrame, model: Model) -> DataFrame:
 
 def learn_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, ``held_out``, ``score``, ``predicted``. Labels of the fold 1 of 3 are
-    never read; without any label every score is a half. An empty table gives no row."""
+    never read; without any label every score is a half. Repeated rows are scored one by one, equal texts
+    alike, a score of exactly a half predicts 1, and a text of any length is read whole. An empty table
+    gives no row."""
     plain = documents(docs)
     model = learned(plain, labels)
     held_out = (fold(F.col("doc_id"), 3) == 1).alias("held_out")

@@ -3,11 +3,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from llm_fixtures import none, odd, odd_rows, texts  # noqa: F401
 from llm_words import words_of
-from pricelens.llm import bloom_lm, language, quality, queries
+from pricelens.llm import bloom_lm, byte_bpe, language, quality, queries
 
 
 def held(doc_id, folds, out):
@@ -152,3 +153,13 @@ def test_a_filter_that_is_too_small_leaves_out_the_rarest_levels(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "true AS training")
     small = bloom_lm.learn(docs, 4, max_bytes=20_000)
     assert len(small.bits) <= 20_000 + 4 * 8 and small.level(np.array([bloom_lm.END]))[0] > 0
+
+
+def test_columns_that_clash_with_inner_names(spark):
+    rows = [("Das ist ein Haus", "mine", "r", 1), (None, None, "x", 2)]
+    docs = spark.createDataFrame(rows, "text string, _guess string, row string, guess int")
+    got = language.identify(docs, {}).collect()
+    assert [tuple(r) for r in got] == [(*r, "und", 0.0) for r in rows]
+    docs = docs.withColumnsRenamed({"_guess": "_coded", "guess": "coded"})
+    got = byte_bpe.encoded(docs, public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN).collect()
+    assert [tuple(r)[:4] for r in got] == rows and [bytes(r.decoded).decode() for r in got] == ["Das ist ein Haus", ""]
