@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.llm.tables import stored
+from pricelens.operators.lookup import hot_lookup
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -17,10 +18,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     both = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
     labels = nodes.select("id", F.col("id").alias("label"))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        best = labels.join(near, "id", "left").select("id", "label", F.least("label", "near").alias("best"))
+        # A node with very many links, and a label with very many nodes, are looked up where their rows are.
+        near = hot_lookup(both, labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        best = stored(labels.join(near, "id", "left").select("id", "label", F.least("label", "near").alias("best")), "best")
         jump = labels.select(F.col("id").alias("best"), F.col("label").alias("far"))
-        fresh = stored(best.join(jump, "best").select("id", F.least("best", "far").alias("label"), (F.least("best", "far") != F.col("label")).alias("moved")), "labels")
+        fresh = stored(hot_lookup(best, jump, "best").select("id", F.least("best", "far").alias("label"), (F.least("best", "far") != F.col("label")).alias("moved")), "labels")
         labels = fresh.select("id", "label")
         if fresh.where("moved").isEmpty():
             return labels

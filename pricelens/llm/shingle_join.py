@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pricelens.llm.components import components
 from pricelens.llm.tables import buckets_for, stored
 from pricelens.llm.words import mixed, word_hashes
+from pricelens.operators.lookup import hot_lookup
 
 SHINGLE = 5
 #: Links need 100 * common >= PERCENT * union.
@@ -336,7 +337,8 @@ def document_components(docs: DataFrame) -> DataFrame:
     again = plain.join(wanted, ["key", "t"]).select("doc_id", "key", "t", "text", "sid")
     classes = stored(candidates(again.repartition(buckets, "sid"), buckets), "classes")
     labels = components(classes.select(F.col("sid").alias("id")), links(classes)).select(F.col("id").alias("sid"), "label")
-    return sets.join(labels, "sid", "left").select("doc_id", "key", "t", "n_shingles", F.coalesce("label", "sid").alias("label"))
+    # Copies share a class and near copies a label, so either may have very many rows.
+    return hot_lookup(sets, labels, "sid").select("doc_id", "key", "t", "n_shingles", F.coalesce("label", "sid").alias("label"))
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
@@ -347,10 +349,10 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     links but names no component, so a component of null ids alone has a null name. No row for an
     empty table.
     """
-    found = document_components(docs)
+    found = stored(document_components(docs), "components")
     least = found.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return found.join(least, "label", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return hot_lookup(found, least, "label").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
