@@ -12,7 +12,7 @@ import json
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.functions.json_values import NUMERIC_KINDS
@@ -100,6 +100,13 @@ def row_spec(text: str) -> dict:
     return spec["items"] if spec.get("type") == "array" else spec
 
 
+def specs_from_files(spark: SparkSession, path: str) -> DataFrame:
+    """The specifications in the ``.json`` files of a folder as a table: ``name`` (the file's) and ``spec``."""
+    texts = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+    return texts.select(name.alias("name"), F.col("value").alias("spec"))
+
+
 def validate_by_spec(rows: DataFrame, specs: DataFrame, name: str, item: str = "item_json") -> DataFrame:
     """``rows`` with ``violations`` by the specification ``name`` of a table with ``name`` and ``spec`` (JSON text). A row
     that is no JSON is ``not JSON``."""

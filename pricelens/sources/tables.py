@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -12,6 +13,8 @@ from pyspark.sql.types import StructField, StructType
 from pricelens.operators.keyed import upsert
 
 DAY = "captured_on"
+#: Folder of a table's schema, which readers of the table pass over.
+_SCHEMA = "_schema"
 
 
 def seed_table(
@@ -58,8 +61,9 @@ def append_snapshot(
 ) -> int:
     """Adds a snapshot to the history at ``path``, one folder per day, and returns its row count.
 
-    Columns may be added over time but not change their type: with the schema of the ``history`` so
-    far given, a change is refused. The count comes from the write itself, not from a second read.
+    Columns may be added over time but not change their type: a change against the schema kept beside the
+    files is refused, or against that of the ``history`` where it is given. The count comes from the
+    write itself, not from a second read.
     The rebalance puts a day's rows together and splits a day that is too large for one file.
 
     ``look_up_by`` names columns that rows will be looked up by: the rows of a file are sorted by the
@@ -67,8 +71,7 @@ def append_snapshot(
     row group without a value is skipped. ``row_group_bytes`` makes row groups smaller than Parquet's
     own, for look-ups of few rows.
     """
-    if history is not None:
-        _check_additive(history, snapshot.schema)
+    _keep_schema(snapshot.sparkSession, path, history or known_schema(snapshot.sparkSession, path), snapshot.schema, day)
     counted = Observation()
     rows = snapshot.hint("rebalance", F.col(day))
     if look_up_by:
@@ -98,13 +101,35 @@ def save_bucketed(rows: DataFrame, name: str, keys: Sequence[str], buckets: int)
 def read_history(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """All snapshots at ``path``; a column that a snapshot does not have yet is NULL.
 
-    With the ``schema`` of the newest writer no file has to be opened to plan the read. Without it
-    Spark merges the schemas of all files, which on a long history is a job of its own.
+    With the ``schema`` of the newest writer, or that kept beside the files, no file has to be opened to
+    plan the read. Without either Spark merges the schemas of all files, which on a long history is a
+    job of its own.
     """
-    reader = spark.read
+    schema = schema or known_schema(spark, path)
     if schema is None:
-        return reader.option("mergeSchema", "true").parquet(path)
-    return reader.schema(schema).parquet(path)
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def known_schema(spark: SparkSession, path: str) -> StructType | None:
+    """The schema that the writers of the table at ``path`` have kept beside its files, None without one."""
+    try:
+        kept = spark.read.text(f"{path}/{_SCHEMA}", wholetext=True).take(1)
+    except AnalysisException:
+        return None
+    return StructType.fromJson(json.loads(kept[0].value)) if kept else None
+
+
+def _keep_schema(spark: SparkSession, path: str, known: StructType | None, new: StructType, partition: str) -> None:
+    """Refuses a change of type, and keeps the columns of both, the partition last. Written before the rows: a
+    reader finds NULL in a column that no file has yet, but would not find one that is not in the schema."""
+    if known is not None:
+        _check_additive(known, new)
+    columns = {field.name: StructField(field.name, field.dataType) for field in [*(known or []), *new]}
+    merged = StructType([*[f for name, f in columns.items() if name != partition], columns[partition]])
+    if merged != known_schema(spark, path):
+        text = spark.createDataFrame([(merged.json(),)], "value STRING").coalesce(1)
+        text.write.mode("overwrite").text(f"{path}/{_SCHEMA}")
 
 
 def _check_additive(existing: StructType, new: StructType) -> None:
@@ -118,7 +143,7 @@ def _schema_so_far(spark: SparkSession, path: str, partition: StructField) -> St
     """The merged schema of a table's files, None without any. The partition column's type is given: the
     names of its folders do not tell it."""
     try:
-        merged = read_history(spark, path).schema
+        merged = spark.read.option("mergeSchema", "true").parquet(path).schema
     except AnalysisException as failure:
         if failure.getCondition() != "UNABLE_TO_INFER_SCHEMA":
             raise
@@ -146,7 +171,8 @@ def upsert_table(
 
     The table keeps every column it has: what the source lacks is NULL in its rows, what the table
     lacks is added, and a column that changes its type is refused. ``schema`` is the table's; without
-    it Spark merges the schemas of all files. The columns are returned with the partition last.
+    it the one kept beside the files counts, and without that Spark merges the schemas of all files.
+    The columns are returned with the partition last.
 
     The new state is written to ``staging`` first, as a folder cannot be replaced while it is read;
     if the job dies while the partitions are being replaced, ``staging`` still holds them complete.
@@ -156,8 +182,8 @@ def upsert_table(
     # Makes the folder where there is none yet, and does nothing otherwise.
     spark.createDataFrame([], source.schema).write.mode("ignore").partitionBy(partition).parquet(path)
     if schema is None:
-        schema = _schema_so_far(spark, path, source.schema[partition]) or source.schema
-    _check_additive(schema, source.schema)
+        schema = known_schema(spark, path) or _schema_so_far(spark, path, source.schema[partition]) or source.schema
+    _keep_schema(spark, path, schema, source.schema, partition)
     known = {field.name for field in schema}
     added = [field for field in source.schema if field.name not in known]
     own = [field for field in [*schema, *added] if field.name != partition]

@@ -118,6 +118,29 @@ def test_history_takes_new_columns_but_no_new_types(spark, folder):
         )
 
 
+def test_a_type_change_is_refused_without_being_told_the_history(spark, folder):
+    path = f"{folder}/history"
+    tables.append_snapshot(shelf_rows(spark), path)
+    tables.append_snapshot(shelf_rows(spark).drop("price").withColumn("rating", F.lit(4.5)), path)
+    for column, value in (("price", "1"), ("rating", 4)):
+        with pytest.raises(ValueError, match=column):
+            tables.append_snapshot(shelf_rows(spark).withColumn(column, F.lit(value)), path)
+    known = tables.known_schema(spark, path)
+    assert [f.name for f in known][-1] == "captured_on" and "rating" in known.names and "price" in known.names
+    history = tables.read_history(spark, path)
+    assert history.schema == known and tuple(history.agg(F.count("rating"), F.count("price"), F.count(F.lit(1))).first()) == (3, 3, 6)
+    assert tables.known_schema(spark, f"{folder}/nothing") is None
+
+
+def test_a_table_written_without_a_kept_schema_is_merged(spark, folder):
+    path, rows = f"{folder}/t", [(1, "d1", 5.0)]
+    spark.createDataFrame(rows, "k INT, day STRING, v DOUBLE").write.partitionBy("day").parquet(path)
+    more = spark.createDataFrame([(2, "d1", "x")], "k INT, day STRING, w STRING")
+    after = tables.upsert_table(more, path, f"{folder}/s", [F.col("k"), F.col("day")], "day", [F.col("k")])
+    assert sorted(map(tuple, after.select("k", "v", "w", "day").collect())) == [(1, 5.0, None, "d1"), (2, None, "x", "d1")]
+    assert tables.known_schema(spark, path).names == ["k", "v", "w", "day"]
+
+
 def test_a_hot_key_is_reduced_before_the_shuffle(spark):
     rows = spark.range(0, 30000, 1, 8).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("product_id"),
