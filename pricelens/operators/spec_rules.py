@@ -103,7 +103,8 @@ def row_spec(text: str) -> dict:
 def specs_from_files(spark: SparkSession, path: str) -> DataFrame:
     """The specifications in the ``.json`` files of a folder as a table: ``name`` (the file's) and ``spec``."""
     texts = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+    file = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # Spark gives it as in a URL
+    name = F.regexp_extract(file, r"^(.*)\.json$", 1)
     return texts.select(name.alias("name"), F.col("value").alias("spec"))
 
 

@@ -189,13 +189,13 @@ def test_violations_name_their_path(spark):
 
 
 def test_specifications_from_files(spark, tmp_path):
-    (tmp_path / "shop rows.json").write_text(json.dumps({"output_schema": {"type": "array", "items": SPEC}}, indent=1))
+    (tmp_path / "shop+rows %.json").write_text(json.dumps({"output_schema": {"type": "array", "items": SPEC}}, indent=1))
     (tmp_path / "other.json").write_text("{}")
     (tmp_path / "notes.txt").write_text("no specification")
     specs = spec_rules.specs_from_files(spark, str(tmp_path))
-    assert sorted(r.name for r in specs.collect()) == ["other", "shop rows"]
+    assert sorted(r.name for r in specs.collect()) == ["other", "shop+rows %"]
     rows = spark.createDataFrame([('{"name":1,"price":{},"tags":[]}',)], "item_json STRING")
-    assert spec_rules.validate_by_spec(rows, specs, "shop rows").first().violations == ["type of name", "missing price.amount"]
+    assert spec_rules.validate_by_spec(rows, specs, "shop+rows %").first().violations == ["type of name", "missing price.amount"]
 
 
 def test_texts_that_are_no_json(spark):
