@@ -52,20 +52,18 @@ STRETCH, BLOCK, TEXTS = 1 << 20, 8 << 20, 30_000
 ROWS_AT_ONCE = 256
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
-_power_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers are kept for so many places; those of a further place are a product of two.
+_NEAR = 1 << 16
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the factor and of its inverse modulo 2**64, at least ``n`` of each."""
-    if not _power_cache or len(_power_cache[0][0]) < n:
-        size = 1 << max(n, 1 << 16).bit_length()
-        both = []
-        for base in (_FACTOR, _INVERSE):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        _power_cache[0] = (both[0], both[1])
-    return _power_cache[0][0][:n], _power_cache[0][1][:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POWERS, _INVERSES = _powers(_FACTOR, _NEAR), _powers(_INVERSE, _NEAR)
 
 
 def _numbers(seed: int) -> np.ndarray:
@@ -76,12 +74,20 @@ class Hashed:
     """Prefix polynomial hashes of a byte array: the hash of any part in constant time."""
 
     def __init__(self, data: np.ndarray, seed: int = 11):
-        power, self.inverse = _powers(len(data) + 1)
+        steps = len(data) // _NEAR + 1
+        far = _powers(pow(_FACTOR, _NEAR, 1 << 64), steps)
+        self.inverses = _powers(pow(_INVERSE, _NEAR, 1 << 64), steps)
+        numbers = _numbers(seed)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_numbers(seed)[data] * power[:-1], out=self.sums[1:])
+        for k in range(steps):
+            own = data[k * _NEAR : (k + 1) * _NEAR]
+            out = self.sums[k * _NEAR + 1 : k * _NEAR + 1 + len(own)]
+            np.cumsum(numbers[own] * _POWERS[: len(own)], out=out)
+            out *= far[k]
+            out += self.sums[k * _NEAR]
 
     def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
+        return (self.sums[end] - self.sums[start]) * self.inverses[start // _NEAR] * _INVERSES[start % _NEAR]
 
 
 def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
@@ -330,7 +336,7 @@ def repeated_anchors(docs: DataFrame, buckets: int, words: bool = False) -> Data
                 ids = zip(*(part.column(c).to_pylist() for c in ("key", "t1", "t2")), counts.tolist(), strict=True)
                 about += list(ids)
                 size += sum(map(len, raw))
-                if size >= BLOCK or len(about) >= TEXTS:
+                if size >= BLOCK // per or len(about) >= TEXTS:
                     yield rows(np.array(about, _TEXT), np.concatenate(keys))
                     about, keys, size, block = [], [], 0, block + 1
         if about:
@@ -435,7 +441,7 @@ def repeated_spans(texts: DataFrame, buckets: int, words: bool = False) -> DataF
                     cut["bytes"] += [data[a:b].tobytes() for a, b in zip(own["first"], own["last"] + LENGTH, strict=True)]
                     size += int((own["last"] + LENGTH - own["first"]).sum())
                 about += [x[:2] for x in ids]
-                if size >= BLOCK or len(about) >= TEXTS:
+                if size >= BLOCK // per or len(about) >= TEXTS:
                     yield rows(about, cut)
                     about, cut, size, block = [], fresh(), 0, block + 1
         if about:
@@ -496,7 +502,7 @@ def with_spans(docs: DataFrame, words: bool = False) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     plain = docs.select(F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
     plain = plain.select("key", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    buckets = buckets_for(docs, 5 if words else 12)
+    buckets = buckets_for(docs, 2 if words else 12)
     marked = stored(repeated_anchors(plain, buckets, words), "marked")
     once = marked.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("marks").alias("marks"))
     # Both joins have a side that grows with the texts, so neither is broadcast, whatever its size today.
@@ -533,18 +539,22 @@ def without_repeats(docs: DataFrame, words: bool = False) -> DataFrame:
                 dtype=object,
             )
 
-    found = with_spans(docs, words)
-    shorter = F.pandas_udf(cut, "string")(F.col("text").cast("string"), F.col("spans"))
-    return found.withColumn("text", shorter).select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    found = with_spans(docs.select(row.alias("row"), "doc_id", F.col("text").cast("string").alias("text")), words)
+    shorter = F.pandas_udf(cut, "string")(F.col("text"), F.col("spans"))
+    return found.select(F.col("row").withField("text", shorter).alias("row")).select("row.*")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``."""
+    """Per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` by the strings of ``LENGTH``
+    bytes alone, and as ``n_word_runs`` and ``n_repeated_words`` the maximal runs of ``WORDS`` words or more that
+    also start elsewhere, of which nothing is removed here."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = _raw(batch)
-            spans = [spans_of(s) for s in batch.column("spans").to_pylist()]
+            both = [spans_of(s) for s in batch.column("spans").to_pylist()]
+            spans, runs = [s[s[:, 0] >= 0] for s in both], [-1 - s[s[:, 0] < 0] for s in both]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
@@ -552,8 +562,11 @@ def digests(docs: DataFrame) -> DataFrame:
                     "n_removed": pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64()),
                     "n_spans": pa.array([len(s) for s in spans], pa.int64()),
                     "kept_sha256": [hashlib.sha256(kept(r, s)).hexdigest() for r, s in zip(raw, spans, strict=True)],
+                    "n_word_runs": pa.array([len(r) for r in runs], pa.int64()),
+                    "n_repeated_words": pa.array([int((r[:, 1] - r[:, 0]).sum()) for r in runs], pa.int64()),
                 }
             )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_spans(plain).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_word_runs long, n_repeated_words long"
+    return with_spans(plain, words=True).mapInArrow(digest, schema)

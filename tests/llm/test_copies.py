@@ -95,8 +95,11 @@ def test_prefix_asked_for_more_matches_is_longer_and_never_misses():
         assert inside == min(len(df), max(0, n - shingle_join.least_common(n) + asked - (n - len(df))))
 
 
-def test_components_of_a_long_chain(spark):
+def test_components_of_a_long_chain(spark, monkeypatch):
     nodes = spark.range(200).select("id")
+    monkeypatch.setattr("pricelens.operators.lookup.HOT_ROWS", 20)
+    star = spark.range(1, 150).selectExpr("id AS a", "199 AS b")
+    assert {r.id: r.label for r in components.components(nodes, star).collect()} == {k: 1 if 0 < k < 150 or k == 199 else k for k in range(200)}
     chain = spark.range(150).selectExpr("id AS a", "id + 1 AS b")
     labels = {r.id: r.label for r in components.components(nodes, chain).collect()}
     assert all(labels[k] == (0 if k <= 150 else k) for k in range(200))
@@ -117,6 +120,38 @@ def removed_by_hand(rows, length=400):
     return Counter(out)
 
 
+def word_runs_by_hand(rows, least=50):
+    words = [words_of(t) for _, t in rows]
+    seen = Counter(tuple(w[k : k + least]) for w in words for k in range(len(w) - least + 1))
+    out = []
+    for (doc_id, _), w in zip(rows, words, strict=True):
+        mark = np.zeros(len(w) + 1, bool)
+        for k in range(len(w) - least + 1):
+            if seen[tuple(w[k : k + least])] > 1:
+                mark[k : k + least] = True
+        out.append((doc_id, int((mark[1:] & ~mark[:-1]).sum() + mark[0]), int(mark.sum())))
+    return Counter(out)
+
+
+def test_repeated_runs_of_words_in_all_windows(spark, sf_dir, texts, odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 9000)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 60_000)
+    rows = [(d, t) for d, t in odd_rows if len(t or "") < 30_000]
+    small = odd.where("text IS NULL OR length(text) < 30000")
+    for docs, rows in ((small, rows), (spark.read.parquet(f"{sf_dir}/documents.parquet"), list(texts.items()))):
+        got = suffix_dedup.digests(docs).select("doc_id", "n_word_runs", "n_repeated_words").collect()
+        want = word_runs_by_hand(rows)
+        assert Counter(tuple(r) for r in got) == want
+        assert any(runs for _, runs, _ in want) and any(not runs for _, runs, _ in want)
+
+
+def test_columns_of_the_caller_stay_as_they_are(spark):
+    rows = [(1, "a b " * 300, "mine", "r", 5), (2, "a b " * 300, "too", None, 6), (3, None, None, "x", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, row string, t1 long")
+    cut = sorted(map(tuple, suffix_dedup.without_repeats(docs, words=True).collect()))
+    assert cut == [(1, "", "mine", "r", 5), (2, "", "too", None, 6), (3, None, None, "x", 7)]
+
+
 def test_repeated_strings_of_all_windows(spark, sf_dir, texts, odd, none, odd_rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STRETCH", 9000)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 30_000)
