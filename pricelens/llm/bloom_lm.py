@@ -10,13 +10,15 @@ too high only with the filter's error rate for each step. The probability of a w
 with the middle of the level's counts for ``c``. Every text is followed by one end, which is a token
 and also stands before the first word.
 
-How the work is spread. Each block of documents sends the sorted hashes of its distinct words and pairs to
-buckets, with their counts in its training texts, so a word costs a bucket one entry for each block,
-however frequent. A bucket sums the counts, enters its grams in its own segment of the filter, probes the
-segment for what the blocks asked and sends the levels back as arrays, with the exact counts of words
-behind the base score. The number of buckets follows the input, so segments stay small, the filter grows
-with the grams and no level is left out; nothing is broadcast. A block's own tokens travel with it, by way of
-one of the buckets, as numbers of its distinct words.
+How the work is spread. The filter is cut into segments, one for each bucket of the grams' hashes, and their
+number follows the input, so a segment stays small, the filter grows with the grams and no level is left out.
+Learning sends the distinct grams of each block of texts to their buckets, with their counts, so a word costs a
+bucket one entry for each block, however frequent; a bucket sums the counts, enters its grams in its segment and
+stores it. Beside it stand the words' exact counts, which the base score is defined by. Scoring reads
+nothing else: blocks of any texts send the hashes of their distinct words and pairs to the buckets, where each
+segment is probed for them, and the levels go back to the block. A pair's count never gets there, and no
+task is sent more of the filter than a segment. A block's own tokens travel with it, by way of one of the
+buckets, as numbers of its distinct words.
 """
 
 from __future__ import annotations
@@ -36,10 +38,10 @@ from pyspark.sql import functions as F
 from pricelens.llm.tables import documents, fold, buckets_for, stored
 from pricelens.llm.words import mixed, word_hashes
 
-#: Base of the levels, bits and probes for each entry, size of a filter that is asked for whole, weight of the pairs.
-BASE, BITS, PROBES, MAX_BYTES, SHARE = 1.5, 10, 7, 64 << 20, 0.1
-#: The tokens of a block.
-BLOCK = 1 << 19
+#: Base of the levels, bits and probes for each entry, weight of the pairs.
+BASE, BITS, PROBES, SHARE = 1.5, 10, 7, 0.1
+#: The tokens of a block, and grams probed at a time.
+BLOCK, GRAMS_AT_ONCE = 1 << 20, 1 << 19
 TEXTS_AT_ONCE = 256
 END = np.uint64(0xE0F0_0D0C_0B0A_0908)
 _PAIR, _LEVEL = np.uint64(0xD6E8FEB86659FD93), 0xA0761D6478BD642F
@@ -52,10 +54,12 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, offsets[1:], END), offsets + np.arange(len(offsets))
 
 
-def pairs_of(tokens: np.ndarray) -> np.ndarray:
-    """A 48-bit hash of each token with the one before it; an end comes before the first one."""
+def pairs_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """Each token with the one before it: the bucket, and 32 bits of hash below it. An end comes before the first token.
+    In a bucket few pairs share the 32 bits beside those the filter takes for each other anyway."""
     before = np.concatenate([[END], tokens[:-1]])
-    return mixed(before * _PAIR ^ tokens) >> np.uint64(16)
+    hashed = mixed(before * _PAIR ^ tokens)
+    return (hashed >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | hashed & np.uint64(0xFFFFFFFF)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -86,30 +90,23 @@ def segment(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-@dataclass
-class Filter:
-    """Segments one after another; ``starts`` and ``sizes`` are in bits, one for each bucket."""
+def probed(bits: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
+    """Levels of the keys in a segment: probe level after level until one is missing."""
+    out = np.zeros(len(keys), np.int64)
+    at = np.arange(len(keys) if size else 0)
+    for n in range(1, MAX_LEVEL + 1):
+        for probe in range(PROBES):
+            place = _places(keys[at], n, probe, np.uint64(size)).astype(np.int64)
+            at = at[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+        if not len(at):
+            break
+        out[at] = n
+    return out
 
-    bits: np.ndarray
-    starts: np.ndarray
-    sizes: np.ndarray
-    tokens: int
-    distinct: int
 
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """Probe level after level until one is missing."""
-        out = np.zeros(len(keys), np.int64)
-        bucket = (keys % np.uint64(len(self.sizes))).astype(np.int64)
-        at = np.flatnonzero(self.sizes[bucket] > 0)
-        for n in range(1, MAX_LEVEL + 1):
-            for probe in range(PROBES):
-                b = bucket[at]
-                place = _places(keys[at], n, probe, self.sizes[b]).astype(np.int64) + self.starts[b]
-                at = at[(self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
-            if not len(at):
-                break
-            out[at] = n
-        return out
+def _gram(pairs: np.ndarray) -> np.ndarray:
+    """What a pair is entered as, apart from the words."""
+    return mixed(pairs ^ _PAIR)
 
 
 def log10_probabilities(single: np.ndarray, double: np.ndarray, at: np.ndarray, before: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
@@ -120,16 +117,16 @@ def log10_probabilities(single: np.ndarray, double: np.ndarray, at: np.ndarray,
     return np.log10(SHARE * after + (1 - SHARE) * alone)
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted 48-bit numbers: 32 low bits each, then the steps of the high bits."""
-    high = (keys >> np.uint64(32)).astype(np.int64)
-    return keys.astype("<u4").tobytes() + np.diff(high, prepend=0).astype("<u2").tobytes()
+def _packed(pairs: np.ndarray) -> bytes:
+    """Sorted pairs of one bucket, as steps: 16 low bits each, then the high bits, which are mostly small."""
+    steps = np.diff((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), prepend=0)
+    return len(steps).to_bytes(4, "little") + (steps & 0xFFFF).astype("<u2").tobytes() + _shrunk((steps >> 16).astype("<u2"))
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    n = len(raw) // 6
-    low = np.frombuffer(raw, "<u4", n).astype(np.uint64)
-    return low | np.cumsum(np.frombuffer(raw, "<u2", n, 4 * n), dtype=np.uint64) << np.uint64(32)
+def _unpacked(raw: bytes, bucket: int) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    low, high = np.frombuffer(raw, "<u2", n, 4), _grown(raw[4 + 2 * n :], "<u2")
+    return np.cumsum(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(16), dtype=np.uint64) | np.uint64(bucket << 32)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,120 +146,21 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
-    """Documents together until they have a block's tokens: ids, training flags, tokens, offsets."""
-    ids, flags, tokens, sizes = [], [], [], []
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Documents together until they have a block's tokens: ids, tokens, offsets."""
+    ids, tokens, sizes = [], [], []
     for batch in batches:
         for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
             part = batch.slice(start, TEXTS_AT_ONCE)
             found, offsets = tokens_of([t or "" for t in part.column("text").to_pylist()])
             ids += part.column("doc_id").to_pylist()
-            flags += part.column("training").to_pylist()
             tokens.append(found)
             sizes.append(np.diff(offsets))
             if sum(map(len, tokens)) >= BLOCK:
-                yield ids, flags, np.concatenate(tokens), np.concatenate([[0], *sizes]).cumsum()
-                ids, flags, tokens, sizes = [], [], [], []
+                yield ids, np.concatenate(tokens), np.concatenate([[0], *sizes]).cumsum()
+                ids, tokens, sizes = [], [], []
     if ids:
-        yield ids, flags, np.concatenate(tokens), np.concatenate([[0], *sizes]).cumsum()
-
-
-def learn(training: DataFrame, buckets: int, max_bytes: int = MAX_BYTES) -> Filter:
-    """Count the grams of all texts of ``training`` (``doc_id``, ``text``, ``training``) and enter them in one filter of at
-    most ``max_bytes``, without the rarest levels if they do not fit. ``scored`` has no such bound and does not use it."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, tokens, _ in _blocks(batches):
-            for pair, grams in enumerate((tokens, pairs_of(tokens))):
-                keys, counts = np.unique(grams, return_counts=True)
-                order, ends = _by_bucket(keys, buckets)
-                keys, counts = keys[order], counts[order].astype("<u4")
-                parts = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "bucket": pa.array(range(buckets), pa.int32()),
-                        "pair": pa.array([pair] * buckets, pa.int32()),
-                        "keys": pa.array([_packed(keys[p]) if pair else keys[p].tobytes() for p in parts], pa.binary()),
-                        "counts": pa.array([counts[p].tobytes() for p in parts], pa.binary()),
-                    }
-                )
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"bucket": [rows["bucket"].iloc[0]]}
-        for pair, name in enumerate(("word", "pair")):
-            own = rows[rows["pair"] == pair]
-            keys = [_unpacked(k) if pair else np.frombuffer(k, np.uint64) for k in own["keys"]]
-            keys, counts = _summed(keys, [np.frombuffer(c, "<u4").astype(np.int64) for c in own["counts"]])
-            if not pair:
-                out |= {"tokens": [int(counts.sum())], "distinct": [len(keys)]}
-            found = levels(counts) if len(counts) else counts
-            out |= {f"{name}_keys": [keys.tobytes()], f"{name}_levels": [found.astype(np.uint8).tobytes()]}
-            out[f"{name}_sizes"] = [np.bincount(found, weights=found, minlength=MAX_LEVEL).astype(np.int64).tolist()]
-        return pd.DataFrame(out)
-
-    schema = (
-        "bucket int, tokens long, distinct long, word_keys binary, word_levels binary, word_sizes array<long>, "
-        "pair_keys binary, pair_levels binary, pair_sizes array<long>"
-    )
-    sent = training.mapInArrow(count, "bucket int, pair int, keys binary, counts binary")
-    grams = stored(sent.groupBy("bucket").applyInPandas(merge, schema), "grams")
-
-    total = grams.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
-    sizes = {name: np.zeros(MAX_LEVEL, np.int64) for name in ("word", "pair")}
-    for name in sizes:
-        by_level = grams.select(F.posexplode(f"{name}_sizes").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n"))
-        for row in by_level.collect():  # one row for each level
-            sizes[name][row.level] = row.n
-    least = {"word": 1, "pair": 1}
-    while sum(int(sizes[n][least[n] :].sum()) for n in least) * BITS > max_bytes * 8 and least["word"] < MAX_LEVEL:
-        least["pair" if least["pair"] < MAX_LEVEL else "word"] += 1
-
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys = [np.frombuffer(row[f"{n}_keys"], np.uint64) for n in least]
-                own = [np.frombuffer(row[f"{n}_levels"], np.uint8).astype(np.int64) for n in least]
-                keep = [level >= least[n] for n, level in zip(least, own, strict=True)]
-                keys = np.concatenate([k[m] for k, m in zip(keys, keep, strict=True)])
-                level = np.concatenate([v[m] for v, m in zip(own, keep, strict=True)])
-                bits = segment(keys, level) if len(keys) else np.empty(0, np.uint8)
-                yield pa.RecordBatch.from_pydict(
-                    {"bucket": pa.array([row["bucket"]], pa.int32()), "size": pa.array([max(64, int(level.sum()) * BITS) if len(keys) else 0], pa.int64()), "bits": [bits.tobytes()]}
-                )
-
-    built = grams.select("bucket", *(f"{n}_{x}" for n in least for x in ("keys", "levels"))).mapInArrow(enter, "bucket int, size long, bits binary").toPandas()
-    built = built.set_index("bucket").reindex(range(buckets))
-    bits = [b if isinstance(b, (bytes, bytearray)) else b"" for b in built["bits"]]
-    starts = np.cumsum([0] + [8 * len(b) for b in bits], dtype=np.int64)[:-1]
-    return Filter(
-        np.frombuffer(b"".join(bits) or b"\0", np.uint8), starts, built["size"].fillna(0).to_numpy().astype(np.uint64), total.tokens or 0, total.distinct or 0
-    )
-
-
-_DOCS = "docs binary, low binary, high binary"
-_BLOCK = f"block long, bucket int, keys binary, counts binary, pairs binary, pair_counts binary, {_DOCS}"
-_ABOUT = np.dtype([("id", "<i8"), ("known", "?"), ("tokens", "<i8")])
-
-
-def _pairs_by_bucket(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct pairs by bucket, where each bucket begins, and the place of each token's pair among them."""
-    pairs, at = np.unique(pairs_of(tokens), return_inverse=True)
-    order, ends = _by_bucket(pairs, buckets)
-    rank = np.empty(len(pairs), np.int64)
-    rank[order] = np.arange(len(pairs))
-    return pairs[order], ends, rank[at]
-
-
-def _levels_read(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Levels of a bucket's words and pairs as its segment of the filter gives them back. Counts may be 0."""
-    known = [counts > 0, pair_counts > 0]
-    entered = np.concatenate([keys[known[0]], pairs[known[1]]])
-    if not len(entered):
-        return np.zeros(len(keys), np.uint8), np.zeros(len(pairs), np.uint8)
-    level = levels(np.concatenate([counts[known[0]], pair_counts[known[1]]]))
-    own = Filter(segment(entered, level), np.array([0]), np.array([max(64, int(level.sum()) * BITS)], np.uint64), 0, 0)
-    read = [np.concatenate([own.level(part[k : k + BLOCK]) for k in range(0, max(len(part), 1), BLOCK)]) for part in (keys, pairs)]
-    return read[0].astype(np.uint8), read[1].astype(np.uint8)
+        yield ids, np.concatenate(tokens), np.concatenate([[0], *sizes]).cumsum()
 
 
 def _shrunk(a: np.ndarray) -> bytes:
@@ -274,80 +172,117 @@ def _grown(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw), kind)
 
 
-def _totals(training: DataFrame, buckets: int) -> tuple[int, int]:
-    """Tokens and distinct words of all texts of ``training``."""
+@dataclass
+class Model:
+    """The stored segments (``bucket``, ``size`` in bits, ``bits``, and the ``words`` with their ``counts``), how many there
+    may be, and the tokens and distinct words learned from."""
+
+    segments: DataFrame
+    buckets: int
+    tokens: int
+    distinct: int
+
+
+def _learned_words(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> tuple[bytes, int]:
+    """A bucket's segment and its size in bits."""
+    level = levels(np.concatenate([counts, pair_counts]))
+    return segment(np.concatenate([keys, _gram(pairs)]), level).tobytes(), max(64, int(level.sum()) * BITS)
+
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(keys: np.ndarray, tokens: int) -> pa.RecordBatch:
+def learned(training: DataFrame, buckets: int) -> Model:
+    """The model of all texts of ``training`` (``doc_id``, ``text``), stored. Without a text nothing is known."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, tokens, _ in _blocks(batches):
+            keys, counts = np.unique(tokens, return_counts=True)
             order, ends = _by_bucket(keys, buckets)
-            parts = [keys[order[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(range(buckets), pa.int32()), "keys": pa.array(parts, pa.binary()), "tokens": pa.array([tokens, *[0] * (buckets - 1)], pa.int64())})
+            keys, counts = keys[order], counts[order].astype("<u4")
+            pairs, pair_counts = np.unique(pairs_of(tokens, buckets), return_counts=True)
+            pair_ends = np.searchsorted(pairs >> np.uint64(32), np.arange(buckets + 1))
+            words, both = ([slice(x, y) for x, y in zip(e[:-1], e[1:], strict=True)] for e in (ends, pair_ends))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array(range(buckets), pa.int32()),
+                    "keys": pa.array([keys[p].tobytes() for p in words], pa.binary()),
+                    "counts": pa.array([_shrunk(counts[p]) for p in words], pa.binary()),
+                    "pairs": pa.array([_packed(pairs[p]) for p in both], pa.binary()),
+                    "pair_counts": pa.array([_shrunk(pair_counts[p].astype("<u4")) for p in both], pa.binary()),
+                }
+            )
+
+    def enter(rows: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(rows["bucket"].iloc[0])
+        grown = lambda name: [_grown(c, "<u4").astype(np.int64) for c in rows[name]]
+        keys, counts = _summed([np.frombuffer(k, np.uint64) for k in rows["keys"]], grown("counts"))
+        bits, size = _learned_words(keys, counts, *_summed([_unpacked(p, bucket) for p in rows["pairs"]], grown("pair_counts")))
+        return pd.DataFrame(
+            {"bucket": [bucket], "size": [size], "bits": [bits], "words": [keys.tobytes()], "counts": [_shrunk(counts)], "tokens": [int(counts.sum())], "distinct": [len(keys)]}
+        )
 
-        keys, n = np.empty(0, np.uint64), 0
-        for _, _, tokens, _ in _blocks(batches):
-            keys, n = np.union1d(keys, tokens), n + len(tokens)
-            if len(keys) >= BLOCK:
-                yield rows(keys, n)
-                keys, n = np.empty(0, np.uint64), 0
-        if n:
-            yield rows(keys, n)
+    sent = training.mapInArrow(count, "bucket int, keys binary, counts binary, pairs binary, pair_counts binary")
+    schema = "bucket int, size long, bits binary, words binary, counts binary, tokens long, distinct long"
+    segments = stored(sent.groupBy("bucket").applyInPandas(enter, schema), "segments")
+    total = segments.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+    return Model(segments.drop("tokens", "distinct"), buckets, total.tokens or 0, total.distinct or 0)
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"tokens": [int(rows["tokens"].sum())], "distinct": [len(np.unique(np.frombuffer(b"".join(rows["keys"]), np.uint64)))]})
 
-    sent = training.mapInArrow(send, "bucket int, keys binary, tokens long")
-    total = sent.groupBy("bucket").applyInPandas(merge, "tokens long, distinct long").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
-    return total.tokens or 0, total.distinct or 0
+_DOCS = "docs binary, low binary, high binary"
+_BLOCK = f"block long, bucket int, keys binary, pairs binary, {_DOCS}"
+_ABOUT = np.dtype([("id", "<i8"), ("known", "?"), ("tokens", "<i8")])
 
 
-def scored(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
-    """Per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
+def _asked(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct numbers of all parts, and where each part's are among them."""
+    every, at = np.unique(np.concatenate(parts), return_inverse=True)
+    return every, np.split(at, np.cumsum([len(p) for p in parts])[:-1])
 
-    A null or empty text is one end. Rows that repeat a ``doc_id`` are documents of their own. Without a
-    training document nothing is known and the scores are those of counts of 0. No row for an empty table.
-    """
-    held_out = fold(F.col("doc_id"), folds) == out
-    plain = documents(docs).withColumn("training", ~held_out)
-    buckets = buckets_for(docs, 12)
-    n_train, n_distinct = _totals(plain.where("training"), buckets)
+
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
+    The texts need not be those that the model has learned from. Cases as in ``scored``."""
+    buckets, n_train, n_distinct = model.buckets, model.tokens, model.distinct
 
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
         names = [x.split()[0] for x in _BLOCK.split(", ")]
-        for ids, flags, tokens, offsets in _blocks(batches):
-            sizes = np.diff(offsets)
+        for ids, tokens, offsets in _blocks(batches):
             keys, at = np.unique(tokens, return_inverse=True)
             order, ends = _by_bucket(keys, buckets)
             rank = np.empty(len(keys), np.int64)
             rank[order] = np.arange(len(keys))
             at, keys = rank[at], keys[order]
-            training = np.repeat(np.array(flags, bool), sizes)
-            taught = np.bincount(at[training], minlength=len(keys)).astype("<u4")
-            pairs, pair_ends, pair_at = _pairs_by_bucket(tokens, buckets)
-            pair_taught = np.bincount(pair_at[training], minlength=len(pairs)).astype("<u4")
+            pairs = np.unique(pairs_of(tokens, buckets))
+            pair_ends = np.searchsorted(pairs >> np.uint64(32), np.arange(buckets + 1))
             about = np.zeros(len(ids), _ABOUT)
             about["id"], about["known"] = [i or 0 for i in ids], [i is not None for i in ids]
-            about["tokens"] = sizes
+            about["tokens"] = np.diff(offsets)
             own = (about.tobytes(), _shrunk(at.astype("<u2")), _shrunk((at >> 16).astype("<u2")))
             rows, home = [], int(mixed(np.array([block], np.uint64))[0] % np.uint64(buckets))
             for b in range(buckets):
                 part, both = slice(ends[b], ends[b + 1]), slice(pair_ends[b], pair_ends[b + 1])
                 if b == home or part.start < part.stop or both.start < both.stop:
-                    sent = (keys[part].tobytes(), taught[part].tobytes(), _packed(pairs[both]), _shrunk(pair_taught[both]))
-                    rows.append((block, b, *sent, *(own if b == home else [None] * 3)))
+                    rows.append((block, b, keys[part].tobytes(), _packed(pairs[both]), *(own if b == home else [None] * 3)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
             block += 1
 
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        asked, asked_pairs = [np.frombuffer(k, np.uint64) for k in rows["keys"]], [_unpacked(k) for k in rows["pairs"]]
-        keys, counts = _summed(asked, [np.frombuffer(c, "<u4").astype(np.int64) for c in rows["counts"]])
-        pairs, pair_counts = _summed(asked_pairs, [_grown(c, "<u4").astype(np.int64) for c in rows["pair_counts"]])
-        word_level, pair_level = _levels_read(keys, counts, pairs, pair_counts)
-        where = [np.searchsorted(keys, a) for a in asked]
+    def answer(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({name.split()[0]: [] for name in _ANSWER.split(", ")})
+        bits, size = (np.frombuffer(own["bits"].iloc[0], np.uint8), int(own["size"].iloc[0])) if len(own) else (np.empty(0, np.uint8), 0)
+        keys, where = _asked([np.frombuffer(k, np.uint64) for k in rows["keys"]])
+        pairs, pair_where = _asked([_unpacked(p, int(b)) for p, b in zip(rows["pairs"], rows["bucket"], strict=True)])
+        read = lambda grams: np.concatenate([probed(bits, size, grams[k : k + GRAMS_AT_ONCE]) for k in range(0, max(len(grams), 1), GRAMS_AT_ONCE)]).astype(np.uint8)
+        word_level, pair_level = read(keys), read(_gram(pairs))
+        counts = np.zeros(len(keys), np.int64)
+        if len(own):
+            words, known = np.frombuffer(own["words"].iloc[0], np.uint64), _grown(own["counts"].iloc[0], np.int64)
+            at = np.minimum(np.searchsorted(words, keys), max(len(words) - 1, 0))
+            if len(words):
+                counts = np.where(words[at] == keys, known[at], 0)
         out = pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "keys": rows["keys"], "counts": [_shrunk(counts[w]) for w in where]})
         out["levels"] = [_shrunk(word_level[w]) for w in where]
-        out["pair_levels"] = [_shrunk(pair_level[np.searchsorted(pairs, a)]) for a in asked_pairs]
+        out["pair_levels"] = [_shrunk(pair_level[w]) for w in pair_where]
         return out.join(rows[["docs", "low", "high"]])
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
@@ -358,7 +293,7 @@ def scored(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
         home = rows[rows["docs"].notna()].iloc[0]
         about = np.frombuffer(home["docs"], _ABOUT)
         at = _grown(home["low"], "<u2").astype(np.int64) | _grown(home["high"], "<u2").astype(np.int64) << 16
-        _, _, pair_at = _pairs_by_bucket(words[at], buckets)
+        _, pair_at = np.unique(pairs_of(words[at], buckets), return_inverse=True)
         # The end that closes the block also stands before its first token.
         before, first = np.concatenate([at[-1:], at[:-1]]), np.cumsum(about["tokens"]) - about["tokens"]
         score = log10_probabilities(single, double[pair_at], at, before, n_train, n_distinct)
@@ -373,9 +308,22 @@ def scored(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
             }
         )
 
-    asked = plain.mapInArrow(block_rows, _BLOCK)
-    back = asked.groupBy("bucket").applyInPandas(answer, f"block long, bucket int, keys binary, counts binary, levels binary, pair_levels binary, {_DOCS}")
-    done = back.groupBy("block").applyInPandas(
+    asked = documents(docs).mapInArrow(block_rows, _BLOCK).groupBy("bucket")
+    back = asked.cogroup(model.segments.groupBy("bucket")).applyInPandas(answer, _ANSWER)
+    return back.groupBy("block").applyInPandas(
         finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    return done.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+_ANSWER = f"block long, bucket int, keys binary, counts binary, levels binary, pair_levels binary, {_DOCS}"
+
+
+def scored(docs: DataFrame, folds: int = 7, out: int = 2) -> DataFrame:
+    """Per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
+
+    A null or empty text is one end. Rows that repeat a ``doc_id`` are documents of their own. Without a
+    training document nothing is known and the scores are those of counts of 0. No row for an empty table.
+    """
+    held_out = fold(F.col("doc_id"), folds) == out
+    model = learned(documents(docs).where(~held_out), buckets_for(docs, 12))
+    return scores(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from llm_fixtures import none, odd, odd_rows, texts  # noqa: F401
 from llm_words import words_of
@@ -81,19 +82,6 @@ def test_non_negative_risk_separates_and_finds_the_prior():
     assert (model.score(web[:3500]) >= 0.5).mean() > 0.97 and (model.score(web[3500:]) < 0.5).mean() > 0.97
 
 
-def test_filter_never_reads_a_level_too_low():
-    rng = np.random.default_rng(3)
-    keys = rng.integers(0, 1 << 48, 5000, dtype=np.uint64)
-    counts = rng.geometric(0.05, 5000)
-    level = bloom_lm.levels(counts)
-    bits = bloom_lm.segment(keys, level)
-    model = bloom_lm.Filter(bits, np.array([0]), np.array([int(level.sum()) * bloom_lm.BITS], np.uint64), 1, 1)
-    read = model.level(keys)
-    assert (read >= level).all() and (read > level).mean() < 0.03
-    assert (model.level(rng.integers(0, 1 << 48, 5000, dtype=np.uint64)) > 0).mean() < 0.03
-    assert (np.abs(bloom_lm.count_at(level) - counts) <= counts * 0.25 + 0.5).all()
-
-
 def lm_by_hand(rows):
     tokens = {k: [*words_of(t), None] for k, (d, t) in enumerate(rows)}
     counts = Counter(w for k, (d, _) in enumerate(rows) if not held(d, 7, 2) for w in tokens[k])
@@ -132,10 +120,9 @@ def score_by_hand(rows):
     return {d: sum(math.log10(chance(u, w)) for u, w in zip(own, own[1:], strict=False)) for (d, _), own in zip(rows, tokens, strict=True)}
 
 
-def test_no_level_is_left_out_however_small_a_filter_may_be(spark, sf_dir, texts, monkeypatch):
-    for function in (bloom_lm.scored, bloom_lm.learn):
-        monkeypatch.setattr(function, "__defaults__", tuple(20_000 if x == bloom_lm.MAX_BYTES else x for x in function.__defaults__))
+def test_scores_are_those_of_the_stored_filter(spark, sf_dir, texts, monkeypatch):
     monkeypatch.setattr(bloom_lm, "BLOCK", 5000)
+    monkeypatch.setattr(bloom_lm, "GRAMS_AT_ONCE", 300)
     want = score_by_hand(list(texts.items()))
     got = {r.doc_id: r.score for r in queries.op7_bloom_lm(spark, sf_dir).collect()}
     # The filter reads about one gram of a hundred a level too high; where that gram was never seen, as in held-out texts, it weighs most.
@@ -143,16 +130,36 @@ def test_no_level_is_left_out_however_small_a_filter_may_be(spark, sf_dir, texts
     assert abs(sum(got.values()) - sum(want.values())) < 0.01 * abs(sum(want.values()))
 
 
-def test_a_pair_seen_once_is_known():
-    keys, pairs = np.arange(1, 4, dtype=np.uint64), np.arange(10, 13, dtype=np.uint64)
-    words, read = bloom_lm._levels_read(keys, np.array([0, 1, 7]), pairs, np.array([0, 1, 2]))
-    assert (words >= [0, 1, 5]).all() and (read >= [0, 1, 2]).all() and words[0] <= 1 and read[0] <= 1
+def test_other_texts_are_scored_and_an_emptied_filter_knows_no_pair(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = bloom_lm.learned(docs, 5)
+    known = next(t for t in texts.values() if t and 50 < len(words_of(t)) < 200)
+    shuffled = " ".join(sorted(known.split()))
+    others = spark.createDataFrame([(1, known), (2, shuffled), (3, "zzqx " * 40), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in bloom_lm.scores(others, model).collect()}
+    assert got[1].score > got[2].score > got[1].base_score  # the same words, but other pairs
+    assert (got[3].n_known, got[4].n_tokens, got[1].n_known) == (1, 1, got[1].n_tokens)
+    emptied = model.segments.withColumn("bits", F.unhex(F.repeat(F.lit("00"), F.octet_length("bits"))))
+    empty = {r.doc_id: r for r in bloom_lm.scores(others, bloom_lm.Model(emptied, 5, model.tokens, model.distinct)).collect()}
+    assert empty[1].base_score == got[1].base_score and empty[1].score < got[1].score - 10
+    assert abs(empty[1].score - empty[2].score) < 1e-6
 
 
-def test_a_filter_that_is_too_small_leaves_out_the_rarest_levels(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "true AS training")
-    small = bloom_lm.learn(docs, 4, max_bytes=20_000)
-    assert len(small.bits) <= 20_000 + 4 * 8 and small.level(np.array([bloom_lm.END]))[0] > 0
+def test_pairs_are_packed_and_levels_never_read_too_low():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 5000):
+        own = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint64)) | np.uint64(9 << 32)
+        assert (bloom_lm._unpacked(bloom_lm._packed(own), 9) == own).all()
+    keys, counts = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.geometric(0.05, 5000)
+    pairs, pair_counts = np.arange(500, dtype=np.uint64), np.ones(500, np.int64)
+    raw, size = bloom_lm._learned_words(keys, counts, pairs, pair_counts)
+    bits = np.frombuffer(raw, np.uint8)
+    level = bloom_lm.probed(bits, size, keys)
+    assert (level >= bloom_lm.levels(counts)).all() and (level > bloom_lm.levels(counts)).mean() < 0.03
+    assert (np.abs(bloom_lm.count_at(bloom_lm.levels(counts)) - counts) <= counts * 0.25 + 0.5).all()
+    assert (bloom_lm.probed(bits, size, bloom_lm._gram(pairs)) >= 1).all()
+    assert (bloom_lm.probed(bits, size, rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) > 0).mean() < 0.03
+    assert (bloom_lm.probed(np.empty(0, np.uint8), 0, keys) == 0).all()
 
 
 def test_columns_that_clash_with_inner_names(spark):
