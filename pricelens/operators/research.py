@@ -29,7 +29,12 @@ _CLAIM = "STRUCT<path: STRING, confidence: STRING, citations: ARRAY<STRUCT<url:
 _TEXTS = "array<string>"
 
 
-def envelope_rows(content: Column, kinds: Column | None = None) -> Column:
+def members_of(content: Column) -> Column:
+    """Texts of an object's members, NULL for anything else. Better a column of its own, as it is used several times."""
+    return F.when(content.startswith("{"), F.map_values(F.from_json(content, "MAP<STRING, STRING>")))
+
+
+def envelope_rows(content: Column, kinds: Column | None = None, members: Column | None = None) -> Column:
     """Rows of an envelope's content, as an array of JSON texts.
 
     A list is the rows. An object gives its first list-valued member in document order, or is itself
@@ -37,7 +42,7 @@ def envelope_rows(content: Column, kinds: Column | None = None) -> Column:
     looks like a list or an object: a string is neither. Where it is NULL the texts are taken at sight.
     """
     kinds = F.lit(None).cast("variant") if kinds is None else kinds
-    members = F.map_values(F.from_json(content, "MAP<STRING, STRING>"))
+    members = members_of(content) if members is None else members
     member_kinds = F.map_values(F.try_variant_get(kinds, "$", "map<string, variant>"))
     names = F.json_object_keys(content)
     kind_names = F.map_keys(F.try_variant_get(kinds, "$", "map<string, variant>"))
@@ -96,12 +101,12 @@ def run_result(runs: DataFrame) -> DataFrame:
         output["content"].alias("content"),
         "kinds",
         F.coalesce(objects, F.array().cast(_TEXTS)).alias("claim_texts"),
-    )
+    ).withColumn("members", members_of(F.col("content")))
     claims_list = F.concat(F.lit("["), F.array_join("claim_texts", ","), F.lit("]"))
     opened = located.select(
         *kept,
         "confidence",
-        F.coalesce(envelope_rows(F.col("content"), F.col("kinds")), F.array().cast(_TEXTS)).alias("items"),
+        F.coalesce(envelope_rows(F.col("content"), F.col("kinds"), F.col("members")), F.array().cast(_TEXTS)).alias("items"),
         F.from_json(claims_list, f"ARRAY<{_CLAIM}>").alias("claims"),
         "claim_texts",
     )
