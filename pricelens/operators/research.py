@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pricelens.functions.claims import claim_row, high_share
+from pricelens.functions.claims import ROW_PATH, claim_row, high_share
 from pricelens.functions.json_values import (
     NUMERIC_KINDS,
+    bind,
     field,
     is_empty,
     kind,
@@ -24,8 +26,10 @@ from pricelens.functions.json_values import (
 from pricelens.functions.urls import is_blocked
 from pricelens.schemas import EARNINGS_DDL, REVIEWS_DDL
 
-_ENVELOPE = "output STRUCT<content: STRING, trust: STRUCT<confidence: STRING, claims: ARRAY<STRING>>>"
+_CONTENT = "output STRUCT<content: STRING, trust: STRUCT<confidence: STRING>>"
+_CLAIM_TEXTS = "output STRUCT<trust: STRUCT<claims: ARRAY<STRING>>>"
 _CLAIM = "STRUCT<path: STRING, confidence: STRING, citations: ARRAY<STRUCT<url: STRING>>>"
+_CLAIMS = f"output STRUCT<trust: STRUCT<claims: ARRAY<{_CLAIM}>>>"
 _TEXTS = "array<string>"
 
 
@@ -84,123 +88,109 @@ def run_result(runs: DataFrame) -> DataFrame:
 
     Claims find their row without comparing all claims with all rows: the claims are sorted by row
     index together with one marker per row, so each row's claims are the slice behind its marker.
-    All of it happens inside the envelope's own row; nothing is shuffled.
+    All of it happens inside the envelope's own row; nothing is shuffled. The rows and what the claims
+    say of them are columns of their own until the rows are opened, and the claims and their texts are
+    parses of their own, so that whoever reads the rows alone pays for neither. Claims among which some
+    are no objects do not read as a list of structs; those that are objects are then read from their texts.
     """
     kept = [name for name in runs.columns if name != "envelope"]
-    output = F.col("output")
+    output, completed = F.col("output"), F.col("status").eqNullSafe("completed")
     variant = F.try_variant_get(F.try_parse_json("envelope"), "$.output.content", "variant")
     parsed = runs.select(
         *kept,
-        F.from_json("envelope", _ENVELOPE)["output"].alias("output"),
+        F.from_json("envelope", _CONTENT)["output"].alias("output"),
+        F.from_json("envelope", _CLAIM_TEXTS)["output"]["trust"]["claims"].alias("all_texts"),
+        F.when(completed, F.from_json("envelope", _CLAIMS)["output"]["trust"]["claims"]).alias("structs"),
         F.when(may_mislead(F.col("envelope")), variant).alias("kinds"),
     )
-    objects = F.filter(output["trust"]["claims"], lambda claim: claim.startswith("{"))
     located = parsed.select(
         *kept,
         output["trust"]["confidence"].alias("confidence"),
         output["content"].alias("content"),
         "kinds",
-        F.coalesce(objects, F.array().cast(_TEXTS)).alias("claim_texts"),
+        F.coalesce(F.filter("all_texts", lambda claim: claim.startswith("{")), F.array().cast(_TEXTS)).alias("claim_texts"),
+        F.filter("structs", lambda claim: claim.isNotNull()).alias("structs"),
     ).withColumn("members", members_of(F.col("content")))
+    items = F.coalesce(envelope_rows(F.col("content"), F.col("kinds"), F.col("members")), F.array().cast(_TEXTS))
     claims_list = F.concat(F.lit("["), F.array_join("claim_texts", ","), F.lit("]"))
     opened = located.select(
         *kept,
         "confidence",
-        F.coalesce(envelope_rows(F.col("content"), F.col("kinds"), F.col("members")), F.array().cast(_TEXTS)).alias("items"),
-        F.from_json(claims_list, f"ARRAY<{_CLAIM}>").alias("claims"),
+        F.when(completed, items).otherwise(F.array(F.lit(None).cast("string"))).alias("items"),
+        F.when(completed, F.coalesce("structs", F.from_json(claims_list, f"ARRAY<{_CLAIM}>"))).alias("claims"),
         "claim_texts",
     )
-    unfinished = F.struct(
-        F.lit(None).cast("int").alias("item_index"),
-        F.lit(None).cast("string").alias("item_json"),
-        F.lit(None).cast(_TEXTS).alias("texts"),
-        F.lit(None).cast(f"ARRAY<{_CLAIM}>").alias("claims"),
+    placed = opened.select(*kept, "confidence", "items", "claims", "claim_texts", _claims_of_rows().alias("places"))
+    told = placed.select(
+        *kept,
+        "confidence",
+        "items",
+        _per_row(F.transform("claims", _cited), _sources).alias("sources"),
+        _per_row(F.transform("claims", lambda claim: claim["confidence"]), _share).alias("shares"),
+        _per_row(F.col("claim_texts"), lambda own: F.concat(F.lit("["), F.array_join(own, ","), F.lit("]"))).alias("texts"),
     )
-    completed = F.col("status").eqNullSafe("completed")
-    entries = F.when(completed, _rows_with_claims()).otherwise(F.array(unfinished))
     # The outer form, because for the plain one Spark evaluates all of the above a second time, in a
     # filter on the size of the list. Completed runs without rows are dropped here instead.
-    exploded = opened.select(*kept, "confidence", F.explode_outer(entries).alias("entry")).filter(
-        F.col("entry").isNotNull()
+    exploded = told.select(
+        *kept, "confidence", "sources", "shares", "texts", F.posexplode_outer("items").alias("at", "item_json")
+    ).filter("at IS NOT NULL")
+    return exploded.select(
+        *kept,
+        F.when(completed, F.col("confidence")).alias("confidence"),
+        F.when(completed, F.col("at")).alias("item_index"),
+        "item_json",
+        F.get("sources", F.col("at")).alias("source_urls"),
+        F.get("shares", F.col("at")).alias("high_confidence_share"),
+        F.get("texts", F.col("at")).alias("claims_json"),
     )
-    claims, finished = F.col("entry.claims"), F.col("entry.item_index").isNotNull()
-    grades = F.filter(F.transform(claims, lambda c: c["confidence"]), lambda g: g != "")
-    urls = F.flatten(
-        F.transform(
-            claims,
-            lambda c: F.coalesce(
-                F.transform(c["citations"], lambda cited: cited["url"]), F.array().cast(_TEXTS)
+
+
+#: Sorted together, a claim is its row and its number from 1 on, and a marker is its row and 0.
+_ROW = 1 << 32
+
+
+def _claims_of_rows() -> Column:
+    """For each row of ``items`` the numbers of the claims about it, in claim order, from ``claims``. NULL without claims
+    to look at, as in a run that has not completed."""
+    indexes = F.transform("claims", lambda claim: F.regexp_extract(claim["path"], ROW_PATH, 1))
+    rows = F.transform(indexes, lambda index: F.when(index != "", index.try_cast("int")).cast("long"))
+    markers = F.transform("items", lambda _, i: i.cast("long") * _ROW)
+    about = F.transform(rows, lambda row, at: F.when(row < F.size("items"), row * _ROW + at + 1))
+    places = F.sort_array(F.concat(markers, F.array_compact(about)))
+
+    def numbers(sorted_places: Column) -> Column:
+        starts = F.filter(F.transform(sorted_places, lambda p, at: F.when(p % _ROW == 0, at)), lambda at: at.isNotNull())
+        cuts = bind(
+            starts,
+            lambda own: F.transform(own, lambda at, i: F.struct(at.alias("at"), F.coalesce(F.get(own, i + 1), F.size(sorted_places)).alias("end"))),
+        )
+        return F.transform(
+            cuts,
+            lambda cut: F.transform(
+                F.slice(sorted_places, cut["at"] + 2, cut["end"] - cut["at"] - 1), lambda p: (p % _ROW - 1).cast("int")
             ),
         )
-    )
-    graded = exploded.select(
-        *kept,
-        "confidence",
-        "entry",
-        finished.alias("finished"),
-        grades.alias("grades"),
-        F.array_distinct(F.filter(urls, lambda url: url != "")).alias("source_urls"),
-    )
-    high = F.filter("grades", lambda grade: grade == "high")
-    return graded.select(
-        *kept,
-        F.when(F.col("finished"), F.col("confidence")).alias("confidence"),
-        F.col("entry.item_index").alias("item_index"),
-        F.col("entry.item_json").alias("item_json"),
-        "source_urls",
-        high_share(F.size(high), F.size("grades")).alias("high_confidence_share"),
-        F.concat(F.lit("["), F.array_join("entry.texts", ","), F.lit("]")).alias("claims_json"),
-    )
 
+    return bind(places, numbers)
+
+
+def _per_row(values: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of each row's ``values``, which are one for each claim. Both are bound to names: an expression in the
+    body of a transform is computed again for each element."""
+    return bind(values, lambda known: F.transform("places", lambda own: use(F.transform(own, lambda at: F.get(known, at)))))
 
-def _rows_with_claims() -> Column:
-    """Array of (item_index, item_json, texts, claims): each row with the claims about it, in claim
-    order, from the columns ``items``, ``claims`` and ``claim_texts``."""
-    marker = -1
-    row_count = F.size("items")
-    markers = F.transform(
-        F.col("items"), lambda _, i: F.struct(i.alias("row"), F.lit(marker).alias("at"))
-    )
-    about_rows = F.filter(
-        F.transform(
-            F.col("claims"),
-            lambda claim, at: F.struct(claim_row(claim["path"]).alias("row"), at.alias("at")),
-        ),
-        lambda place: place["row"] < row_count,
-    )
-    places = F.array_sort(F.concat(markers, about_rows))
-
-    def starts(sorted_places: Column) -> Column:
-        """Position of each row's marker; the n-th one is that of row n."""
-        positions = F.transform(sorted_places, lambda p, at: F.when(p["at"] == marker, at))
-        return F.filter(positions, lambda position: position.isNotNull())
-
-    def build(env: Column) -> Column:
-        def entry(item: Column, i: Column) -> Column:
-            start = F.get(env["starts"], i)
-            end = F.coalesce(F.get(env["starts"], i + 1), F.size(env["places"]))
-            mine = F.slice(env["places"], start + 2, end - start - 1)
-            return F.struct(
-                i.alias("item_index"),
-                item.alias("item_json"),
-                F.transform(mine, lambda p: F.get(env["texts"], p["at"])).alias("texts"),
-                F.transform(mine, lambda p: F.get(env["claims"], p["at"])).alias("claims"),
-            )
-
-        return F.transform(env["items"], entry)
-
-    # A transform over one element binds its value to a name: computed once per envelope.
-    bound = F.transform(
-        F.array(places),
-        lambda sorted_places: F.struct(
-            sorted_places.alias("places"),
-            starts(sorted_places).alias("starts"),
-            F.col("items").alias("items"),
-            F.col("claims").alias("claims"),
-            F.col("claim_texts").alias("texts"),
-        ),
-    )
-    return F.get(F.transform(bound, build), F.lit(0))
+
+def _cited(claim: Column) -> Column:
+    return F.filter(F.transform(claim["citations"], lambda cited: cited["url"]), lambda url: url != "")
+
+
+def _sources(cited: Column) -> Column:
+    return F.array_distinct(F.flatten(F.filter(cited, lambda urls: urls.isNotNull())))
+
+
+def _share(grades: Column) -> Column:
+    graded = F.filter(grades, lambda grade: grade != "")
+    return bind(graded, lambda own: high_share(F.size(F.filter(own, lambda grade: grade == "high")), F.size(own)))
 
 
 def claim_match(claims: DataFrame) -> DataFrame:
@@ -268,15 +258,16 @@ def validate_rows(df: DataFrame, spec: Mapping, item: str = "item_json") -> Data
     """
     fields = F.col("_fields")
     parsed = df.withColumn("_fields", F.from_json(item, variant_struct(spec["types"])))
-    checks = []
-    for name, types in spec["types"].items():
-        value = fields[name]
-        if name in spec["required"]:
-            checks.append(F.when(value.isNull(), F.lit(f"missing {name}")))
+
+    def check(name: str, types: Sequence[str], kind: Column) -> Column:
         allowed = F.lit(False)
         for json_type in types:
-            allowed = allowed | _MATCHES[json_type](F.schema_of_variant(value))
-        checks.append(F.when(value.isNotNull() & ~allowed, F.lit(f"type of {name}")))
+            allowed = allowed | _MATCHES[json_type](kind)
+        wrong = F.when(kind.isNotNull() & ~allowed, F.lit(f"type of {name}"))
+        return wrong.when(kind.isNull(), F.lit(f"missing {name}")) if name in spec["required"] else wrong
+
+    # The kind of a field is bound to a name, as it is looked at several times.
+    checks = [bind(F.schema_of_variant(fields[name]), partial(check, name, types)) for name, types in spec["types"].items()]
     return parsed.withColumn("violations", F.array_compact(F.array(*checks))).drop("_fields")
 
 

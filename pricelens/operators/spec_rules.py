@@ -8,6 +8,7 @@ nesting: objects become paths, lists a transform over their items. A violation n
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Mapping
 from typing import Any
@@ -15,7 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.functions.json_values import NUMERIC_KINDS
+from pricelens.functions.json_values import NUMERIC_KINDS, bind
 
 _KINDS = {
     "string": lambda k: k == "STRING",
@@ -49,48 +50,87 @@ def _member(name: str) -> str:
     return f"$['{name}']" if "'" not in name else f'$["{name}"]'
 
 
-def _checks(spec: Mapping, value: Column, path: Column) -> list[Column]:
-    """Lists of violations of a value that is there; a value that is not (NULL) has none."""
-    kind = F.schema_of_variant(value)
+def _allowed(types: list[str], kind: Column) -> Column:
+    allowed = F.lit(False)
+    for t in types:
+        allowed = allowed | _KINDS[t](kind)
+    return allowed
+
+
+def _checks(spec: Mapping, value: Column, kind: Column, path: Column) -> list[tuple[bool, Column]]:
+    """Violations of a value that is there, each with whether it is a list of them; a value that is not (NULL, as is
+    its kind) has none. The kind is a name, not an expression: it is asked for once and looked at often."""
     out = []
-    types = spec.get("type", [])
-    types = [types] if isinstance(types, str) else list(types)
-    unknown = [t for t in types if t not in _KINDS]
-    if unknown:
-        raise ValueError(f"unknown JSON types: {', '.join(unknown)}")
+    types = _types(spec)
     if types:
-        allowed = F.lit(False)
-        for t in types:
-            allowed = allowed | _KINDS[t](kind)
-        out.append(F.array(F.when(value.isNotNull() & ~allowed, F.concat(F.lit("type of "), path))))
+        out.append((False, F.when(kind.isNotNull() & ~_allowed(types, kind), F.concat(F.lit("type of "), path))))
     if "enum" in spec:
-        out.append(F.array(F.when(value.isNotNull() & ~_one_of(list(spec["enum"]), value, kind), F.concat(F.lit("value of "), path))))
+        out.append((False, F.when(value.isNotNull() & ~_one_of(list(spec["enum"]), value, kind), F.concat(F.lit("value of "), path))))
     properties = spec.get("properties", {})
     for name in [*properties, *[n for n in spec.get("required", []) if n not in properties]]:
-        member = F.try_variant_get(value, _member(name), "variant")
-        below = F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit(f".{name}")))
-        if name in spec.get("required", []):
-            out.append(F.array(F.when(_KINDS["object"](kind) & member.isNull(), F.concat(F.lit("missing "), below))))
-        out += _checks(properties.get(name, {}), member, below)
+        out += _member_checks(name, properties.get(name, {}), name in spec.get("required", []), value, kind, path)
     if "items" in spec and _has_checks(spec["items"]):
         items = F.when(_KINDS["array"](kind), F.try_variant_get(value, "$", "array<variant>"))
 
         def of_item(item: Column, at: Column) -> Column:
-            return F.concat(*_checks(spec["items"], item, F.concat(path, F.lit("["), at.cast("string"), F.lit("]"))))
+            below = F.concat(path, F.lit("["), at.cast("string"), F.lit("]"))
+            return bind(_with_kind(item), lambda m: _joined(_checks(spec["items"], m["value"], m["kind"], below)))
 
-        out.append(F.coalesce(F.flatten(F.transform(items, of_item)), F.array().cast("array<string>")))
+        out.append((True, F.coalesce(F.flatten(F.transform(items, of_item)), F.array().cast("array<string>"))))
     return out
 
 
+def _member_checks(name: str, spec: Mapping, required: bool, value: Column, kind: Column, path: Column) -> list[tuple[bool, Column]]:
+    member = F.try_variant_get(value, _member(name), "variant")
+    below = F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit(f".{name}")))
+    missing = _KINDS["object"](kind) if required else F.lit(False)
+
+    def of_kind(own: Column) -> Column:
+        wrong = F.when(own.isNull() & missing, F.concat(F.lit("missing "), below))
+        types = _types(spec)
+        return wrong.when(own.isNotNull() & ~_allowed(types, own), F.concat(F.lit("type of "), below)) if types else wrong
+
+    if not any(spec.get(key) for key in ("enum", "properties", "required", "items")) and "enum" not in spec:
+        return [(False, bind(F.schema_of_variant(member), of_kind))] if required or _types(spec) else []
+
+    def of_member(m: Column) -> Column:
+        absent = [(False, F.when(m["kind"].isNull() & missing, F.concat(F.lit("missing "), below)))] if required else []
+        return _joined([*absent, *_checks(spec, m["value"], m["kind"], below)])
+
+    return [(True, bind(_with_kind(member), of_member))]
+
+
+def _types(spec: Mapping) -> list[str]:
+    types = spec.get("type", [])
+    types = [types] if isinstance(types, str) else list(types)
+    unknown = [t for t in types if t not in _KINDS]
+    if unknown:
+        raise ValueError(f"unknown JSON types: {', '.join(unknown)}")
+    return types
+
+
+def _with_kind(value: Column) -> Column:
+    return F.struct(value.alias("value"), F.schema_of_variant(value).alias("kind"))
+
+
+def _joined(checks: list[tuple[bool, Column]]) -> Column:
+    """One list of all violations, with NULLs between them. Neighbours that are no lists become one."""
+    lists: list[Column] = []
+    for is_list, group in itertools.groupby(checks, lambda check: check[0]):
+        columns = [column for _, column in group]
+        lists += columns if is_list else [F.array(*columns)]
+    return F.concat(*lists) if lists else F.array().cast("array<string>")
+
+
 def _has_checks(spec: Mapping) -> bool:
     return any(spec.get(key) for key in ("type", "enum", "properties", "required", "items"))
 
 
 def violations(spec: Mapping, value: Column) -> Column:
     """What in a VARIANT value breaks the specification, as texts with paths; empty when nothing does, and for NULL."""
-    checks = _checks(spec, value, F.lit("")) if _has_checks(spec) else []
-    none = F.array().cast("array<string>")
-    return F.array_compact(F.concat(*checks)) if checks else none
+    if not _has_checks(spec):
+        return F.array().cast("array<string>")
+    return bind(_with_kind(value), lambda m: F.array_compact(_joined(_checks(spec, m["value"], m["kind"], F.lit("")))))
 
 
 def row_spec(text: str) -> dict:

@@ -188,6 +188,16 @@ def test_violations_name_their_path(spark):
     assert checked(spark, SPEC, values)[5][:3] == ["value of offers[0].sizes[1]", "type of offers[0].sizes[2]", "value of offers[0].sizes[2]"]
 
 
+def test_a_member_is_asked_for_its_kind_once(spark):
+    """However many types it may have; and the row itself once."""
+    names = [f"f{n}" for n in range(9)]
+    spec = {"type": "object", "required": names, "properties": {n: {"type": ["string", "number", "null"]} for n in names}}
+    row = spark.createDataFrame([('{"f0":1,"f1":true}',)], "row STRING").select(F.try_parse_json("row").alias("row"))
+    checked = row.select(spec_rules.violations(spec, F.col("row")).alias("found"))
+    assert checked._jdf.queryExecution().analyzed().toString().count("schema_of_variant") == 10
+    assert checked.first().found == ["type of f1", *[f"missing {n}" for n in names[2:]]]
+
+
 def test_specifications_from_files(spark, tmp_path):
     (tmp_path / "shop+rows %.json").write_text(json.dumps({"output_schema": {"type": "array", "items": SPEC}}, indent=1))
     (tmp_path / "other.json").write_text("{}")

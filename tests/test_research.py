@@ -98,6 +98,27 @@ def test_claims_meet_their_rows_as_in_a_plain_loop(spark):
     assert "Exchange" not in plan_of(result) and "Python" not in plan_of(result)
 
 
+def test_rows_alone_parse_no_claims(spark):
+    result = run(spark, [{}], [claim("$[0]", "high", "a")])
+    assert "citations" in plan_of(result)
+    rows = result.select("run_id", "item_index", "item_json")
+    assert "claims" not in plan_of(rows) and tuple(rows.first()) == ("r", 0, "{}")
+
+
+def test_claims_that_are_no_objects_are_passed_over(spark):
+    high, low = claim("$[0].a", "high", "u", "v"), claim("$[1]", "low", "u")
+    for claims in ([high, "junk", 3, None, low], [None, high, low], [["x"], high, low, True]):
+        first, second = run(spark, [{}, {}], claims).orderBy("item_index").collect()
+        assert (first.source_urls, first.high_confidence_share, len(json.loads(first.claims_json))) == (["u", "v"], 1.0, 1)
+        assert (second.source_urls, second.high_confidence_share, len(json.loads(second.claims_json))) == (["u"], 0.0, 1)
+
+
+def test_a_field_is_asked_for_its_kind_once(spark):
+    df = spark.createDataFrame([("{}",)], "item_json STRING")
+    checked = research.validate_rows(df, EARNINGS_SPEC)
+    assert checked._jdf.queryExecution().analyzed().toString().count("schema_of_variant") == len(EARNINGS_SPEC["types"])
+
+
 def test_type_earnings(spark):
     rows = [
         {"company": "A", "revenue_millions": 4.5, "quarter_end_date": "2025-03-31"},
