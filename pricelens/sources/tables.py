@@ -58,13 +58,15 @@ def append_snapshot(
     history: StructType | None = None,
     look_up_by: Sequence[str] = (),
     row_group_bytes: int | None = None,
+    dealt: bool = False,
 ) -> int:
     """Adds a snapshot to the history at ``path``, one folder per day, and returns its row count.
 
     Columns may be added over time but not change their type: a change against the schema kept beside the
     files is refused, or against that of the ``history`` where it is given. The count comes from the
     write itself, not from a second read.
-    The rebalance puts a day's rows together and splits a day that is too large for one file.
+    The rebalance puts a day's rows together and splits a day that is too large for one file. A ``dealt``
+    snapshot has had one, as where it is made of narrower rows, and is not shuffled again.
 
     ``look_up_by`` names columns that rows will be looked up by: the rows of a file are sorted by the
     first one, so that a row group holds a narrow range of it, and each gets a Bloom filter, so that a
@@ -73,7 +75,7 @@ def append_snapshot(
     """
     _keep_schema(snapshot.sparkSession, path, history or known_schema(snapshot.sparkSession, path), snapshot.schema, day)
     counted = Observation()
-    rows = snapshot.hint("rebalance", F.col(day))
+    rows = snapshot if dealt else snapshot.hint("rebalance", F.col(day))
     if look_up_by:
         # Partitioned writes sort by the folder; to come after that, the sort has to begin with it.
         rows = rows.sortWithinPartitions(day, *look_up_by)

@@ -85,6 +85,25 @@ def test_newest_per_retailer_does_not_deal_out_the_feed(spark, sf_dir):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+@pytest.mark.parametrize("view", ["shelf", "payloads", "searches"])
+def test_line_items_are_not_dealt_out_by_supplier(spark, sf_dir, view):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(getattr(standins, view)(spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(l_partkey" in plan and "hashpartitioning(l_suppkey" not in plan
+
+
+def test_the_history_is_dealt_out_while_its_rows_are_narrow(spark, sf_dir, folder):
+    feed = standins.shelf(spark, sf_dir, by_day=True)
+    plan = plan_of(feed)
+    assert plan.count("REBALANCE") == 1 and plan.index("https://shop.example.com/") < plan.index("REBALANCE")
+    assert tables.append_snapshot(feed, folder, dealt=True) == feed.count()
+    history = tables.read_history(spark, folder, feed.schema).select(feed.columns)
+    assert history.exceptAll(standins.shelf(spark, sf_dir)).isEmpty()
+
+
 def hot_third(spark, rows=30_000):
     """A key that holds a third of all rows, in many partitions."""
     key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))

@@ -801,8 +801,8 @@ def feed_compare_bucketed(spark, sf_dir):
 @query
 def product_lookup(spark, sf_dir):
     """All snapshots of a few products, from files that are sorted by product and have Bloom filters."""
-    feed, path = data.shelf(spark, sf_dir), shared_dir(spark, "lookup_history")
-    tables.append_snapshot(feed, path, look_up_by=["product_id"], row_group_bytes=1 << 20)
+    feed, path = data.shelf(spark, sf_dir, by_day=True), shared_dir(spark, "lookup_history")
+    tables.append_snapshot(feed, path, look_up_by=["product_id"], row_group_bytes=1 << 20, dealt=True)
     history = tables.read_history(spark, path, feed.schema)
     return history.filter(F.col("product_id").isin(LOOKED_UP)).select("product_id", "retailer", "price", "captured_on", *data.ROW_KEY)
 

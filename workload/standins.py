@@ -1,7 +1,8 @@
 """Views of the test tables in the shapes the operators read.
 
-Each view derives every row from a row of the given tables, so work grows with them. Part, supplier
-and customer grow with the data and are joined without hints; Spark picks the join from their size.
+Each view derives every row from a row of the given tables, so work grows with them. Part and customer
+grow with the data and are joined without hints; Spark picks the join from their size. So does supplier,
+whose size after its own joins Spark overestimates: counted to be short, it is broadcast.
 """
 
 from __future__ import annotations
@@ -64,10 +65,14 @@ def stored(spark: SparkSession, sf_dir: str, view: Callable[[SparkSession, str],
     return spark.read.parquet(path)
 
 
+#: Suppliers that are sent to all tasks; beyond it Spark chooses the join.
+SHOPS = 1_000_000
+
+
 def _shop_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier to region, and to the retailer that the region stands for."""
+    """Supplier to region, and to the retailer that the region stands for. Line items then stay where they are."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return (
+    shops = (
         table(spark, sf_dir, "supplier")
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -77,17 +82,26 @@ def _shop_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.get(F.array(*[F.lit(name) for name in RETAILERS]), F.col("r_regionkey")).alias("shop"),
         )
     )
+    return F.broadcast(shops) if table(spark, sf_dir, "supplier").limit(SHOPS + 1).count() <= SHOPS else shops
 
 
-def shelf(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
-    """The shelf feed: a line item is a product on a page, its quarter the snapshot."""
+def shelf(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None, by_day: bool = False) -> DataFrame:
+    """The shelf feed: a line item is a product on a page, its quarter the snapshot. With ``by_day`` the rows of
+    a snapshot are put together while they are narrow, before the columns that follow from others are added."""
     lines = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     on_sale = F.col("l_discount") > 0
-    return (
+    joined = (
         lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(_shop_regions(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
+        .withColumn("captured_on", F.date_trunc("quarter", "l_shipdate").cast("date"))
+    )
+    if by_day:
+        of_part = ["p_partkey", "p_type", "p_name", "p_brand", "p_size"]
+        of_line = [*ROW_KEY, "l_extendedprice", "l_discount", "l_returnflag"]
+        joined = joined.select("region", *of_part, *of_line, "captured_on").hint("rebalance", F.col("captured_on"))
+    return (
+        joined.select(
             F.col("region").alias("retailer"),
             F.lower("p_type").alias("search_keyword"),
             F.col("l_linenumber").alias("position"),
@@ -108,7 +122,7 @@ def shelf(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -
             F.concat(
                 F.lit("https://shop.example.com/"), "region", F.lit("/"), F.col("l_partkey").cast("string")
             ).alias("product_url"),
-            F.date_trunc("quarter", "l_shipdate").cast("date").alias("captured_on"),
+            "captured_on",
             F.col("l_shipdate").cast("timestamp").alias("captured_at"),
             *ROW_KEY,
         )
@@ -117,14 +131,14 @@ def shelf(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -
 
 def shelf_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shelf feed as the dated history the reports read: a folder per snapshot, written once per session."""
-    key, feed = (spark.sparkContext.applicationId, sf_dir, "shelf_history"), shelf(spark, sf_dir)
+    key, feed = (spark.sparkContext.applicationId, sf_dir, "shelf_history"), shelf(spark, sf_dir, by_day=True)
     if key in _STORED:
         try:
             return tables.read_history(spark, _STORED[key], feed.schema).select(feed.columns)
         except AnalysisException:
             pass  # the folder was cleared, so it is written again
     path = shared_dir(spark, "shelf_history")
-    tables.append_snapshot(feed, path)
+    tables.append_snapshot(feed, path, dealt=True)
     _STORED[key] = path
     return tables.read_history(spark, path, feed.schema).select(feed.columns)
 
@@ -414,7 +428,9 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     trust = F.to_json(F.struct(F.col("o_orderpriority").alias("confidence"), claims.alias("claims")))
     with_content = F.when(content.isNotNull(), F.concat(F.lit('"content":'), content, F.lit(","))).otherwise("")
-    return table(spark, sf_dir, "orders").select(
+    # An envelope is a hundred times as long as its order, and a file of orders may be few tasks.
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return orders.repartition(4 * spark.sparkContext.defaultParallelism).select(
         F.concat(F.lit("run_"), key.cast("string")).alias("run_id"),
         F.when(key % 10 == 9, "running").otherwise("completed").alias("status"),
         F.concat(F.lit('{"output":{'), with_content, F.lit('"trust":'), trust, F.lit("}}")).alias("envelope"),
