@@ -10,7 +10,8 @@ first brought together where they can match at all:
 * Anchor hashes are counted over the corpus, one entry for each hash and block of texts. Texts in
   which no anchor repeats are done.
 * Segments whose anchor repeats go to that anchor's bucket with their bytes; equal segments of a
-  block go once. There the suffixes that start at the anchors are sorted, and so are the strings
+  block go once. Texts are ordered by the least of their repeated anchors before, on which near copies
+  mostly agree, so that a block holds the near copies of a text and not any texts. There the suffixes that start at the anchors are sorted, and so are the strings
   before them, read backwards. Sorting is a merge sort in which two suffixes are compared by a binary
   search for their common extension on prefix polynomial hashes, so a comparison costs a logarithm of
   the length; each merge places all elements of its runs at once by binary search. Then the bytes of
@@ -298,19 +299,21 @@ def _units(part: pa.RecordBatch, words: bool) -> list[bytes]:
 
 
 def repeated_anchors(docs: DataFrame, buckets: int, words: bool = False) -> DataFrame:
-    """``key``, ``t1``, ``t2`` and ``marks`` (packed bits, one for each segment of the text) of the documents in
-    which some anchor's hash occurs elsewhere too."""
+    """``key``, ``t1``, ``t2``, ``marks`` (packed bits, one for each segment of the text) and ``near`` (the least
+    repeated hash) of the documents in which some anchor's hash occurs elsewhere too."""
     per = 2 if words else 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
 
         def rows(about: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-            own, times = np.unique(keys, return_counts=True)
+            own, which, times = np.unique(keys, return_inverse=True, return_counts=True)
             bucket = (own % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             own, often = own[order], (times[order] > 1).astype(np.uint8)
+            rank = np.empty(len(order), "<u4")
+            rank[order] = np.arange(len(order))
             home = block % buckets
             used = [b for b in range(buckets) if ends[b] < ends[b + 1] or b == home]
             return pa.RecordBatch.from_pydict(
@@ -320,7 +323,7 @@ def repeated_anchors(docs: DataFrame, buckets: int, words: bool = False) -> Data
                     "keys": pa.array([own[ends[b] : ends[b + 1]].tobytes() for b in used], pa.binary()),
                     "often": pa.array([often[ends[b] : ends[b + 1]].tobytes() for b in used], pa.binary()),
                     "about": pa.array([about.tobytes() if b == home else None for b in used], pa.binary()),
-                    "all_keys": pa.array([keys.tobytes() if b == home else None for b in used], pa.binary()),
+                    "which": pa.array([rank[which].tobytes() if b == home else None for b in used], pa.binary()),
                 }
             )
 
@@ -349,21 +352,30 @@ def repeated_anchors(docs: DataFrame, buckets: int, words: bool = False) -> Data
         again = (times + np.bincount(at, weights=often, minlength=len(names)) > 1)[at]
         ends = np.cumsum([len(k) for k in own])
         back = [k[again[e - len(k) : e]].tobytes() for k, e in zip(own, ends, strict=True)]
-        return pd.DataFrame({"block": rows["block"], "keys": back, "about": rows["about"], "all_keys": rows["all_keys"]})
+        bits = [np.packbits(again[e - len(k) : e]).tobytes() for k, e in zip(own, ends, strict=True)]
+        found = {"block": rows["block"], "bucket": rows["bucket"], "n": [len(k) for k in own], "bits": bits, "keys": back}
+        return pd.DataFrame({**found, "about": rows["about"], "which": rows["which"]})
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bucket")
         home = rows[rows["about"].notna()].iloc[0]
         about = np.frombuffer(home["about"], _TEXT)
-        repeated = np.isin(np.frombuffer(home["all_keys"], np.uint64), np.frombuffer(b"".join(rows["keys"]), np.uint64))
+        again = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(rows["bits"], rows["n"], strict=True)]).astype(bool)
+        names = np.zeros(len(again), np.uint64)
+        names[again] = np.frombuffer(b"".join(rows["keys"]), np.uint64)
+        which = np.frombuffer(home["which"], "<u4")
+        repeated, names = again[which], names[which]
         ends = np.cumsum(about["segments"])
         own = [repeated[e - n : e] for e, n in zip(ends, about["segments"], strict=True)]
         keep = np.array([m.any() for m in own], bool)
         marks = [np.packbits(m).tobytes() for m, k in zip(own, keep, strict=True) if k]
-        return pd.DataFrame({"key": about["key"][keep], "t1": about["t1"][keep], "t2": about["t2"][keep], "marks": marks})
+        near = [names[e - n : e][m].min() for e, n, m, k in zip(ends, about["segments"], own, keep, strict=True) if k]
+        near = np.array(near, np.uint64).view(np.int64)
+        return pd.DataFrame({"key": about["key"][keep], "t1": about["t1"][keep], "t2": about["t2"][keep], "marks": marks, "near": near})
 
-    sent = docs.mapInArrow(send, "bucket int, block long, keys binary, often binary, about binary, all_keys binary")
-    counted = sent.groupBy("bucket").applyInPandas(count, "block long, keys binary, about binary, all_keys binary")
-    return counted.groupBy("block").applyInPandas(mark, "key long, t1 long, t2 long, marks binary")
+    sent = docs.mapInArrow(send, "bucket int, block long, keys binary, often binary, about binary, which binary")
+    counted = sent.groupBy("bucket").applyInPandas(count, "block long, bucket int, n long, bits binary, keys binary, about binary, which binary")
+    return counted.groupBy("block").applyInPandas(mark, "key long, t1 long, t2 long, marks binary, near long")
 
 
 _SENT = (
@@ -441,7 +453,7 @@ def repeated_spans(texts: DataFrame, buckets: int, words: bool = False) -> DataF
                     cut["bytes"] += [data[a:b].tobytes() for a, b in zip(own["first"], own["last"] + LENGTH, strict=True)]
                     size += int((own["last"] + LENGTH - own["first"]).sum())
                 about += [x[:2] for x in ids]
-                if size >= BLOCK // per or len(about) >= TEXTS:
+                if size >= BLOCK or len(about) >= TEXTS:
                     yield rows(about, cut)
                     about, cut, size, block = [], fresh(), 0, block + 1
         if about:
@@ -504,10 +516,12 @@ def with_spans(docs: DataFrame, words: bool = False) -> DataFrame:
     plain = plain.select("key", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     buckets = buckets_for(docs, 2 if words else 12)
     marked = stored(repeated_anchors(plain, buckets, words), "marked")
-    once = marked.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("marks").alias("marks"))
+    once = marked.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("marks").alias("marks"), F.first("near").alias("near"))
     # Both joins have a side that grows with the texts, so neither is broadcast, whatever its size today.
-    again = plain.join(once.hint("merge"), ["key", "t1", "t2"]).select("t1", "t2", "copies", "marks", "text")
-    spans = stored(repeated_spans(again.repartition(buckets, "t1", "t2"), buckets, words), "spans")
+    again = plain.join(once.hint("merge"), ["key", "t1", "t2"]).select("near", "t1", "t2", "copies", "marks", "text")
+    # Ranges, so that near copies are side by side and yet very many of them are several tasks; equal texts are in one.
+    side_by_side = again.repartitionByRange(buckets, "near", "t1").sortWithinPartitions("near", "t1")
+    spans = stored(repeated_spans(side_by_side, buckets, words), "spans")
     return named.join(spans.hint("merge"), ["t1", "t2"], "left").select("row.*", "spans")
 
 

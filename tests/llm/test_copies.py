@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_fixtures import none, odd, odd_rows, texts  # noqa: F401
 from llm_words import words_of
@@ -145,6 +146,25 @@ def test_repeated_runs_of_words_in_all_windows(spark, sf_dir, texts, odd, odd_ro
         assert any(runs for _, runs, _ in want) and any(not runs for _, runs, _ in want)
 
 
+def test_near_copies_travel_together(spark, monkeypatch):
+    """Copies that differ in a word share a block, whatever partition they come from, so their strings go once."""
+    rng = np.random.default_rng(5)
+    text = [" ".join(bytes(rng.integers(97, 123, 7).astype(np.uint8)).decode() for _ in range(400)) for _ in range(6)]
+    rows = [(k, f"{text[k % 6]} {k}") for k in range(48)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sent = []
+    real = suffix_dedup.repeated_spans
+
+    def seen(texts, *args):
+        sent.append([tuple(r) for r in texts.select(F.spark_partition_id(), "near").collect()])
+        return real(texts, *args)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", seen)
+    assert suffix_dedup.digests(docs).where("n_removed > 0").count() == 48
+    near = {n for _, n in sent[0]}
+    assert len(near) == 6 and len(set(sent[0])) <= 6 + 4  # a range may be cut in two
+
+
 def test_columns_of_the_caller_stay_as_they_are(spark):
     rows = [(1, "a b " * 300, "mine", "r", 5), (2, "a b " * 300, "too", None, 6), (3, None, None, "x", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, row string, t1 long")
