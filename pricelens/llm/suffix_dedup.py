@@ -378,6 +378,17 @@ def repeated_anchors(docs: DataFrame, buckets: int, words: bool = False) -> Data
     return counted.groupBy("block").applyInPandas(mark, "key long, t1 long, t2 long, marks binary, near long")
 
 
+def packed(parts: list[bytes]) -> bytes:
+    """The parts as one compressed string. Segments overlap by all but a byte and near copies by most of theirs, which a
+    shuffle's own compression does not see, as it looks at 32 KB at a time."""
+    return pa.compress(b"".join(parts), codec="zstd", asbytes=True) if parts else b""
+
+
+def unpacked(data: bytes, size: int) -> bytes:
+    """The ``size`` bytes of ``packed``."""
+    return pa.decompress(data, size, codec="zstd", asbytes=True) if size else b""
+
+
 _SENT = (
     "bucket int, block long, groups binary, before binary, after binary, weight binary, bytes binary, "
     "texts binary, owners binary"
@@ -400,12 +411,14 @@ def repeated_spans(texts: DataFrame, buckets: int, words: bool = False) -> DataF
             _, member, which = np.unique(names["content"], return_index=True, return_inverse=True)
             weight = np.minimum(np.bincount(which, weights=names["weight"]), 2).astype(np.uint8)
             bucket = (names["key"][member] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            # By anchor within a bucket, so that near copies follow each other and compress well.
+            order = np.lexsort((names["key"][member], bucket))
+            bucket = bucket[order]
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             owners = np.zeros(len(which), _OWNER)
             owners["member"], owners["text"], owners["anchor"] = rank[which], names["text"], names["anchor"]
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
             member, weight = member[order], weight[order]
             home = block % buckets
             used = [b for b in range(buckets) if ends[b] < ends[b + 1] or b == home]
@@ -418,7 +431,7 @@ def repeated_spans(texts: DataFrame, buckets: int, words: bool = False) -> DataF
                     "before": part("before", "<u2"),
                     "after": part("after", "<u2"),
                     "weight": pa.array([weight[ends[b] : ends[b + 1]].tobytes() for b in used], pa.binary()),
-                    "bytes": pa.array([b"".join(cut["bytes"][m] for m in member[ends[b] : ends[b + 1]]) for b in used], pa.binary()),
+                    "bytes": pa.array([packed([cut["bytes"][m] for m in member[ends[b] : ends[b + 1]]]) for b in used], pa.binary()),
                     "texts": pa.array([np.array(about, "<i8").tobytes() if b == home else None for b in used], pa.binary()),
                     "owners": pa.array([owners.tobytes() if b == home else None for b in used], pa.binary()),
                 }
@@ -463,7 +476,9 @@ def repeated_spans(texts: DataFrame, buckets: int, words: bool = False) -> DataF
         join = lambda name, kind: np.frombuffer(b"".join(rows[name]), kind)
         before, after = join("before", "<u2").astype(np.int64), join("after", "<u2").astype(np.int64)
         at = np.cumsum(before + after) - after
-        member, x = repeated_windows(join("bytes", np.uint8), at, before, after, join("groups", "<u8"), join("weight", np.uint8))
+        sizes = [int(np.frombuffer(b, "<u2").sum(dtype=np.int64) + np.frombuffer(a, "<u2").sum(dtype=np.int64)) for b, a in zip(rows["before"], rows["after"], strict=True)]
+        data = np.frombuffer(b"".join(unpacked(p, n) for p, n in zip(rows["bytes"], sizes, strict=True)), np.uint8)
+        member, x = repeated_windows(data, at, before, after, join("groups", "<u8"), join("weight", np.uint8))
         order = np.lexsort((x, member))
         member, x = member[order], x[order]
         new = np.flatnonzero(np.concatenate([[True], (member[1:] != member[:-1]) | (x[1:] != x[:-1] + 1)])) if len(member) else np.empty(0, np.int64)

@@ -165,6 +165,15 @@ def test_near_copies_travel_together(spark, monkeypatch):
     assert len(near) == 6 and len(set(sent[0])) <= 6 + 4  # a range may be cut in two
 
 
+def test_segments_of_near_copies_are_sent_once_over():
+    parts = [bytes(np.random.default_rng(k % 50).integers(0, 256, 600, np.uint8)) for k in range(400)]
+    near = [part[: 40 + k % 300] + b"!" + part[41 + k % 300 :] for k, part in enumerate(parts)]
+    for own in ([], [b"a"], near):
+        sent = suffix_dedup.packed(own)
+        assert suffix_dedup.unpacked(sent, sum(map(len, own))) == b"".join(own)
+    assert len(sent) < sum(map(len, near)) / 4
+
+
 def test_columns_of_the_caller_stay_as_they_are(spark):
     rows = [(1, "a b " * 300, "mine", "r", 5), (2, "a b " * 300, "too", None, 6), (3, None, None, "x", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, row string, t1 long")
