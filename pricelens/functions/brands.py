@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pricelens.functions.json_values import strip
+from pricelens.functions.json_values import bind, strip
 
 # Brand and pattern, in the order they are tried.
 BRAND_PATTERNS = [
@@ -52,6 +53,28 @@ def brand_texts(name: Column, given: Column, url: Column) -> Column:
     )
 
 
+#: A piece of a pattern that is a word or more between borders.
+_PLAIN_PIECE = re.compile(r"(?:\\b|\^)*([a-z0-9' -]+)(?:\\b|\$)*")
+
+
+def _words_of(pattern: str) -> list[str]:
+    """Texts of which one must occur where the pattern matches; none if the pattern is not made of plain pieces."""
+    pieces = [_PLAIN_PIECE.fullmatch(piece) for piece in pattern.split("|")]
+    return [piece[1] for piece in pieces] if all(pieces) else []
+
+
+def _occurs(text: Column, pattern: str) -> Column:
+    """Whether the pattern matches in the text. Its words are searched for first, which costs much less."""
+    found = text.rlike(f"(?U){pattern}")
+    words = [text.contains(word) for word in _words_of(pattern)]
+    if not words:
+        return found
+    some = words[0]
+    for word in words[1:]:
+        some = some | word
+    return some & found
+
+
 def brand_from(texts: Column, patterns: Sequence[tuple[str, str]] = BRAND_PATTERNS) -> Column:
     """First brand whose pattern occurs in the name, the given brand or the URL words.
 
@@ -62,14 +85,14 @@ def brand_from(texts: Column, patterns: Sequence[tuple[str, str]] = BRAND_PATTER
     name, given, words = texts["name"], texts["given"], texts["words"]
     chain = F.when(F.lit(False), F.lit(None).cast("string"))
     for brand, pattern in patterns:
-        regex = f"(?U){pattern}"
         found = (
-            name.rlike(regex)
-            | ((given != "") & given.rlike(regex))
-            | ((words != "") & words.rlike(regex))
+            _occurs(name, pattern)
+            | ((given != "") & _occurs(given, pattern))
+            | ((words != "") & _occurs(words, pattern))
         )
         chain = chain.when(found, F.lit(brand))
-    return chain.otherwise(F.when(~given.isin(GENDER_WORDS), texts["fallback"]))
+    # Bound, because the chain as part of one generated method would be longer than the JVM compiles.
+    return chain.otherwise(bind(texts["fallback"], lambda own: F.when(~given.isin(GENDER_WORDS), own)))
 
 
 def brand_of(

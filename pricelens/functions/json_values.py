@@ -126,7 +126,7 @@ def to_number(value: Column) -> Column:
     Text that keeps two points after the other characters are removed is no number, so
     ``"49.99 - $59.99"`` is NULL while ``"$10 - $20"`` is 1020.
     """
-    signed = text(value).rlike(FLOAT_TEXT) & kind(value).rlike(NUMERIC_KINDS)
+    signed = value["json"].isNotNull() & text(value).rlike(FLOAT_TEXT) & kind(value).rlike(NUMERIC_KINDS)
     as_it_is = text(value).rlike(PLAIN_NUMBER) | signed
     return F.when(as_it_is, text(value).try_cast("double")).otherwise(read_digits(text(value)))
 

@@ -63,7 +63,8 @@ _UNCLEAR = {
 
 def _needs_kinds(texts: Column) -> Column:
     """Whether some value of an item reads differently as a text and as another JSON value: one of ``_UNCLEAR``, or a
-    stock flag that is null or missing. All texts are searched at once; each sort has a separator of its own."""
+    stock flag that is null or missing. All texts are searched at once; each sort has a separator of its own, and the
+    pattern begins with any of them, so that most places are passed over at a glance."""
     named = [alias for names in ALIASES.values() for alias in names]
     numbers = [alias for name in NUMBERS for alias in ALIASES[name]]
     presence = [*ALIASES["product_id"], AVAILABILITY]
@@ -71,9 +72,9 @@ def _needs_kinds(texts: Column) -> Column:
     joined, patterns = [], []
     for sort, mark in zip(sorts, "\x01\x02\x03"):
         joined += [F.lit(mark), F.concat_ws(mark, *[texts[name] for name in sorts[sort]]), F.lit(mark)]
-        patterns.append(f"{mark}({_UNCLEAR[sort]}){mark}")
+        patterns.append(f"(?<={mark})(?:{_UNCLEAR[sort]}){mark}")
     unknown_stock = texts[OUT_OF_STOCK].isNull() & F.col("item").contains(f'"{OUT_OF_STOCK}"')
-    return F.concat(*joined).rlike("|".join(patterns)) | unknown_stock
+    return F.concat(*joined).rlike(f"[\x01-\x03](?:{'|'.join(patterns)})") | unknown_stock
 
 
 def _page_from_id(product_id: Column) -> Column:
@@ -122,7 +123,6 @@ def normalise_shelf(
         (retailer == URL_RETAILER) & is_truthy(F.col("product_id")),
         _page_from_id(text(F.col("product_id"))),
     )
-    price, listed = to_number(F.col("price")), to_number(F.col("list_price"))
     in_stock = F.when(
         (retailer == "walmart") & (F.col("out_of_stock.text").isNotNull() | F.col("out_of_stock.json").isNotNull()),
         ~F.coalesce(to_boolean(F.col("out_of_stock")), F.lit(False)),
@@ -137,8 +137,8 @@ def normalise_shelf(
         to_integer(F.col("position")).alias("position"),
         text(F.col("product_name")).alias("product_name"),
         text(F.col("given_brand")).alias("given_brand"),
-        price.alias("price"),
-        F.when(listed <= price, F.lit(None)).otherwise(listed).alias("list_price"),
+        to_number(F.col("price")).alias("price"),
+        to_number(F.col("list_price")).alias("_listed"),
         to_number(F.col("rating")).alias("rating"),
         to_integer(F.col("review_count")).alias("review_count"),
         to_boolean(F.col("sponsored")).alias("sponsored"),
@@ -147,8 +147,11 @@ def normalise_shelf(
         F.coalesce(given_url, from_id).alias("product_url"),
         text(F.col("image_url")).alias("image_url"),
     )
-    named = typed.withColumn(
-        "texts", brand_texts(F.col("product_name"), F.col("given_brand"), F.col("product_url"))
+    named = typed.withColumns(
+        {
+            "texts": brand_texts(F.col("product_name"), F.col("given_brand"), F.col("product_url")),
+            "list_price": F.when(F.col("_listed") <= F.col("price"), F.lit(None)).otherwise(F.col("_listed")),
+        }
     )
     on_sale = (F.col("list_price") != 0) & (F.col("price") != 0)
     discount = F.round(100 * (F.col("list_price") - F.col("price")) / F.col("list_price"), 1)

@@ -6,6 +6,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from pricelens.functions.brands import brand_of
+from pricelens.functions import brands
 from pricelens.operators.shelf import normalise_shelf, shelf_search
 from pricelens.sources import payloads
 
@@ -178,3 +179,14 @@ def test_unwrapping_parses_the_usual_shape_once(spark, folder):
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
     assert "from_json" not in scan
     assert plan.count("from_json") == 3
+
+
+def test_patterns_of_plain_words_are_searched_for_before_they_are_matched(spark):
+    names = ["nike", "snikers", "On", "salmon on toast", "on-board", "new-balance", "x new-balance", "axxb", "ab", "q(c"]
+    patterns = [*brands.BRAND_PATTERNS, ("X", r"ax+b"), ("Q", r"q\(c|zz")]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    none = F.lit(None).cast("string")
+    got = [r[0] for r in df.select(brands.brand_of(F.col("n"), none, none, patterns)).collect()]
+    assert got == ["Nike", None, "On", None, "On", "New Balance", None, "X", None, "Q"]
+    assert brands._words_of(r"\bon cloud|^on-|^on$") == ["on cloud", "on-", "on"]
+    assert not brands._words_of(r"ax+b") and not brands._words_of(r"\bnike\b|q\(c")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pricelens.functions.json_values import bind
 from pricelens.schemas import RETAILER_TEMPLATES
 from pricelens.session import shared_dir
 from pricelens.sources import tables
@@ -164,12 +165,15 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _by_shop(**columns: Column) -> Column:
+def _item_of_shop(fields: dict[str, dict[str, Column]]) -> Column:
+    """JSON of the fields that each shop sends. A shop's object holds its own fields alone, instead of all fields with
+    a case for each shop."""
     chain = None
-    for shop, column in columns.items():
+    for shop in RETAILERS:
+        own = F.to_json(F.struct(*[by_shop[shop].alias(name) for name, by_shop in fields.items() if shop in by_shop]))
         same = F.col("shop") == shop
-        chain = F.when(same, column) if chain is None else chain.when(same, column)
-    return chain
+        chain = F.when(same, own) if chain is None else chain.when(same, own)
+    return chain.otherwise("{}")
 
 
 def product_words() -> tuple[Column, Column, Column]:
@@ -220,55 +224,41 @@ def items(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -
     flag = F.col("l_returnflag")
     stock = F.col("l_orderkey") % 4
 
-    item = F.to_json(
-        F.struct(
-            _by_shop(amazon=line, walmart=line).alias("position"),
-            _by_shop(
-                target=F.concat(line.cast("string"), F.lit(".0")),
-                footlocker=F.concat(line.cast("string"), F.lit(".6")),
-                asos=line.cast("string"),
-            ).alias("item_stack_position"),
-            _by_shop(amazon=name, walmart=name, footlocker=name, asos=F.lit("")).alias("product_name"),
-            _by_shop(target=name, asos=name).alias("title"),
-            _by_shop(amazon=given, target=given, asos=given).alias("product_brand"),
-            _by_shop(walmart=given, footlocker=given).alias("brand"),
-            _by_shop(amazon=money, asos=F.lit("")).alias("price"),
-            _by_shop(walmart=money, asos=F.concat(F.lit("USD "), amount)).alias("product_price"),
-            _by_shop(target=amount.cast("double"), footlocker=amount.cast("double")).alias("price_current"),
-            _by_shop(
-                amazon=F.when(stock != 0, F.concat(F.lit("List: $"), list_amount)), asos=list_amount
-            ).alias("original_price"),
-            _by_shop(walmart=F.when(stock != 0, list_amount.cast("double"))).alias("product_price_original"),
-            _by_shop(target=F.when(stock != 0, list_amount)).alias("list_price"),
-            _by_shop(amazon=1 + part % 9 / 2, target=1 + part % 9 / 2).alias("rating"),
-            _by_shop(
-                walmart=(1 + part % 9 / 2).cast("string"), asos=F.lit("no rating")
-            ).alias("product_rating"),
-            _by_shop(amazon=reviews, walmart=reviews).alias("review_count"),
-            _by_shop(target=part % 1000, footlocker=part % 1000).alias("product_reviews_count"),
-            _by_shop(amazon=F.when(flag == "R", True).when(flag == "A", False)).alias("sponsored"),
-            _by_shop(
-                walmart=F.when(flag == "R", "Yes ").when(flag == "A", "Sponsored"),
-                asos=F.when(flag == "R", "TRUE").when(flag == "A", "no"),
-            ).alias("is_sponsored"),
-            _by_shop(target=F.when(flag == "R", 1).when(flag == "A", 0)).alias("is_promotion"),
-            _by_shop(amazon=identity).alias("asin"),
-            _by_shop(target=part).alias("tcin"),
-            _by_shop(walmart=identity, footlocker=identity, asos=identity).alias("product_id"),
-            _by_shop(
-                amazon=F.concat(F.lit("https://www.amazon.com/"), slug, F.lit("/dp/"), identity)
-            ).alias("product_url"),
-            _by_shop(asos=F.concat(F.lit("https://asos.example.com/"), identity)).alias("url"),
-            _by_shop(walmart=F.when(stock == 1, True).when(stock == 2, False)).alias("product_out_of_stock"),
-            _by_shop(
-                target=F.when(stock == 1, "in_stock").when(stock == 2, "OUT").when(stock == 3, "")
-            ).alias("availability"),
-        )
+    item = _item_of_shop(
+        {
+            "position": dict(amazon=line, walmart=line),
+            "item_stack_position": dict(target=F.concat(line.cast("string"), F.lit(".0")), footlocker=F.concat(line.cast("string"), F.lit(".6")), asos=line.cast("string")),
+            "product_name": dict(amazon=name, walmart=name, footlocker=name, asos=F.lit("")),
+            "title": dict(target=name, asos=name),
+            "product_brand": dict(amazon=given, target=given, asos=given),
+            "brand": dict(walmart=given, footlocker=given),
+            "price": dict(amazon=money, asos=F.lit("")),
+            "product_price": dict(walmart=money, asos=F.concat(F.lit("USD "), amount)),
+            "price_current": dict(target=amount.cast("double"), footlocker=amount.cast("double")),
+            "original_price": dict(amazon=F.when(stock != 0, F.concat(F.lit("List: $"), list_amount)), asos=list_amount),
+            "product_price_original": dict(walmart=F.when(stock != 0, list_amount.cast("double"))),
+            "list_price": dict(target=F.when(stock != 0, list_amount)),
+            "rating": dict(amazon=1 + part % 9 / 2, target=1 + part % 9 / 2),
+            "product_rating": dict(walmart=(1 + part % 9 / 2).cast("string"), asos=F.lit("no rating")),
+            "review_count": dict(amazon=reviews, walmart=reviews),
+            "product_reviews_count": dict(target=part % 1000, footlocker=part % 1000),
+            "sponsored": dict(amazon=F.when(flag == "R", True).when(flag == "A", False)),
+            "is_sponsored": dict(walmart=F.when(flag == "R", "Yes ").when(flag == "A", "Sponsored"), asos=F.when(flag == "R", "TRUE").when(flag == "A", "no")),
+            "is_promotion": dict(target=F.when(flag == "R", 1).when(flag == "A", 0)),
+            "asin": dict(amazon=identity),
+            "tcin": dict(target=part),
+            "product_id": dict(walmart=identity, footlocker=identity, asos=identity),
+            "product_url": dict(amazon=F.concat(F.lit("https://www.amazon.com/"), slug, F.lit("/dp/"), identity)),
+            "url": dict(asos=F.concat(F.lit("https://asos.example.com/"), identity)),
+            "product_out_of_stock": dict(walmart=F.when(stock == 1, True).when(stock == 2, False)),
+            "availability": dict(target=F.when(stock == 1, "in_stock").when(stock == 2, "OUT").when(stock == 3, "")),
+        }
     )
     # A JSON null, which to_json never writes, for a field that is there but unknown.
-    start = F.when(
-        (F.col("shop") == "walmart") & (stock == 3), '{"product_out_of_stock":null,'
-    ).otherwise("{")
+    # Bound, because the projection as part of one generated method would be longer than the JVM compiles.
+    start = bind(
+        F.col("shop"), lambda shop: F.when((shop == "walmart") & (stock == 3), '{"product_out_of_stock":null,').otherwise("{")
+    )
     return joined.select(
         *ROW_KEY,
         F.col("shop").alias("retailer"),
