@@ -90,16 +90,17 @@ def run_result(runs: DataFrame) -> DataFrame:
     index together with one marker per row, so each row's claims are the slice behind its marker.
     All of it happens inside the envelope's own row; nothing is shuffled. The rows and what the claims
     say of them are columns of their own until the rows are opened, and the claims and their texts are
-    parses of their own, so that whoever reads the rows alone pays for neither. Claims among which some
-    are no objects do not read as a list of structs; those that are objects are then read from their texts.
+    parses of their own, so that whoever reads the rows alone pays for neither, and whoever reads the sources
+    or shares does not pay for the texts. Claims among which some are no objects do not read as a list of
+    structs; only then those that are objects are read from their texts.
     """
     kept = [name for name in runs.columns if name != "envelope"]
     output, completed = F.col("output"), F.col("status").eqNullSafe("completed")
     variant = F.try_variant_get(F.try_parse_json("envelope"), "$.output.content", "variant")
     parsed = runs.select(
         *kept,
+        "envelope",
         F.from_json("envelope", _CONTENT)["output"].alias("output"),
-        F.from_json("envelope", _CLAIM_TEXTS)["output"]["trust"]["claims"].alias("all_texts"),
         F.when(completed, F.from_json("envelope", _CLAIMS)["output"]["trust"]["claims"]).alias("structs"),
         F.when(may_mislead(F.col("envelope")), variant).alias("kinds"),
     )
@@ -108,11 +109,12 @@ def run_result(runs: DataFrame) -> DataFrame:
         output["trust"]["confidence"].alias("confidence"),
         output["content"].alias("content"),
         "kinds",
-        F.coalesce(F.filter("all_texts", lambda claim: claim.startswith("{")), F.array().cast(_TEXTS)).alias("claim_texts"),
+        _claim_texts(F.col("envelope")).alias("claim_texts"),
+        F.when(completed & F.col("structs").isNull(), _claim_texts(F.col("envelope"))).alias("mixed_texts"),
         F.filter("structs", lambda claim: claim.isNotNull()).alias("structs"),
     ).withColumn("members", members_of(F.col("content")))
     items = F.coalesce(envelope_rows(F.col("content"), F.col("kinds"), F.col("members")), F.array().cast(_TEXTS))
-    claims_list = F.concat(F.lit("["), F.array_join("claim_texts", ","), F.lit("]"))
+    claims_list = F.concat(F.lit("["), F.array_join("mixed_texts", ","), F.lit("]"))
     opened = located.select(
         *kept,
         "confidence",
@@ -145,6 +147,12 @@ def run_result(runs: DataFrame) -> DataFrame:
     )
 
 
+def _claim_texts(envelope: Column) -> Column:
+    """The claims of an envelope that are objects, as JSON texts."""
+    texts = F.from_json(envelope, _CLAIM_TEXTS)["output"]["trust"]["claims"]
+    return F.coalesce(F.filter(texts, lambda claim: claim.startswith("{")), F.array().cast(_TEXTS))
+
+
 #: Sorted together, a claim is its row and its number from 1 on, and a marker is its row and 0.
 _ROW = 1 << 32
 

@@ -95,6 +95,23 @@ def test_line_items_are_not_dealt_out_by_supplier(spark, sf_dir, view):
     assert "hashpartitioning(l_partkey" in plan and "hashpartitioning(l_suppkey" not in plan
 
 
+@pytest.mark.parametrize("view", ["payloads", "envelopes"])
+def test_views_hold_no_method_that_is_too_long_to_compile(spark, sf_dir, view):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = getattr(standins, view)(spark, sf_dir)._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) <= 8000
+
+
+def test_sources_of_rows_do_not_parse_all_claims_as_texts(spark):
+    runs = spark.createDataFrame([("r", "completed", "{}")], "run_id string, status string, envelope string")
+    plan = plan_of(research.run_result(runs).select("run_id", "source_urls", "high_confidence_share"))
+    assert "mixed_texts" in plan and "claim_texts" not in plan
+
+
 def test_the_history_is_dealt_out_while_its_rows_are_narrow(spark, sf_dir, folder):
     feed = standins.shelf(spark, sf_dir, by_day=True)
     plan = plan_of(feed)
