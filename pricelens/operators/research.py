@@ -21,6 +21,7 @@ from pricelens.functions.json_values import (
     research_integer,
     research_number,
     text,
+    text_struct,
     variant_struct,
 )
 from pricelens.functions.urls import is_blocked
@@ -287,9 +288,16 @@ def type_earnings(rows: DataFrame, loaded_at: Column) -> DataFrame:
     """
     texts = ["company", "ticker", "fiscal_quarter_label", "currency", "source_url", "source_type"]
     numbers = ["revenue_millions", "revenue_growth_yoy_pct", "gross_margin_pct", "operating_income_millions"]
-    raw = F.col("raw")
-    parsed = rows.withColumn("raw", read_fields("item_json", [*texts, *numbers, "quarter_end_date"])).filter(
-        ~is_empty(field(raw, "company")) & text(field(raw, "revenue_millions")).isNotNull()
+    raw, read, names = F.col("raw"), F.col("_texts"), [*texts, *numbers, "quarter_end_date"]
+    # Kinds tell a list from its text and a boolean from its; no other value needs the second parse.
+    unclear = read["company"] == "[]"
+    for name in numbers:
+        unclear = unclear | F.coalesce(read[name].isin("true", "false"), F.lit(False))
+    kinds = F.when(unclear, F.from_json("item_json", variant_struct(names)))
+    parsed = (
+        rows.withColumn("_texts", F.from_json("item_json", text_struct(names)))
+        .withColumn("raw", F.struct(read.alias("text"), kinds.alias("json")))
+        .filter(~is_empty(field(raw, "company")) & text(field(raw, "revenue_millions")).isNotNull())
     )
     columns = {name: text(field(raw, name)) for name in texts}
     columns |= {name: research_number(field(raw, name)) for name in numbers}

@@ -249,3 +249,22 @@ def test_praise_given_as_text_is_no_list(spark):
     )
     typed = research.type_reviews(rows, F.current_timestamp())
     assert [r.top_praise for r in typed.collect()] == [[], ["light"]]
+
+
+def test_earnings_are_parsed_as_variant_only_where_a_text_is_unclear(spark):
+    items = [
+        '{"company":"A","revenue_millions":true,"gross_margin_pct":"true"}',
+        '{"company":"[]","revenue_millions":"5"}',
+        '{"company":[],"revenue_millions":"5"}',
+        '{"company":[1],"revenue_millions":false,"gross_margin_pct":-1.5e1}',
+        '{"revenue_millions":true}',
+        '{"company":"B","revenue_millions":"n/a","gross_margin_pct":null,"operating_income_millions":false}',
+    ]
+    rows = spark.createDataFrame([(i,) for i in items], "item_json string").select(
+        "item_json", *[F.lit(None).cast(t).alias(c) for c, t in (("source_urls", "array<string>"), ("high_confidence_share", "double"))],
+        *[F.lit(None).cast("string").alias(c) for c in ("claims_json", "confidence", "run_id")],
+    )
+    typed = research.type_earnings(rows, F.current_timestamp())
+    assert "THEN from_json(" in plan_of(typed)
+    got = [tuple(r) for r in typed.select("company", "revenue_millions", "gross_margin_pct", "operating_income_millions").collect()]
+    assert got == [("A", 1.0, None, None), ("[]", 5.0, None, None), ("[1]", 0.0, -15.0, None), ("B", None, None, 0.0)]
