@@ -12,11 +12,11 @@ from pyspark.sql.types import StructType
 from pricelens.functions.claims import ROW_PATH, claim_row, high_share
 from pricelens.functions.json_values import (
     NUMERIC_KINDS,
+    STRING_LIKE_JSON,
     bind,
     field,
     is_empty,
     kind,
-    may_mislead,
     read_fields,
     research_integer,
     research_number,
@@ -92,114 +92,166 @@ def run_result(runs: DataFrame) -> DataFrame:
     All of it happens inside the envelope's own row; nothing is shuffled. The rows and what the claims
     say of them are columns of their own until the rows are opened, and the claims and their texts are
     parses of their own, so that whoever reads the rows alone pays for neither, and whoever reads the sources
-    or shares does not pay for the texts. Claims among which some are no objects do not read as a list of
+    or shares does not pay for the texts. Claims of an envelope without rows are not parsed, and of a claim about
+    no row only the path is looked at. Claims among which some are no objects do not read as a list of
     structs; only then those that are objects are read from their texts.
     """
     kept = [name for name in runs.columns if name != "envelope"]
     output, completed = F.col("output"), F.col("status").eqNullSafe("completed")
-    variant = F.try_variant_get(F.try_parse_json("envelope"), "$.output.content", "variant")
     parsed = runs.select(
-        *kept,
-        "envelope",
-        F.from_json("envelope", _CONTENT)["output"].alias("output"),
-        F.when(completed, F.from_json("envelope", _CLAIMS)["output"]["trust"]["claims"]).alias("structs"),
-        F.when(may_mislead(F.col("envelope")), variant).alias("kinds"),
+        *kept, "envelope", F.when(completed, F.from_json("envelope", _CONTENT)["output"]).alias("output")
     )
+    variant = F.try_variant_get(F.try_parse_json("envelope"), "$.output.content", "variant")
     located = parsed.select(
         *kept,
+        "envelope",
         output["trust"]["confidence"].alias("confidence"),
         output["content"].alias("content"),
-        "kinds",
-        _claim_texts(F.col("envelope")).alias("claim_texts"),
-        F.when(completed & F.col("structs").isNull(), _claim_texts(F.col("envelope"))).alias("mixed_texts"),
-        F.filter("structs", lambda claim: claim.isNotNull()).alias("structs"),
-    ).withColumn("members", members_of(F.col("content")))
+        F.when(_unclear(output["content"], F.col("envelope")), variant).alias("kinds"),
+        members_of(output["content"]).alias("members"),
+    )
     items = F.coalesce(envelope_rows(F.col("content"), F.col("kinds"), F.col("members")), F.array().cast(_TEXTS))
-    claims_list = F.concat(F.lit("["), F.array_join("mixed_texts", ","), F.lit("]"))
     opened = located.select(
         *kept,
+        "envelope",
         "confidence",
         F.when(completed, items).otherwise(F.array(F.lit(None).cast("string"))).alias("items"),
-        F.when(completed, F.coalesce("structs", F.from_json(claims_list, f"ARRAY<{_CLAIM}>"))).alias("claims"),
-        "claim_texts",
     )
-    placed = opened.select(*kept, "confidence", "items", "claims", "claim_texts", _claims_of_rows().alias("places"))
+    # Parsed claims are bound to a name and not made a column, which Spark would write as a row and read from it slowly.
+    has_rows = completed & (F.size("items") > 0)
+    looked_at = opened.select(
+        *kept,
+        "envelope",
+        "confidence",
+        "items",
+        F.when(has_rows, bind(_claims("envelope", _CLAIMS), _looked_at)).alias("looked"),
+    )
+    texts = _claims("envelope", _CLAIM_TEXTS)
+    objects = F.coalesce(F.filter(texts, lambda claim: claim.startswith("{")), F.array().cast(_TEXTS))
+    told_apart = looked_at.select(
+        *kept,
+        "envelope",
+        "confidence",
+        "items",
+        "looked",
+        F.when(has_rows & F.col("looked")["places"].isNull(), objects).alias("mixed_texts"),
+    )
+    from_texts = F.from_json(_json_list(F.col("mixed_texts")), f"ARRAY<{_CLAIM}>")
+    placed = told_apart.select(
+        *kept,
+        "envelope",
+        "confidence",
+        "items",
+        "mixed_texts",
+        F.when(F.col("mixed_texts").isNull(), F.col("looked")).otherwise(bind(from_texts, _looked_at)).alias("looked"),
+    )
+    claim_texts = F.coalesce("mixed_texts", texts)
     told = placed.select(
         *kept,
         "confidence",
         "items",
-        _per_row(F.transform("claims", _cited), _sources).alias("sources"),
-        _per_row(F.transform("claims", lambda claim: claim["confidence"]), _share).alias("shares"),
-        _per_row(F.col("claim_texts"), lambda own: F.concat(F.lit("["), F.array_join(own, ","), F.lit("]"))).alias("texts"),
+        F.col("looked")["told"].alias("told"),
+        F.when(
+            has_rows, bind(claim_texts, lambda known: _per_row(F.col("looked")["places"], known, _json_list))
+        ).alias("texts"),
     )
     # The outer form, because for the plain one Spark evaluates all of the above a second time, in a
     # filter on the size of the list. Completed runs without rows are dropped here instead.
     exploded = told.select(
-        *kept, "confidence", "sources", "shares", "texts", F.posexplode_outer("items").alias("at", "item_json")
+        *kept, "confidence", "told", "texts", F.posexplode_outer("items").alias("at", "item_json")
     ).filter("at IS NOT NULL")
     return exploded.select(
         *kept,
         F.when(completed, F.col("confidence")).alias("confidence"),
         F.when(completed, F.col("at")).alias("item_index"),
         "item_json",
-        F.get("sources", F.col("at")).alias("source_urls"),
-        F.get("shares", F.col("at")).alias("high_confidence_share"),
+        F.get("told", F.col("at"))["sources"].alias("source_urls"),
+        F.get("told", F.col("at"))["share"].alias("high_confidence_share"),
         F.get("texts", F.col("at")).alias("claims_json"),
     )
 
 
-def _claim_texts(envelope: Column) -> Column:
-    """The claims of an envelope that are objects, as JSON texts."""
-    texts = F.from_json(envelope, _CLAIM_TEXTS)["output"]["trust"]["claims"]
-    return F.coalesce(F.filter(texts, lambda claim: claim.startswith("{")), F.array().cast(_TEXTS))
+def _claims(envelope: str, schema: str) -> Column:
+    return F.from_json(envelope, schema)["output"]["trust"]["claims"]
+
+
+def _unclear(content: Column, envelope: Column) -> Column:
+    """Whether the content, read as text, may be a string that looks like a list or an object, or an object with a
+    string member that looks like a list. A quote inside a JSON string stands behind a backslash, so an envelope
+    without one holds no string with quotes; that search is much cheaper than those for how a string begins."""
+
+    def is_text(first: str) -> Column:
+        begins = envelope.contains(f'"{first}') | envelope.contains(STRING_LIKE_JSON[-1])
+        return (~content.contains('"') | envelope.contains("\\")) & begins
+
+    return F.when(content.startswith("["), is_text("[")).when(
+        content.startswith("{"), content.contains('"[') | is_text("{")
+    )
 
 
 #: Sorted together, a claim is its row and its number from 1 on, and a marker is its row and 0.
 _ROW = 1 << 32
 
 
-def _claims_of_rows() -> Column:
-    """For each row of ``items`` the numbers of the claims about it, in claim order, from ``claims``. NULL without claims
-    to look at, as in a run that has not completed."""
-    indexes = F.transform("claims", lambda claim: F.regexp_extract(claim["path"], ROW_PATH, 1))
-    rows = F.transform(indexes, lambda index: F.when(index != "", index.try_cast("int")).cast("long"))
-    markers = F.transform("items", lambda _, i: i.cast("long") * _ROW)
-    about = F.transform(rows, lambda row, at: F.when(row < F.size("items"), row * _ROW + at + 1))
-    places = F.sort_array(F.concat(markers, F.array_compact(about)))
-
-    def numbers(sorted_places: Column) -> Column:
-        starts = F.filter(F.transform(sorted_places, lambda p, at: F.when(p % _ROW == 0, at)), lambda at: at.isNotNull())
-        cuts = bind(
-            starts,
-            lambda own: F.transform(own, lambda at, i: F.struct(at.alias("at"), F.coalesce(F.get(own, i + 1), F.size(sorted_places)).alias("end"))),
-        )
-        return F.transform(
-            cuts,
-            lambda cut: F.transform(
-                F.slice(sorted_places, cut["at"] + 2, cut["end"] - cut["at"] - 1), lambda p: (p % _ROW - 1).cast("int")
-            ),
-        )
+def _looked_at(claims: Column) -> Column:
+    """Where the claims of each row of ``items`` are, and what they tell of the row. Both are NULL without claims."""
+    return bind(
+        _places(claims),
+        lambda places: F.struct(places.alias("places"), _per_row(places, claims, _told).alias("told")),
+    )
+
+
+def _places(claims: Column) -> Column:
+    """The claims sorted by the row they are about, each row behind its marker, and where the markers are. One more
+    marker stands behind all rows; claims about none of them follow it."""
+    rows = F.size("items")
+    indexes = F.transform(claims["path"], lambda path: F.regexp_extract(path, ROW_PATH, 1))
+
+    def place(index: Column, at: Column) -> Column:
+        row = F.least(F.when(index != "", index.try_cast("int")), rows)
+        return row.cast("long") * _ROW + at + 1
+
+    def marked(places: Column) -> Column:
+        found = F.filter(F.sequence(F.lit(0), F.size(places) - 1), lambda at: _number(F.get(places, at)) == 0)
+        return F.when(places.isNotNull(), F.struct(places.alias("claims"), found.alias("markers")))
+
+    markers = F.sequence(F.lit(0).cast("long"), rows.cast("long") * _ROW, F.lit(_ROW))
+    return bind(F.sort_array(F.concat(markers, F.transform(indexes, place))), marked)
+
+
+def _number(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(_ROW - 1))
+
+
+def _per_row(places: Column, values: Column, use: Callable[[Column], Column]) -> Column:
+    """For each row ``use`` of the values of its claims. ``values`` has one for each claim, under a name: an expression
+    in the body of a transform is computed again for each element."""
+
+    def of_row(marker: Column, row: Column) -> Column:
+        own = F.slice(places["claims"], marker + 2, F.get(places["markers"], row + 1) - marker - 1)
+        return use(F.transform(own, lambda place: F.get(values, _number(place).cast("int") - 1)))
 
-    return bind(places, numbers)
+    return F.transform(places["markers"], of_row)
 
 
-def _per_row(values: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of each row's ``values``, which are one for each claim. Both are bound to names: an expression in the
-    body of a transform is computed again for each element."""
-    return bind(values, lambda known: F.transform("places", lambda own: use(F.transform(own, lambda at: F.get(known, at)))))
+def _told(claims: Column) -> Column:
+    """The distinct cited URLs of a row's claims in first-seen order, and the share of graded claims graded high."""
 
+    def of(own: Column) -> Column:
+        cited = F.coalesce(F.flatten(own["citations"]), F.flatten(F.array_compact(own["citations"])))
+        urls = F.array_except(cited["url"], F.array(F.lit(""), F.lit(None)))
+        graded = F.filter(own["confidence"], lambda grade: grade != "")
+        return F.struct(urls.alias("sources"), bind(graded, _share).alias("share"))
 
-def _cited(claim: Column) -> Column:
-    return F.filter(F.transform(claim["citations"], lambda cited: cited["url"]), lambda url: url != "")
+    return bind(claims, of)
 
 
-def _sources(cited: Column) -> Column:
-    return F.array_distinct(F.flatten(F.filter(cited, lambda urls: urls.isNotNull())))
+def _share(graded: Column) -> Column:
+    return high_share(F.size(graded) - F.size(F.array_remove(graded, "high")), F.size(graded))
 
 
-def _share(grades: Column) -> Column:
-    graded = F.filter(grades, lambda grade: grade != "")
-    return bind(graded, lambda own: high_share(F.size(F.filter(own, lambda grade: grade == "high")), F.size(own)))
+def _json_list(texts: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
 
 
 def claim_match(claims: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import re
 
 import pytest
 from conftest import plan_of
@@ -113,6 +114,42 @@ def test_claims_that_are_no_objects_are_passed_over(spark):
         assert (second.source_urls, second.high_confidence_share, len(json.loads(second.claims_json))) == (["u"], 0.0, 1)
 
 
+def test_claims_are_looked_at_only_where_they_can_tell_of_a_row(spark):
+    plan = plan_of(run(spark, [{}], [claim("$[0]", "high", "a")]).select("run_id", "source_urls", "high_confidence_share"))
+    assert re.search(r"size\(items#\d+, false\) > 0\)+ THEN \S*from_json", plan)  # not in envelopes without rows
+    assert not re.search(r"lambda x_\d+#\d+\.url", plan)  # citations are not opened one by one
+    assert not re.search(r"WHEN \(*Contains\(envelope", plan)  # whole envelopes are searched only behind a look at the content
+
+
+def test_odd_claims_and_citations(spark):
+    odd = [
+        {"confidence": "high", "citations": [{"url": "no"}]},
+        {"path": "$[0]", "confidence": None, "citations": None},
+        {"path": "$[0]", "confidence": "", "citations": [None, {}, {"url": None}, {"url": "b"}]},
+        {"path": "$[0]", "confidence": "low"},
+        {"path": "$[1]", "confidence": "high", "citations": [{"url": "a"}, {"url": "b"}, {"url": "a"}]},
+        {"path": "$[99999999999]", "confidence": "high", "citations": [{"url": "no"}]},
+        {"path": "$[0]", "confidence": "high", "citations": [{"url": "a"}, {"url": "b"}]},
+    ]
+    first, second = run(spark, [{}, {}], odd).orderBy("item_index").collect()
+    assert (first.source_urls, first.high_confidence_share, len(json.loads(first.claims_json))) == (["b", "a"], 0.5, 4)
+    assert (second.source_urls, second.high_confidence_share, len(json.loads(second.claims_json))) == (["a", "b"], 1.0, 1)
+    assert run(spark, None, odd).isEmpty() and run(spark, [], odd).isEmpty()
+
+
+def test_strings_are_told_from_lists_with_and_without_quotes_and_escapes(spark):
+    frame = '{"output":{"content":%s,"trust":{"claims":[{"path":"$[0]","note":%s}]}}}'
+    contents = {
+        '"[1,2]"': [], '"{}"': [], '"[\\"a\\"]"': [], '"\\u005b1]"': [], '"\\u007B}"': [], '"{\\u0022a\\u0022:1}"': [],
+        "[1,2]": ["1", "2"], '["a"]': ["a"], "{}": ["{}"], '{"a":"[1]","b":[3]}': ["3"], '{"a":"\\u005b1]","b":[3]}': ["3"],
+    }
+    cases = [(content, note, rows) for content, rows in contents.items() for note in ('"plain"', '"a \\"quote\\""', '"[x"')]
+    runs = [(str(k), "completed", frame % (content, note)) for k, (content, note, _) in enumerate(cases)]
+    got = research.run_result(spark.createDataFrame(runs, "run_id STRING, status STRING, envelope STRING")).collect()
+    found = {k: [r.item_json for r in sorted(got, key=lambda r: r.item_index) if r.run_id == str(k)] for k in range(len(cases))}
+    assert found == {k: rows for k, (_, _, rows) in enumerate(cases)}
+
+
 def test_a_field_is_asked_for_its_kind_once(spark):
     df = spark.createDataFrame([("{}",)], "item_json STRING")
     checked = research.validate_rows(df, EARNINGS_SPEC)

@@ -1,6 +1,7 @@
 """What the plans must not hold, and what hot keys must not change."""
 
 import importlib
+import json
 
 import pytest
 from conftest import plan_of
@@ -106,6 +107,18 @@ def test_views_hold_no_method_that_is_too_long_to_compile(spark, sf_dir, view):
     assert sizes and max(sizes) <= 8000
 
 
+def test_envelopes_are_put_together_from_pieces(spark, sf_dir):
+    plan = plan_of(standins.envelopes(spark, sf_dir))
+    assert plan.count("transform(") == 3  # rows in the two shapes that hold several, and claims; none of them twice
+    run = json.loads(standins.envelopes(spark, sf_dir).filter("run_id = 'run_1'").first().envelope)["output"]
+    customer = next(r.o_custkey for r in standins.table(spark, sf_dir, "orders").collect() if r.o_orderkey == 1)
+    count = customer % 12 + 1
+    assert [row["gross_margin_pct"] for row in run["content"]["rows"]] == [0.5 + i for i in range(count)]
+    assert [row.get("company") for row in run["content"]["rows"]] == [None if (1 + i) % 7 == 0 else f"Company {(customer + i) % 50}" for i in range(count)]
+    cited = [[url["url"] for url in one["citations"]] for one in run["trust"]["claims"]]
+    assert cited == [[f"https://a.example.com/{(customer + n) % 5}", "", f"https://b.example.com/{n % 3}"] for n in range(3 * count + 6)]
+
+
 def test_sources_of_rows_do_not_parse_all_claims_as_texts(spark):
     runs = spark.createDataFrame([("r", "completed", "{}")], "run_id string, status string, envelope string")
     plan = plan_of(research.run_result(runs).select("run_id", "source_urls", "high_confidence_share"))

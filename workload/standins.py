@@ -8,7 +8,7 @@ whose size after its own joins Spark overestimates: counted to be short, it is b
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -379,51 +379,47 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of research runs, one per order: rows in every shape, claims with repeated URLs."""
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
     count = (customer % 12 + 1).cast("int")
-    rows = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.struct(
-            F.when((key + i) % 7 != 0, F.concat(F.lit("Company "), ((customer + i) % 50).cast("string"))).alias("company"),
-            F.concat(F.lit("Q"), (i % 4 + 1).cast("string")).alias("fiscal_quarter_label"),
-            F.when(i % 3 == 0, F.concat(F.lit("2025-0"), (i % 9 + 1).cast("string"), F.lit("-15")))
-            .when(i % 3 == 1, "soon")
-            .alias("quarter_end_date"),
-            F.when(i % 4 == 0, "n/a").when(i % 4 != 1, (customer + i).cast("string")).alias("revenue_millions"),
-            (F.lit(0.5) + i).alias("gross_margin_pct"),
-        ),
-    )
-    junk = F.array(*[F.lit(path) for path in ("$", "$[1][0]", "$[01]", "$.a", "$[10].x", "$[1]")])
+    numbers = range(12)  # of the rows that a run has at most
+
+    def texts(of: Callable[[int], str], these: Iterable[int] = numbers) -> Column:
+        return F.array(*[F.lit(of(n)) for n in these])
+
+    # Nothing in a row or claim needs escaping, so its JSON is put together from pieces, and what depends on small
+    # numbers alone is a piece made once.
+    dates = {0: lambda i: f'"quarter_end_date":"2025-0{i % 9 + 1}-15",', 1: lambda i: '"quarter_end_date":"soon",', 2: lambda i: ""}
+    revenues = ['"revenue_millions":"n/a",', "", '"revenue_millions":"', '"revenue_millions":"']
+    before = texts(lambda i: f'"fiscal_quarter_label":"Q{i % 4 + 1}",{dates[i % 3](i)}{revenues[i % 4]}')
+    after = texts(lambda i: f'{"" if i % 4 < 2 else chr(34) + ","}"gross_margin_pct":{0.5 + i}}}')
+
+    def row(i: Column) -> Column:
+        company = F.concat(F.lit('{"company":"Company '), ((customer + i) % 50).cast("string"), F.lit('",'))
+        revenue = F.when(i % 4 >= 2, (customer + i).cast("string")).otherwise("")
+        return F.concat(F.when((key + i) % 7 != 0, company).otherwise("{"), F.get(before, i), revenue, F.get(after, i))
+
+    rows = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), count - 1), row), ","), F.lit("]"))
     paths = F.concat(
-        F.transform(
-            F.sequence(F.lit(0), 3 * count - 1),
-            lambda n: F.concat(F.lit("$["), (n % count).cast("string"), F.lit("].field")),
-        ),
-        junk,
+        F.flatten(F.array_repeat(F.slice(texts(lambda i: f'{{"path":"$[{i}].field"'), F.lit(1), count), 3)),
+        F.array(*[F.lit(f'{{"path":"{path}"') for path in ("$", "$[1][0]", "$[01]", "$.a", "$[10].x", "$[1]")]),
+    )
+    # A grade of four and a first URL of five by the customer, a second URL of three by the claim.
+    grades = [f',"confidence":"{grade}"' for grade in ("high", "high", "low")] + [""]
+    ends = texts(
+        lambda n: f'{grades[n // 3 % 4]},"citations":[{{"url":"https://a.example.com/{n // 3 % 5}"}},{{"url":""}},'
+        f'{{"url":"https://b.example.com/{n % 3}"}}]}}',
+        range(60),
     )
-    # Nothing in a claim needs escaping, so its JSON is put together from pieces.
-    grades = F.array(*[F.lit(f',"confidence":"{grade}"') for grade in ("high", "high", "low")], F.lit(""))
     claims = F.transform(
-        paths,
-        lambda path, n: F.concat(
-            F.lit('{"path":"'),
-            path,
-            F.lit('"'),
-            F.coalesce(F.get(grades, ((customer + n) % 4).cast("int")), F.lit("")),
-            F.lit(',"citations":[{"url":"https://a.example.com/'),
-            ((customer + n) % 5).cast("string"),
-            F.lit('"},{"url":""},{"url":"https://b.example.com/'),
-            (n % 3).cast("string"),
-            F.lit('"}]}'),
-        ),
+        paths, lambda path, n: F.concat(path, F.get(ends, ((customer + n) % 20).cast("int") * 3 + n % 3))
     )
     content = (
-        F.when(key % 4 == 0, F.to_json(rows))
-        .when(key % 4 == 1, F.concat(F.when(key % 64 == 1, '{"meta":"[7]","rows":').otherwise('{"meta":1,"rows":'), F.to_json(rows), F.lit(',"also":[1]}')))
-        .when(key % 4 == 2, F.to_json(rows[0]))
+        F.when(key % 4 == 0, rows)
+        .when(key % 4 == 1, F.concat(F.when(key % 64 == 1, '{"meta":"[7]","rows":').otherwise('{"meta":1,"rows":'), rows, F.lit(',"also":[1]}')))
+        .when((key % 4 == 2) & customer.isNotNull(), row(F.lit(0)))
     )
     graded = F.rtrim(F.substring(F.to_json(F.struct(F.col("o_orderpriority").alias("confidence"))), 2, 1 << 30), F.lit("}"))
     with_claims = F.concat(F.lit('"claims":['), F.array_join(claims, ","), F.lit("]"))
     trust = F.concat(F.lit("{"), F.concat_ws(",", F.nullif(graded, F.lit("")), with_claims), F.lit("}"))
-    with_content = F.when(content.isNotNull(), F.concat(F.lit('"content":'), content, F.lit(","))).otherwise("")
+    with_content = F.coalesce(F.concat(F.lit('"content":'), content, F.lit(",")), F.lit(""))
     # An envelope is a hundred times as long as its order, and a file of orders may be few tasks.
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     return orders.repartition(4 * spark.sparkContext.defaultParallelism).select(
