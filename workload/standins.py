@@ -401,16 +401,16 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.flatten(F.array_repeat(F.slice(texts(lambda i: f'{{"path":"$[{i}].field"'), F.lit(1), count), 3)),
         F.array(*[F.lit(f'{{"path":"{path}"') for path in ("$", "$[1][0]", "$[01]", "$.a", "$[10].x", "$[1]")]),
     )
-    # A grade of four and a first URL of five by the customer, a second URL of three by the claim.
+    # A claim has a grade of four and a first URL of five, counted from the customer, and a second URL of three, counted
+    # from 0: all in step with one number that is the customer's modulo 20 and 0 modulo 3 at the first claim.
     grades = [f',"confidence":"{grade}"' for grade in ("high", "high", "low")] + [""]
     ends = texts(
-        lambda n: f'{grades[n // 3 % 4]},"citations":[{{"url":"https://a.example.com/{n // 3 % 5}"}},{{"url":""}},'
+        lambda n: f'{grades[n % 4]},"citations":[{{"url":"https://a.example.com/{n % 5}"}},{{"url":""}},'
         f'{{"url":"https://b.example.com/{n % 3}"}}]}}',
-        range(60),
-    )
-    claims = F.transform(
-        paths, lambda path, n: F.concat(path, F.get(ends, ((customer + n) % 20).cast("int") * 3 + n % 3))
+        range(59 + 3 * len(numbers) + 6),
     )
+    first = (customer % 20 * 21 % 60).cast("int")
+    claims = F.zip_with(paths, F.slice(ends, first + 1, 3 * count + 6), lambda path, end: F.concat(path, end))
     content = (
         F.when(key % 4 == 0, rows)
         .when(key % 4 == 1, F.concat(F.when(key % 64 == 1, '{"meta":"[7]","rows":').otherwise('{"meta":1,"rows":'), rows, F.lit(',"also":[1]}')))
